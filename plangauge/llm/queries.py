@@ -48,8 +48,8 @@ d2 AS (SELECT domain, (bad + k * m) / (n + k) AS m FROM d1, k1),
 h1 AS (SELECT host, n, bad, m FROM hosts JOIN d2 USING (domain)),
 r2 AS (SELECT CASE WHEN coalesce(sum(m * (1 - m) * (n - 1)), 0) = 0 THEN 1.0 ELSE (sum(n * pow(bad / n - m, 2)) - sum(m * (1 - m))) / sum(m * (1 - m) * (n - 1)) END AS rho FROM h1 WHERE n > 0),
 k2 AS (SELECT CASE WHEN rho <= 1 / 1001.0 THEN 1000.0 ELSE greatest(1.0, 1 / rho - 1) END AS k FROM r2),
-h2 AS (SELECT host, (bad + k * m) / (n + k) AS mean, n + k AS both FROM h1, k2),
-verdicts AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (both + 1)) > 0.35 AS blocked FROM h2),
+h2 AS (SELECT host, (bad + k * m) / (n + k) AS mean, n + k AS tot FROM h1, k2),
+verdicts AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (tot + 1)) > 0.35 AS blocked FROM h2),
 rules(verdict, rule, rhost, rpath) AS (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'), ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
 fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM seen JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, CASE WHEN v.blocked THEN 'block' ELSE 'allow' END) AS verdict
