@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plangauge.core.staging import stage
-from plangauge.llm import exact_dedup, sharding, url_filter
+from plangauge.llm import exact_dedup, minhash, sharding, topk, url_filter
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -21,6 +21,28 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", sharding.text_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at 2-word shingles and a similarity of 0.8."""
+    found = minhash.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), minhash.Near(width=2, percent=80))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th vector among all other rows."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY CAST(list_inner_product(q.e, c.e) AS BIGINT) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0) WHERE rank <= 5
+"""
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page; a page is bad if the labels call the document it was made from (its path's number) toxic or of low quality."""
     pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
@@ -69,5 +91,5 @@ FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+
 WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op7_url_filter, op10_exact_dedup)}
-ORACLES = {"op7_url_filter": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash, op6_topk, op7_url_filter, op10_exact_dedup)}
+ORACLES = {"op6_topk": OP6_SQL, "op7_url_filter": OP7_SQL, "op10_exact_dedup": OP10_SQL}
