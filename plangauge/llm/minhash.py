@@ -10,11 +10,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plangauge.core.components import components
-from plangauge.core.staging import stage
+from plangauge.core.staging import stage, unstage
 from plangauge.llm._text import slices, texts
 
 
@@ -127,14 +127,40 @@ def _sets_of(df: DataFrame, wanted: DataFrame, p: Near, id_col: str, text_col: s
     return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, p: Near, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (hub, node) whose full sets are similar enough."""
-    ends = pairs.select(F.col("hub").alias("node")).unionByName(pairs.select("node")).distinct()
-    sets = stage(_sets_of(df, nodes.select("node", "id").join(ends, "node"), p, id_col, text_col), "sets")
+def _compared(pairs: DataFrame, sets: DataFrame, difference: bool = False) -> DataFrame:
+    """The pairs (hub, node) with both set sizes and i, the size of the intersection; with `diff`, the shingles only one of them has."""
     left = pairs.join(sets.withColumnsRenamed({"node": "hub", "shingles": "_pg_a"}), "hub")
     both = left.join(sets.withColumnRenamed("shingles", "_pg_b"), "node")
-    shared = both.select("hub", "node", F.size("_pg_a").alias("a"), F.size("_pg_b").alias("b"), F.size(F.array_intersect("_pg_a", "_pg_b")).alias("i"))
-    return shared.where(f"100 * i >= {p.percent} * (a + b - i)").select("hub", "node")
+    diff = [F.concat(F.array_except("_pg_b", "_pg_a"), F.array_except("_pg_a", "_pg_b")).alias("diff")] if difference else []
+    return both.select("hub", "node", F.size("_pg_a").cast("long").alias("hub_n"), F.size("_pg_b").cast("long").alias("n"), F.size(F.array_intersect("_pg_a", "_pg_b")).cast("long").alias("i"), *diff)
+
+
+def _missed_by_stars(tested: DataFrame, labels: DataFrame, p: Near) -> DataFrame:
+    """Pairs (hub, node) of nodes that share a star's hub B, are in different components, and may be similar enough.
+
+    Let x differ from B by the set dx (shingles that only one of them has), r of them B's. Then |x and y| = |B| - rx - ry +
+    |dx and dy|, so x and y are similar if and only if dx and dy share at least T = p (nx + ny) / (100 + p) - |B| + rx + ry. One of
+    the two, say x, is not in B's component and so not similar to B, which makes T positive: every such pair shares a difference.
+    With differences ordered rarest first, it shares one in the first |d| - T + 1 of both, with enough left behind it.
+    """
+    known = labels.select("node", "label")
+    m = tested.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    m = m.join(known.withColumnsRenamed({"node": "hub", "label": "hub_label"}), "hub", "left")
+    m = m.select("hub", "node", "hub_n", "n", (F.col("hub_n") - F.col("i")).alias("r"), F.size("diff").cast("long").alias("d"), "label", (F.col("label") != F.coalesce("hub_label", "hub")).alias("apart"), "diff")
+    by_hub = m.groupBy("hub").agg(F.min(F.when(F.col("apart"), F.col("d"))).alias("far"), F.count(F.lit(1)).alias("c")).where("far is not null and c > 1")
+    q = 100 + p.percent
+    m = m.join(by_hub.select("hub", "far"), "hub").withColumn("k", F.expr(f"{p.percent} * n - 100 * hub_n + {q} * r"))
+    least = F.expr(f"greatest(1, if(apart, ceil(k / 100), ceil((k + {p.percent} * far) / {q})))")  # of T, over all partners that count
+    m = stage(m.withColumn("t", least).where("d >= t"), "members")
+    parts = m.select("hub", "node", "hub_n", "n", "r", "d", "t", "label", "apart", F.explode("diff").alias("s"))
+    often = parts.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("hub", "node").orderBy("often", "s"))
+    prefix = stage(parts.join(often, "s").withColumn("rank", rank).where("rank <= d - t + 1").drop("often"), "prefix")
+    x = prefix.where("apart").select("hub", "s", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "r", "d", "label", "rank")])
+    left = "least(d - rank, x_d - x_rank) + 1"
+    enough = f"{q} * (hub_n - r - x_r + {left}) >= {p.percent} * (n + x_n)"
+    pairs = x.join(prefix, ["hub", "s"]).where(f"label <> x_label and (not apart or node > x_node) and {enough}")
+    return pairs.select(F.least("x_node", "node").alias("hub"), F.greatest("x_node", "node").alias("node")).distinct()
 
 
 def groups(df: DataFrame, p: Near = Near(), *, id_col: str = "doc_id", text_col: str = "text", log=None) -> DataFrame:
@@ -142,9 +168,9 @@ def groups(df: DataFrame, p: Near = Near(), *, id_col: str = "doc_id", text_col:
 
     Rows with equal sets are one node, so that copies never meet in pairs. Each node goes to one bucket for each band. In a bucket
     the node with the most bucket mates over all bands is the hub, and each other node is a candidate with it alone: a star.
-    Candidates are confirmed on the full sets. A bucket whose nodes are not all in one component then is searched further: each
-    node outside its hub's component is a hub in turn, against the nodes outside its own component, so that no link is lost to the
-    stars; pairs that failed are not tried again. Components follow from the links; component is the smallest id in it.
+    Candidates are confirmed on the full sets. Members of one star that are not linked through its hub are compared further where
+    their differences from the hub leave it possible that they are similar (_missed_by_stars), so that no link is lost to the
+    stars. Components follow from the links; component is the smallest id in it.
 
     Null and empty texts have no set, are linked with nothing and are their own component. Rows with equal ids are told apart by
     their texts. df must be a stored table, read again in the same order.
@@ -152,31 +178,26 @@ def groups(df: DataFrame, p: Near = Near(), *, id_col: str = "doc_id", text_col:
     rows = df.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("_pg_row"))
     sk = stage(sketch(rows, p, id_col=id_col, text_col=text_col, row_col="_pg_row"), "sketch")
     nodes = stage(sk.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("keys").alias("keys")), "nodes")
-    placed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    placed = nodes.select("node", F.explode("keys").alias("key"))
     full = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     mates = stage(placed.join(full, "key"), "buckets")
     degree = mates.groupBy("node").agg(F.sum("c").alias("d"))
-    ranked = stage(mates.join(degree, "node").select("key", "node", "n", "d"), "ranked")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("d", "node", "n")).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    near = f"100 * least(n, hub_n) >= {p.percent} * greatest(n, hub_n)"
-    stars = stage(ranked.join(hubs, "key").where(f"node <> hub and {near}").select("hub", "node").distinct(), "stars")
-    links = stage(_verified(stars, df, nodes, p, id_col, text_col), "links")
-    labels = stage(components(links, "hub", "node"), "labels")
-
-    own = F.coalesce("label", "node").alias("label")
-    marked = stage(ranked.join(labels, "node", "left").select("key", "node", "n", own), "marked")
-    hub_label = hubs.select("key", F.col("hub").alias("node")).join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("hub_label"))
-    apart = marked.join(hub_label, "key").where("label <> hub_label").select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("own"))
-    more = apart.join(marked, "key").where(f"label <> own and {near}").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    tried = stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
-    rest = stage(more.join(tried, ["a", "b"], "left_anti").select(F.col("a").alias("hub"), F.col("b").alias("node")), "rest")
+    ranked = stage(mates.join(degree, "node").select("key", "node", "d"), "ranked")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("d", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
+    stars = stage(ranked.join(hubs, "key").where("node <> hub").select("hub", "node").distinct(), "stars")
+    ends = stars.select(F.col("hub").alias("node")).unionByName(stars.select("node")).distinct()
+    sets = stage(_sets_of(df, nodes.select("node", "id").join(ends, "node"), p, id_col, text_col), "sets")
+    similar = f"100 * i >= {p.percent} * (hub_n + n - i)"
+    tested = stage(_compared(stars, sets, difference=True), "tested")
+    links = tested.where(similar).select("hub", "node")
+    rest = stage(_missed_by_stars(tested, stage(components(links, "hub", "node"), "labels"), p), "rest")
+    further = stage(_compared(rest, sets).where(similar).select("hub", "node"), "links")
+    unstage(sets)
     if log is not None:
-        log(nodes=nodes.count(), bucketed=ranked.count(), stars=stars.count(), links=links.count(), rest=rest.count())
-    further = stage(_verified(rest, df, nodes, p, id_col, text_col), "links")
+        log(nodes=nodes.count(), bucketed=ranked.count(), stars=stars.count(), links=links.count(), rest=rest.count(), further=further.count())
     labels = stage(components(links.unionByName(further), "hub", "node"), "labels")
-    if log is not None:
-        log(further=further.count(), labels=labels.count())
 
+    own = F.coalesce("label", "node").alias("label")
     known = nodes.select("node", "id").join(labels, "node", "left").select("node", "id", own)
     least = known.groupBy("label").agg(F.min("id").alias("component"))
     by_node = stage(known.join(least, "label").select("node", "label", "component"), "by-node")
