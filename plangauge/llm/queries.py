@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plangauge.core.staging import stage
-from plangauge.llm import exact_dedup, minhash, sharding, topk, url_filter
+from plangauge.llm import bpe, exact_dedup, langid, minhash, sharding, topk, url_filter
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -27,6 +28,14 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three quarters of the labelled ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    samples = langid.fit(docs.where(langid.may_learn(F.col("doc_id"))))
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out")
+    return langid.identify(docs.select("doc_id", held_out, "text"), samples).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every 50th vector among all other rows."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -79,6 +88,14 @@ FROM seen s LEFT JOIN fit f USING (page_id) LEFT JOIN verdicts v ON v.host = s.h
 """
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text that they decode to, as digests."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded_col="decoded")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are copies of which, texts being equal up to runs of white space."""
     keys = stage(_table(spark, sf_dir, "documents").select("doc_id", exact_dedup.fingerprint(F.col("text")).alias("text_key")), "keys")
@@ -91,5 +108,5 @@ FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+
 WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash, op6_topk, op7_url_filter, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash, op4_language_id, op6_topk, op7_url_filter, op9_bpe, op10_exact_dedup)}
 ORACLES = {"op6_topk": OP6_SQL, "op7_url_filter": OP7_SQL, "op10_exact_dedup": OP10_SQL}
