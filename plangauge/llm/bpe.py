@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plangauge.core.columns import others
 from plangauge.llm._text import ragged, slices, texts
@@ -258,6 +259,6 @@ def encode(df: DataFrame, path: str, *, text_col: str = "text", decoded_col: str
             yield pa.RecordBatch.from_arrays([*columns, *made], schema=pa.schema([*fields, ("ids", made[0].type), *([(decoded_col, pa.string())] if decoded_col else [])]))
 
     kept = df.select(*others(df, "ids", *([decoded_col] if decoded_col else [])))
-    schema = kept.schema.add("ids", "array<int>")
+    schema = kept.schema.add("ids", T.ArrayType(T.IntegerType()))
     schema = schema.add(decoded_col, "string") if decoded_col else schema
     return kept.withColumn("_pg_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
