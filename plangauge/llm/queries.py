@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plangauge.core.staging import stage
-from plangauge.llm import bpe, exact_dedup, langid, minhash, sharding, topk, url_filter
+from plangauge.llm import bpe, exact_dedup, langid, minhash, packing, pii, sharding, token_counts, topk, url_filter
 
+#: The pseudonyms' key; a deployment sets its own.
+PII_KEY = "plangauge-demo-key"
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
@@ -28,6 +30,12 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens, each with its lexical neighbours."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from three quarters of the labelled ones."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -36,6 +44,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out, "text"), samples).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    done = token_counts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select("doc_id", "n_words", "n_tokens", F.round("log_score", 6).alias("log_score"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest integer inner products of every 50th vector among all other rows."""
     vectors = _table(spark, sf_dir, "embeddings")
@@ -88,6 +102,12 @@ FROM seen s LEFT JOIN fit f USING (page_id) LEFT JOIN verdicts v ON v.host = s.h
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by format-preserving pseudonyms."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, count_col="n_found")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they decode to, as digests."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -108,5 +128,5 @@ FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+
 WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash, op4_language_id, op6_topk, op7_url_filter, op9_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash, op3_packing, op4_language_id, op5_token_counts, op6_topk, op7_url_filter, op8_pii, op9_bpe, op10_exact_dedup)}
 ORACLES = {"op6_topk": OP6_SQL, "op7_url_filter": OP7_SQL, "op10_exact_dedup": OP10_SQL}
