@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from plangauge.core.columns import others
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -25,9 +30,44 @@ def texts(batch: pa.RecordBatch, text_col: str) -> pa.Array:
     return pc.fill_null(batch.column(text_col).cast(pa.string()), "")
 
 
+def with_text_columns(df: DataFrame, text_col: str, fields: list[T.StructField], work: Callable[[pa.Array], list], most: int = 8 << 20) -> DataFrame:
+    """df plus `fields`, which work() makes from the texts of a part of a batch; input columns of those names are replaced.
+
+    The other columns travel as one struct, so that any names do.
+    """
+    names = [f.name for f in fields]
+    source = df.select(F.struct(*others(df, *names)).alias("_pg_rec"), F.col(text_col).cast("string").alias("_pg_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "_pg_text", most):
+            yield pa.RecordBatch.from_arrays([b.column("_pg_rec"), *work(texts(b, "_pg_text"))], ["_pg_rec", *names])
+
+    return source.mapInArrow(run, T.StructType([source.schema["_pg_rec"], *fields])).select("_pg_rec.*", *names)
+
+
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[starts[i] : starts[i] + lengths[i]] for every i, end to end."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     where = np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
     return values[where]
+
+
+class Recent:
+    """A bounded map that keeps what was used lately: two generations, the older one dropped when the younger is full."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.young[key] = found
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value

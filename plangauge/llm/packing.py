@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plangauge.core.staging import stage
-from plangauge.llm._text import ragged, slices, texts
+from plangauge.llm._text import Recent, ragged, slices, texts
 
 #: Fixed value: the pattern that splits normalised text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces kept by a worker before it starts anew.
-KEPT = 300_000
+#: Pieces and words that a worker keeps, in each of two generations.
+KEPT_PIECES, KEPT_WORDS = 200_000, 400_000
 
 
 @dataclass(frozen=True)
@@ -49,28 +49,30 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab = self.tokenizer.get_vocab_size()
         self.words, self.plain = regex.compile(PATTERN), regex.compile(r"[\x00-ɏ]*")
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, np.ndarray] = {}
-        self.known: dict[str, list[int]] = {}
-
-    def _encode(self, items: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
-
-    def lookup(self, pieces: list[str]) -> list[np.ndarray]:
-        if len(self.at) > KEPT:
-            self.clear()
-        at = self.at
-        new = [p for p in pieces if p not in at]
-        split = {p: self.words.findall(p.lower()) for p in new if "<|" not in p and self.plain.fullmatch(p)}
-        words = list({w for ws in split.values() for w in ws if w not in self.known})
-        self.known.update(zip(words, self._encode(words), strict=True))
-        for p, ws in split.items():
-            at[p] = np.array([t for w in ws for t in self.known[w]], np.uint32)
-        rest = [p for p in new if p not in split]
-        at.update(zip(rest, (np.array(x, np.uint32) for x in self._encode(rest)), strict=True))
-        return [at[p] for p in pieces]
+        self.width = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
+        self.pieces, self.known = Recent(KEPT_PIECES), Recent(KEPT_WORDS)
+
+    def _encode(self, items: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+
+    def lookup(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, as bytes of self.width. Words that no piece had lately go to the tokenizer together."""
+        out = [self.pieces.get(p) for p in pieces]
+        new = [k for k, x in enumerate(out) if x is None]
+        split = {k: self.words.findall(pieces[k].lower()) for k in new if "<|" not in pieces[k] and (pieces[k].isascii() or self.plain.fullmatch(pieces[k]))}
+        ids = {w: self.known.get(w) for ws in split.values() for w in ws}
+        fresh = [w for w, x in ids.items() if x is None]
+        for w, x in zip(fresh, self._encode(fresh), strict=True):
+            ids[w] = x
+            self.known.put(w, x)
+        for k, ws in split.items():
+            out[k] = b"".join([ids[w] for w in ws])
+        rest = [k for k in new if k not in split]
+        for k, x in zip(rest, self._encode([pieces[k] for k in rest]), strict=True):
+            out[k] = x
+        for k in new:
+            self.pieces.put(pieces[k], out[k])
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -84,20 +86,21 @@ def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = parts.flatten().dictionary_encode()
     codes = flat.indices.to_numpy(zero_copy_only=False)
-    found = _tokens(path).lookup(flat.dictionary.to_pylist())
-    sizes = np.array([len(x) for x in found], np.int64)
+    know = _tokens(path)
+    found = know.lookup(flat.dictionary.to_pylist())
+    sizes = np.array([len(x) for x in found], np.int64) // know.width.itemsize
     starts = np.cumsum(sizes) - sizes
-    ids = ragged(np.concatenate([*found, np.empty(0, np.uint32)]), starts[codes], sizes[codes])
+    ids = ragged(np.frombuffer(b"".join(found), know.width), starts[codes], sizes[codes])
     ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(counts)])]
-    return ids.astype(np.uint32), np.diff(ends)
+    return ids, np.diff(ends)
 
 
 def tokenise(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, ids): a text's ids and the end token, as little-endian 16-bit numbers (32-bit if the vocabulary needs them). Null texts are empty."""
-    width = "<u2" if _tokens(path).vocab <= 1 << 16 else "<u4"
+    width = _tokens(path).width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 16 << 20):
             ids, n = token_ids(texts(b, "text"), path)
             ends = np.cumsum(n)
             full = np.insert(ids, ends, p.end_id).astype(width)
@@ -109,14 +112,12 @@ def tokenise(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str =
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, ids binary")
 
 
-def _arrays(column, width: str) -> list[np.ndarray]:
+def _arrays(column, width: np.dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), width) for x in column]
 
 
-def document_frequencies(tokens: DataFrame, vocab: int) -> np.ndarray:
+def document_frequencies(tokens: DataFrame, vocab: int, width: np.dtype) -> np.ndarray:
     """How many documents each token occurs in, over all documents: an array as long as the vocabulary, so bounded whatever the input."""
-    width = "<u2" if vocab <= 1 << 16 else "<u4"
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, np.int64)
         for b in batches:
@@ -232,8 +233,8 @@ def pack(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str = "doc
     tokens = stage(tokenise(df, path, p, id_col=id_col, text_col=text_col), "tokens")
     n, total = tokens.agg(F.count(F.lit(1)), F.sum("n")).first()
     vocab = max(_tokens(path).vocab, p.end_id + 1)
-    width = "<u2" if _tokens(path).vocab <= 1 << 16 else "<u4"
-    found = document_frequencies(tokens, vocab)
+    width = _tokens(path).width
+    found = document_frequencies(tokens, vocab, width)
     idf = np.log1p((n - found + 0.5) / (found + 0.5))
     mean, n_shards = (total or 0) / max(n, 1), max(1, math.ceil((total or 0) / p.shard_tokens))
     shared = df.sparkSession.sparkContext.broadcast(idf)
