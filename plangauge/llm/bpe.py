@@ -5,18 +5,15 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plangauge.core.columns import others
-from plangauge.llm._text import ragged, slices, texts
+from plangauge.llm._text import ragged, with_text_columns
 
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -250,15 +247,9 @@ def encode(df: DataFrame, path: str, *, text_col: str = "text", decoded_col: str
     Null texts count as empty and have no ids. With decoded_col, the ids are decoded again into that column. Input columns of
     those names are replaced. One pass, no shuffle; a worker keeps a bounded number of pieces and trie nodes.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_pg_text", 4 << 20):
-            ids, lengths = encode_batch(texts(b, "_pg_text"), path)
-            made = [_lists(ids, lengths), *([pa.array(decode_batch(ids, lengths, path), pa.string())] if decoded_col else [])]
-            columns = [b.column(i) for i in range(b.num_columns - 1)]
-            fields = [b.schema.field(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, *made], schema=pa.schema([*fields, ("ids", made[0].type), *([(decoded_col, pa.string())] if decoded_col else [])]))
-
-    kept = df.select(*others(df, "ids", *([decoded_col] if decoded_col else [])))
-    schema = kept.schema.add("ids", T.ArrayType(T.IntegerType()))
-    schema = schema.add(decoded_col, "string") if decoded_col else schema
-    return kept.withColumn("_pg_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    def work(column: pa.Array) -> list:
+        ids, lengths = encode_batch(column, path)
+        return [_lists(ids, lengths), *([pa.array(decode_batch(ids, lengths, path), pa.string())] if decoded_col else [])]
+
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
+    return with_text_columns(df, text_col, fields, work, 4 << 20)

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plangauge.core.columns import others
-from plangauge.llm._text import slices, texts
+from plangauge.llm._text import with_text_columns
 
 UNKNOWN = "und"
 
@@ -54,7 +53,8 @@ def fit(labelled: DataFrame, p: Parsing = Parsing(), *, text_col: str = "text",
 def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
     """Transition table of the suffix automaton of a sequence, states x alphabet.
 
-    An entry is the next state if the longer string occurs in the sequence; else the state after the symbol alone, as ~state.
+    An entry is the next state if the longer string occurs in the sequence; else the state after the symbol alone, as ~state. A
+    symbol that does not occur leads to one last state, where nothing goes on: it is a phrase of its own.
     """
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -81,8 +81,10 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
                     step[at][c] = twin
                     at = link[at]
         last = new
-    table = np.empty((len(step), alphabet), np.int32)
-    table[:] = ~np.array([step[0].get(c, 0) for c in range(alphabet)], np.int32)
+    alone = np.array([step[0].get(c, len(step)) for c in range(alphabet)], np.int32)
+    table = np.empty((len(step) + 1, alphabet), np.int32)
+    table[:] = ~alone
+    table[0] = alone
     for s, row in enumerate(step):
         if row:
             table[s, list(row)] = list(row.values())
@@ -162,22 +164,17 @@ def identify(df: DataFrame, samples: list[tuple[str, str]], p: Parsing = Parsing
     """
     known = tuple(samples)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_pg_text", 2 << 20):
-            pred, score = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows)
-            if known:
-                table, steps, starts, logs = _models(known)
-                codes = [codes_of(t, table) for t in texts(b, "_pg_text").to_pylist()]
-                use = np.array([bool(c.any()) for c in codes])
-                if use.any():
-                    cost = phrases([c for c, u in zip(codes, use, strict=True) if u], steps, starts, p.block) * logs
-                    best = np.argmin(cost, axis=1)
-                    pred[use] = np.array([lang for lang, _ in known], object)[best]
-                    cost.sort(axis=1)
-                    score[use] = 1 - cost[:, 0] / cost[:, 1] if len(known) > 1 else 1.0
-            columns = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], schema=pa.schema([*[b.schema.field(i) for i in range(b.num_columns - 1)], ("lang_pred", pa.string()), ("score", pa.float64())]))
-
-    kept = df.select(*others(df, "lang_pred", "score"))
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
-    return kept.withColumn("_pg_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    def work(column: pa.Array) -> list:
+        pred, score = np.full(len(column), UNKNOWN, object), np.zeros(len(column))
+        if known:
+            table, steps, starts, logs = _models(known)
+            codes = [codes_of(t, table) for t in column.to_pylist()]
+            use = np.array([bool(c.any()) for c in codes])
+            if use.any():
+                cost = phrases([c for c, u in zip(codes, use, strict=True) if u], steps, starts, p.block) * logs
+                pred[use] = np.array([lang for lang, _ in known], object)[np.argmin(cost, axis=1)]
+                cost.sort(axis=1)
+                score[use] = 1 - cost[:, 0] / cost[:, 1] if len(known) > 1 else 1.0
+        return [pa.array(pred, pa.string()), pa.array(score)]
+
+    return with_text_columns(df, text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], work, 2 << 20)

@@ -35,7 +35,7 @@ def shard(df: DataFrame, n_shards: int, *, text_col: str = "text", id_col: str =
     rows = df.select(*others(df, "shard", "slot"), F.monotonically_increasing_id().alias("_pg_row"))
     n, size = rows.agg(F.count(F.lit(1)), F.sum(text_size(F.col(text_col)))).first()
     n_buckets = max(1, math.ceil((size or 0) / bucket_bytes))
-    payload = [c for c in rows.columns if c != "_pg_row"]
+    payload = others(rows, "_pg_row")
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("_pg_row")), F.lit(n_buckets)).alias("_pg_bucket")
     order = F.xxhash64(F.lit(seed + 1), F.col(id_col), F.col("_pg_row")).alias("_pg_order")
 
@@ -47,7 +47,7 @@ def shard(df: DataFrame, n_shards: int, *, text_col: str = "text", id_col: str =
     starts = counts.withColumn("_pg_within", within).join(runs, "_pg_run").select("_pg_bucket", (F.col("_pg_run_start") + F.col("_pg_within")).alias("_pg_start"))
 
     tasks = max(1, math.ceil(n_buckets / buckets_per_task))
-    scattered = rows.select(bucket, order, "_pg_row", F.struct(*[f"`{c}`" for c in payload]).alias("_pg_rec"))
+    scattered = rows.select(bucket, order, "_pg_row", F.struct(*payload).alias("_pg_rec"))
     scattered = scattered.repartition(tasks, "_pg_bucket").sortWithinPartitions("_pg_bucket", "_pg_order", "_pg_row")
     piles = scattered.groupBy("_pg_bucket").agg(F.collect_list("_pg_rec").alias("_pg_pile"))
     piles = piles.join(starts.hint("shuffle_hash"), "_pg_bucket").select("_pg_start", F.shuffle("_pg_pile", seed).alias("_pg_pile"))

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plangauge.core.columns import others
-from plangauge.llm._text import slices, texts
+from plangauge.llm._text import with_text_columns
 
 #: Stands before each word in the vocabulary.
 MARK = "▁"
@@ -50,8 +48,6 @@ class Trie:
 
     def add(self, words: list[str]) -> None:
         """Insert words in sorted order, depth first; only new nodes are scored."""
-        if len(self.best) > 3 * KEPT or len(self.terminal) > KEPT:
-            self.clear()
         path, before = [0], ""
         for w in sorted(words):
             same = 0
@@ -99,28 +95,21 @@ def count_tokens(df: DataFrame, path: str, *, text_col: str = "text") -> DataFra
     words of a batch are looked up once, and a worker keeps a bounded trie from batch to batch. Input columns of the new names are
     replaced.
     """
-    names = ("n_words", "n_tokens", "log_score")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_pg_text"):
-            trie = _trie(path)
-            parts = pc.ascii_split_whitespace(texts(b, "_pg_text"))
-            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)
-            flat = parts.flatten().dictionary_encode()
-            words = [MARK + w if w else "" for w in flat.dictionary.to_pylist()]
-            fresh = [w for w in words if w and w not in trie.terminal]
-            if len(fresh) + len(trie.terminal) > KEPT:
-                fresh = [w for w in words if w]
-                trie.clear()
-            trie.add(fresh)
-            got = np.array([(1.0, trie.terminal[w][1], trie.terminal[w][0]) if w else (0.0, 0.0, 0.0) for w in words]).reshape(-1, 3)
-            sums = np.concatenate([np.zeros((1, 3)), np.cumsum(got[flat.indices.to_numpy(zero_copy_only=False)], axis=0)])
-            each = sums[bounds[1:]] - sums[bounds[:-1]]
-            kinds = (pa.int64(), pa.int64(), pa.float64())
-            made = [pa.array(np.rint(each[:, k]).astype(np.int64) if k < 2 else each[:, k], kinds[k]) for k in range(3)]
-            fields = [b.schema.field(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], *made], schema=pa.schema([*fields, *zip(names, kinds, strict=True)]))
-
-    kept = df.select(*others(df, *names))
-    schema = kept.schema.add("n_words", "long").add("n_tokens", "long").add("log_score", "double")
-    return kept.withColumn("_pg_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    def work(column: pa.Array) -> list:
+        trie = _trie(path)
+        parts = pc.ascii_split_whitespace(column)
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        flat = parts.flatten().dictionary_encode()
+        words = [MARK + w if w else "" for w in flat.dictionary.to_pylist()]
+        fresh = [w for w in words if w and w not in trie.terminal]
+        if len(fresh) + len(trie.terminal) > KEPT or len(trie.best) > 3 * KEPT:
+            fresh = [w for w in words if w]
+            trie.clear()
+        trie.add(fresh)
+        got = np.array([(1.0, trie.terminal[w][1], trie.terminal[w][0]) if w else (0.0, 0.0, 0.0) for w in words]).reshape(-1, 3)
+        sums = np.concatenate([np.zeros((1, 3)), np.cumsum(got[flat.indices.to_numpy(zero_copy_only=False)], axis=0)])
+        each = sums[bounds[1:]] - sums[bounds[:-1]]
+        return [pa.array(np.rint(each[:, k]).astype(np.int64)) if k < 2 else pa.array(each[:, k]) for k in range(3)]
+
+    kinds = (("n_words", T.LongType()), ("n_tokens", T.LongType()), ("log_score", T.DoubleType()))
+    return with_text_columns(df, text_col, [T.StructField(n, k) for n, k in kinds], work)
