@@ -18,7 +18,15 @@ DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[.
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|(?<=[+0-9. -])[0-9]{3}[ .-]|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-ANY = "|".join((EMAIL, IPV4, DATE, SSN, PHONE, CARD))
+#: All but e-mail begin with a digit, + or (; looking for that first passes over other text quickly.
+NUMBERS = f"(?=[0-9+(])(?:{'|'.join((IPV4, DATE, SSN, PHONE, CARD))})"
+#: Every number that NUMBERS can match holds this; most texts do not.
+HINT = r"[0-9][0-9 ()./-]{5,}[0-9]"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), the value worked out once however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, tweak: Column) -> Column:
@@ -26,7 +34,7 @@ def feistel(left: Column, right: Column, left_size: Column, right_size: Column,
     def step(acc: Column, i: Column) -> Column:
         mac = F.sha2(F.concat_ws("|", F.lit(key), tweak, left_size, right_size, i, acc["b"]), 256)
         size = F.when(i % 2 == 0, left_size).otherwise(right_size)
-        return F.struct(acc["b"].alias("a"), F.pmod(acc["a"] + F.pmod(F.conv(F.substring(mac, 1, 15), 16, 10).cast("long"), size), size).alias("b"))
+        return F.struct(acc["b"].alias("a"), let(size, lambda n: F.pmod(acc["a"] + F.pmod(F.conv(F.substring(mac, 1, 15), 16, 10).cast("long"), n), n)).alias("b"))
 
     start = F.struct(left.cast("long").alias("a"), right.cast("long").alias("b"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
@@ -34,18 +42,26 @@ def feistel(left: Column, right: Column, left_size: Column, right_size: Column,
 
 def permuted_digits(digits: Column, key: str, tweak: Column) -> Column:
     """A string of 2 to 36 digits as another one of the same length."""
-    n = F.length(digits)
-    u = F.floor(n / 2).cast("int")
     size = lambda k: F.concat(F.lit("1"), F.repeat(F.lit("0"), k)).cast("long")
-    out = feistel(digits.substr(F.lit(1), u), digits.substr(u + 1, n - u), size(u), size(n - u), key, tweak)
-    return F.concat(F.lpad(out["a"].cast("string"), u, "0"), F.lpad(out["b"].cast("string"), n - u, "0"))
+
+    def halves(x: Column) -> Column:
+        u, v = x["u"], x["v"]
+        out = feistel(x["d"].substr(F.lit(1), u), x["d"].substr(u + 1, v), x["m"], x["n"], key, tweak)
+        return let(out, lambda o: F.concat(F.lpad(o["a"].cast("string"), u, "0"), F.lpad(o["b"].cast("string"), v, "0")))
+
+    split = let(digits, lambda d: F.struct(d.alias("d"), F.floor(F.length(d) / 2).cast("int").alias("u"), (F.length(d) - F.floor(F.length(d) / 2)).cast("int").alias("v")))
+    sized = let(split, lambda x: F.struct(x["d"].alias("d"), x["u"].alias("u"), x["v"].alias("v"), size(x["u"]).alias("m"), size(x["v"]).alias("n")))
+    return let(sized, halves)
 
 
 def luhn_sum(digits: Column) -> Column:
     """Luhn's sum of a digit string, its last digit being the check digit."""
-    n = F.length(digits)
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(digits, i, F.lit(1)).cast("int") * F.when((n - i) % 2 == 1, 2).otherwise(1))
-    return F.aggregate(each, F.lit(0), lambda a, d: a + F.when(d > 9, d - 9).otherwise(d))
+    def total(d: Column) -> Column:
+        n = F.length(d)
+        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(d, i, F.lit(1)).cast("int") * F.when((n - i) % 2 == 1, 2).otherwise(1))
+        return F.aggregate(each, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x))
+
+    return let(digits, total)
 
 
 def _only_digits(m: Column) -> Column:
@@ -54,17 +70,19 @@ def _only_digits(m: Column) -> Column:
 
 def _refilled(m: Column, digits: Column) -> Column:
     """m with its digits, in order, replaced by `digits`."""
-    chars = F.split(m, "")
     acc = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
-    step = lambda a, c: F.when((c >= "0") & (c <= "9"), F.struct(F.concat(a["s"], F.substring(digits, a["k"], F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k")))
-    return F.aggregate(chars, acc, step, lambda a: a["s"])
+
+    def filled(d: Column) -> Column:
+        step = lambda a, c: F.when((c >= "0") & (c <= "9"), F.struct(F.concat(a["s"], F.substring(d, a["k"], F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k")))
+        return F.aggregate(F.split(m, ""), acc, step, lambda a: a["s"])
+
+    return let(digits, filled)
 
 
 def _card(m: Column, key: str) -> Column:
-    d = _only_digits(m)
-    body = permuted_digits(d.substr(F.lit(1), F.length(d) - 1), key, F.lit("card"))
-    check = F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    return _refilled(m, F.concat(body, check.cast("string")))
+    body = let(_only_digits(m), lambda d: permuted_digits(d.substr(F.lit(1), F.length(d) - 1), key, F.lit("card")))
+    whole = let(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
+    return _refilled(m, whole)
 
 
 def _number(m: Column, key: str, kind: str) -> Column:
@@ -73,15 +91,15 @@ def _number(m: Column, key: str, kind: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     """The country code stays; the ten digits of the number are permuted, so one number is one pseudonym however it is written."""
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    rest = m.substr(F.length(code) + 1, F.length(m))
-    return F.concat(code, _number(rest, key, "phone"))
+    parts = let(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0), lambda c: F.struct(c.alias("code"), m.substr(F.length(c) + 1, F.length(m)).alias("rest")))
+    return let(parts, lambda x: F.concat(x["code"], _number(x["rest"], key, "phone")))
 
 
 def _ipv4(m: Column, key: str) -> Column:
-    o = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    out = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536).cast("long"), F.lit(65536).cast("long"), key, F.lit("ipv4"))
-    return F.concat_ws(".", F.floor(out["a"] / 256), out["a"] % 256, F.floor(out["b"] / 256), out["b"] % 256)
+    octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
+    half = F.lit(65536).cast("long")
+    out = let(octets, lambda o: feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], half, half, key, F.lit("ipv4")))
+    return let(out, lambda o: F.concat_ws(".", F.floor(o["a"] / 256), o["a"] % 256, F.floor(o["b"] / 256), o["b"] % 256))
 
 
 def _date_of(m: Column) -> Column:
@@ -91,22 +109,25 @@ def _date_of(m: Column) -> Column:
 def _date(m: Column, key: str) -> Column:
     a, b = DATE_HALVES
     day = F.pmod(F.datediff(_date_of(m), F.to_date(F.lit(DATE_START))), F.lit(a * b)).cast("long")
-    out = feistel(F.floor(day / b), day % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, F.lit("date"))
-    new = F.date_add(F.to_date(F.lit(DATE_START)), (out["a"] * b + out["b"]).cast("int"))
+    out = let(day, lambda d: feistel(F.floor(d / b), d % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, F.lit("date")))
+    new = let(out, lambda o: F.date_add(F.to_date(F.lit(DATE_START)), (o["a"] * b + o["b"]).cast("int")))
     month_first = F.try_to_date(m, "MM/dd/yyyy").isNotNull()
-    return F.when(m.rlike("^[0-9]{4}-"), F.date_format(new, "yyyy-MM-dd")).when(m.substr(3, 1) == ".", F.date_format(new, "dd.MM.yyyy")).when(month_first, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+    return let(new, lambda d: F.when(m.rlike("^[0-9]{4}-"), F.date_format(d, "yyyy-MM-dd")).when(m.substr(3, 1) == ".", F.date_format(d, "dd.MM.yyyy")).when(month_first, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy")))
 
 
 def _email(m: Column, key: str) -> Column:
     """Only the part before @ changes: letters and digits by keyed substitutes of their kind; equal addresses stay equal, case aside."""
-    local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    mac = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256)
-    mac = F.concat(mac, F.sha2(F.concat(mac, F.lit(key)), 256))
-    pos = F.sequence(F.lit(1), F.length(local))
-    nibble = lambda i: F.conv(F.substring(mac, F.pmod(i * 2, F.lit(126)) + 1, F.lit(2)), 16, 10).cast("int")
-    letter = lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(nibble(i), F.lit(26)) + 1, F.lit(1))
-    one = lambda i: F.when(F.substring(local, i, F.lit(1)).rlike("[A-Za-z]"), letter(i)).when(F.substring(local, i, F.lit(1)).rlike("[0-9]"), F.pmod(nibble(i), F.lit(10)).cast("string")).otherwise(F.substring(local, i, F.lit(1)))
-    return F.concat(F.array_join(F.transform(pos, one), ""), F.lit("@"), domain)
+    domain = F.substring_index(m, "@", -1)
+    first = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256)
+    both = let(first, lambda x: F.struct(F.concat(x, F.sha2(F.concat(x, F.lit(key)), 256)).alias("mac"), F.substring_index(m, "@", 1).alias("local")))
+
+    def one(x: Column, i: Column) -> Column:
+        c, byte = F.substring(x["local"], i, F.lit(1)), F.conv(F.substring(x["mac"], F.pmod(i * 2, F.lit(126)) + 1, F.lit(2)), 16, 10).cast("int")
+        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(byte, F.lit(26)) + 1, F.lit(1))
+        return F.when(c.rlike("[A-Za-z]"), letter).when(c.rlike("[0-9]"), F.pmod(byte, F.lit(10)).cast("string")).otherwise(c)
+
+    local = let(both, lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.length(x["local"])), lambda i: one(x, i)), ""))
+    return F.concat(local, F.lit("@"), domain)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -123,23 +144,30 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
+def _replaced(df: DataFrame, text: Column, where: Column, pattern: str, key: str, n: str) -> DataFrame:
+    """df plus _pg_found<n> (the matches, where `where` holds) and _pg_text<n>, the text with each match replaced."""
+    found, pieces, new = f"_pg_found{n}", f"_pg_pieces{n}", f"_pg_pseudonyms{n}"
+    df = df.withColumn(found, F.when(where, F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)))
+    df = df.withColumn(pieces, F.when(F.size(found) > 0, F.split(text, pattern, -1))).withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
+    woven = F.zip_with(F.col(pieces), F.col(new), lambda s, m: F.concat(s, F.coalesce(m, F.lit(""))))
+    return df.withColumn(f"_pg_text{n}", F.when(F.size(found) > 0, F.array_join(woven, "")).otherwise(text))
+
+
 def pseudonymise(df: DataFrame, key: str, *, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """df with the personal data in text_col replaced by pseudonyms of the same format; with count_col, how many values a row had.
 
     Card numbers (Luhn), dates, IPv4 addresses, telephone and social security numbers are permuted by a Feistel network keyed by
     `key`, each within its own format: an equal value has an equal pseudonym in every document, and different values have
     different ones. E-mail addresses get keyed substitutes before the @. One pass over the rows, no shuffle, whole texts; a null text
-    stays null and has count 0, other columns and rows without personal data stay as they are.
+    stays null and has count 0, other columns and rows without personal data stay as they are. An input column named count_col is
+    replaced.
     """
     text = F.col(text_col)
-    has = text.rlike("[0-9@]")
-    found = F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)
-    new = F.transform(found, lambda m: pseudonym(m, key))
-    pieces = F.split(text, ANY, -1)
-    joined = F.array_join(F.transform(pieces, lambda s, i: F.concat(s, F.coalesce(F.get(new, i), F.lit("")))), "")
-    out = df.withColumn("_pg_new", F.when(has & (F.size(found) > 0), joined).otherwise(text))
+    out = df.withColumn("_pg_mail", F.contains(text, F.lit("@")))
+    out = _replaced(out, text, F.col("_pg_mail"), EMAIL, key, "1")
+    out = out.withColumn("_pg_some", F.col("_pg_text1").rlike(HINT))
+    out = _replaced(out, F.col("_pg_text1"), F.col("_pg_some"), NUMBERS, key, "2").withColumn("_pg_new", F.col("_pg_text2"))
     if count_col:
-        out = out.withColumn(count_col, F.when(has, F.size(found)).otherwise(0).cast("long"))
-    names = {c.lower(): c for c in df.columns}
-    columns = [F.col("_pg_new").alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in names.values()]
-    return out.select(*columns, *([count_col] if count_col and count_col.lower() not in names else []))
+        out = out.withColumn(count_col, (F.coalesce(F.size("_pg_found1"), F.lit(0)) + F.coalesce(F.size("_pg_found2"), F.lit(0))).cast("long"))
+    plain = [F.col("_pg_new").alias(c) if c.lower() == text_col.lower() else F.col(q) for c, q in zip(df.columns, others(df), strict=True) if c.lower() != (count_col or "").lower()]
+    return out.select(*plain, *([count_col] if count_col else []))
