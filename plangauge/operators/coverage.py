@@ -124,10 +124,10 @@ def ingest(plans: DataFrame, rooms: DataFrame, edges: DataFrame, share: float) -
     return p.withColumn("outcome", outcome)
 
 
-def raster(edges: DataFrame, step: int) -> DataFrame:
-    """(plan_id, cx, cy, room_ix): grid cells of `step` lattice steps whose centre lies inside a room (even-odd), the lowest room at overlaps.
+def room_cells(edges: DataFrame, step: int) -> DataFrame:
+    """(plan_id, room_ix, cx, cy): grid cells of `step` lattice steps whose centre lies inside a room (even-odd).
 
-    Each edge is laid over the columns of cells that it spans; a cell is inside if an odd number of edges lie above its centre.
+    Each edge is laid over the columns of cells that it spans; in a column, cells between one edge and the next are inside by turns.
     """
     e = edges.where("ax <> bx").select(*M.ROOM, "ax", "ay", "bx", F.col("by_").alias("by"))
     cols = e.withColumn("c0", F.ceil(F.least("ax", "bx") / step - 0.5)).withColumn("c1", F.ceil(F.greatest("ax", "bx") / step - 0.5) - 1).where("c1 >= c0").select("*", F.explode(F.sequence("c0", "c1")).alias("cx"))
@@ -135,4 +135,9 @@ def raster(edges: DataFrame, step: int) -> DataFrame:
     w = Window.partitionBy(*M.ROOM, "cx").orderBy("y")
     spans = y.select(*M.ROOM, "cx", "y", F.lead("y").over(w).alias("y1"), F.row_number().over(w).alias("k")).where("k % 2 = 1 AND y1 IS NOT NULL")
     spans = spans.withColumn("r0", F.ceil(F.col("y") / step - 0.5)).withColumn("r1", F.ceil(F.col("y1") / step - 0.5) - 1).where("r1 >= r0")
-    return spans.select(*M.ROOM, "cx", F.explode(F.sequence("r0", "r1")).alias("cy")).groupBy("plan_id", "cx", "cy").agg(F.min("room_ix").alias("room_ix"))
+    return spans.select(*M.ROOM, "cx", F.explode(F.sequence("r0", "r1")).alias("cy"))
+
+
+def raster(edges: DataFrame, step: int) -> DataFrame:
+    """(plan_id, cx, cy, room_ix): room_cells with the lowest room where rooms overlap."""
+    return room_cells(edges, step).groupBy("plan_id", "cx", "cy").agg(F.min("room_ix").alias("room_ix"))
