@@ -53,10 +53,10 @@ def room_thresholds(rooms: DataFrame, *keys: str) -> DataFrame:
     asks = rooms.select(*keys, "tag", s.alias("v"), F.lit(1).alias("ask"), "plan_id", "room_ix", "sq")
     both = pool.unionByName(asks)
     upto = Window.partitionBy(*part).orderBy("v", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*part).orderBy("v", "ask").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*part).orderBy(F.desc("v"), F.desc("ask")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*part)
     is_pool = F.when(F.col("ask") == 0, F.col("v"))
-    m = both.select("*", F.count(is_pool).over(upto).alias("j"), F.last(is_pool, ignorenulls=True).over(upto).alias("vj"), F.first(is_pool, ignorenulls=True).over(after).alias("vn"), F.count(is_pool).over(whole).alias("n")).where("ask = 1")
+    m = both.select("*", F.count(is_pool).over(upto).alias("j"), F.last(is_pool, ignorenulls=True).over(upto).alias("vj"), F.last(is_pool, ignorenulls=True).over(after).alias("vn"), F.count(is_pool).over(whole).alias("n")).where("ask = 1")
     never = (F.col("j") >= F.col("n")) | (F.col("tag").isin(*K.BEDROOMS) & (F.col("v") >= K.BEDROOM_CAP))
     p = F.when(never, F.lit(None)).when(F.col("j") == 0, 0.0).otherwise((F.col("j") - 1 + (F.col("v") - F.col("vj")) / (F.col("vn") - F.col("vj"))) / (F.col("n") - 1))
     return m.select(*keys, "plan_id", "room_ix", "tag", "sq", p.alias("p"))

@@ -89,8 +89,8 @@ def binomial_draws(cells: DataFrame, draws: int, seed: int = K.DRAW_SEED) -> Dat
     cdf = steps.withColumn("lp", F.sum(term).over(run)).withColumn("at", F.sum(F.exp("lp")).over(run)).select("grp", "k", "at", F.lit(None).cast("long").alias("draw"))
     ask = inner.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
     ask = ask.select("grp", F.lit(None).cast("long").alias("k"), uniform(seed, F.col("grp"), F.col("draw")).alias("at"), "draw")
-    up = Window.partitionBy("grp").orderBy(F.col("at"), F.col("draw").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-    found = cdf.unionByName(ask).withColumn("k", F.first("k", ignorenulls=True).over(up)).where("draw IS NOT NULL")
+    up = Window.partitionBy("grp").orderBy(F.desc("at"), F.col("draw").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = cdf.unionByName(ask).withColumn("k", F.last("k", ignorenulls=True).over(up)).where("draw IS NOT NULL")
     found = found.join(F.broadcast(inner.select("grp", "total")), "grp").select("grp", "draw", F.coalesce("k", "total").alias("k"))
     flat = cells.where("total > 0 AND (passed = 0 OR passed = total)").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"), F.col("passed").alias("k"))
     return found.unionByName(flat)
