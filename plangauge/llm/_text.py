@@ -49,7 +49,9 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     """values[starts[i] : starts[i] + lengths[i]] for every i, end to end."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    where = np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    where = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    where += np.arange(total, dtype=kind)
     return values[where]
 
 

@@ -21,7 +21,7 @@ from plangauge.llm._text import Recent, ragged, slices, texts
 #: Fixed value: the pattern that splits normalised text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces and words that a worker keeps, in each of two generations.
-KEPT_PIECES, KEPT_WORDS = 200_000, 400_000
+KEPT_PIECES, KEPT_WORDS = 150_000, 300_000
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ def tokenise(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str =
     width = _tokens(path).width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 16 << 20):
+        for b in slices(batches, "text", 8 << 20):
             ids, n = token_ids(texts(b, "text"), path)
             ends = np.cumsum(n)
             full = np.insert(ids, ends, p.end_id).astype(width)
