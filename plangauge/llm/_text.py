@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,6 +56,19 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[where]
 
 
+_state: list = [None, None]
+
+
+def worker_state(key: tuple, build: Callable):
+    """What a worker keeps from batch to batch, for one operator at a time: workers are used again by later stages, and another operator's vocabulary or cache would stay in memory."""
+    if _state[0] != key:
+        _state[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _state[:] = [key, build()]
+    return _state[1]
+
+
 class Recent:
     """A bounded map that keeps what was used lately: two generations, the older one dropped when the younger is full."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 
@@ -13,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plangauge.llm._text import ragged, with_text_columns
+from plangauge.llm._text import ragged, with_text_columns, worker_state
 
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -191,9 +190,8 @@ class Pieces:
         return [at[p] for p in pieces]
 
 
-@functools.lru_cache(maxsize=2)
 def _pieces(path: str) -> Pieces:
-    return Pieces(Vocabulary(path))
+    return worker_state(("bpe", path), lambda: Pieces(Vocabulary(path)))
 
 
 def encode_batch(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:

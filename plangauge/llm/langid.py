@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from dataclasses import dataclass
 
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plangauge.llm._text import with_text_columns
+from plangauge.llm._text import with_text_columns, worker_state
 
 UNKNOWN = "und"
 
@@ -97,8 +96,11 @@ def codes_of(text: str, table: np.ndarray) -> np.ndarray:
     return c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]] if len(c) else c
 
 
-@functools.lru_cache(maxsize=4)
 def _models(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    return worker_state(("language", samples), lambda: _built(samples))
+
+
+def _built(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
     """Built once in each worker: letter codes, the automata end to end, where each starts, and log2 of each training length."""
     letters = sorted({c for _, t in samples for c in t.lower() if c.isalpha() and ord(c) < 0xFFFF})
     table = np.zeros(1 << 16, np.uint16)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plangauge.core.components import components
 from plangauge.core.staging import stage, unstage
-from plangauge.llm._text import slices, texts
+from plangauge.llm._text import slices, texts, worker_state
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,8 @@ def sketch(df: DataFrame, p: Near, *, id_col: str, text_col: str, row_col: str)
     """(row, id, n, node, keys) for each row: set size, 128-bit hash of the whole set (null if empty) and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        worker_state(("minhash",), bool)
+        for b in slices(batches, "text", 4 << 20):
             sets = shingle_sets(texts(b, "text"), p.width)
             keys = band_keys(signatures(sets, p.bands * p.rows), p.bands, p.rows).view(np.int64)
             full = np.array([len(s) > 0 for s in sets], bool)
@@ -115,7 +116,8 @@ def _sets_of(df: DataFrame, wanted: DataFrame, p: Near, id_col: str, text_col: s
     """(node, shingles) for the wanted (node, id): the sets again, from the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        worker_state(("minhash",), bool)
+        for b in slices(batches, "text", 4 << 20):
             sets = shingle_sets(texts(b, "text"), p.width)
             nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import os
 from collections.abc import Iterator
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plangauge.core.staging import stage
-from plangauge.llm._text import Recent, ragged, slices, texts
+from plangauge.llm._text import Recent, ragged, slices, texts, worker_state
 
 #: Fixed value: the pattern that splits normalised text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -75,9 +74,8 @@ class Tokens:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
-    return Tokens(path)
+    return worker_state(("packing", path), lambda: Tokens(path))
 
 
 def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:

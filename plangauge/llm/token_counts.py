@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plangauge.llm._text import with_text_columns
+from plangauge.llm._text import with_text_columns, worker_state
 
 #: Stands before each word in the vocabulary.
 MARK = "▁"
@@ -83,9 +82,8 @@ class Trie:
         return found
 
 
-@functools.lru_cache(maxsize=2)
 def _trie(path: str) -> Trie:
-    return Trie(zipf_scores(path))
+    return worker_state(("token counts", path), lambda: Trie(zipf_scores(path)))
 
 
 def count_tokens(df: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
