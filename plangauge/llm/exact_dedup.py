@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plangauge.core.columns import others
-
-#: Bits in one bitmap row (4 KB), as Spark's bitmap functions have them.
-BITMAP_BITS = 32768
+from plangauge.llm._bitmaps import BITMAP_BITS, bit_of, bitmaps
 
 
 def normalised(text: Column) -> Column:
@@ -29,7 +27,7 @@ def repeat_filter(keys: DataFrame, key_col: str, bits: int) -> DataFrame:
     """Pass one: the slots that two or more rows hash to, as bitmap rows (bucket, bitmap); bits / 8 bytes in all at most."""
     slots = keys.select(F.explode(F.array(*[_slot(F.col(key_col), k, bits) for k in (0, 1)])).alias("slot"))
     often = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return often.groupBy(F.expr(f"slot div {BITMAP_BITS}").alias("_pg_bucket")).agg(F.expr(f"bitmap_construct_agg(slot % {BITMAP_BITS})").alias("_pg_bitmap"))
+    return bitmaps(often, "slot")
 
 
 def flag_repeats(rows: DataFrame, key_col: str, *, bits_per_row: int = 16, max_bits: int = 1 << 31, broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -47,8 +45,7 @@ def flag_repeats(rows: DataFrame, key_col: str, *, bits_per_row: int = 16, max_b
         bitmap = found.select(F.col("_pg_bucket").alias(f"_pg_b{k}"), F.col("_pg_bitmap").alias(f"_pg_m{k}"))
         out = out.withColumn(f"_pg_s{k}", _slot(F.col(key_col), k, bits)).withColumn(f"_pg_b{k}", F.expr(f"_pg_s{k} div {BITMAP_BITS}"))
         out = out.join(F.broadcast(bitmap) if bits // 8 <= broadcast_bytes else bitmap, f"_pg_b{k}", "left")
-    bit = lambda k: F.expr(f"coalesce(shiftright(cast(conv(hex(substring(_pg_m{k}, cast(_pg_s{k} % {BITMAP_BITS} div 8 as int) + 1, 1)), 16, 10) as int), cast(_pg_s{k} % 8 as int)) & 1, 0) = 1")
-    return out.select(*others(rows), (bit(0) & bit(1)).alias("_pg_maybe"))
+    return out.select(*others(rows), (bit_of("_pg_m0", "_pg_s0") & bit_of("_pg_m1", "_pg_s1")).alias("_pg_maybe"))
 
 
 def resolve(keys: DataFrame, *, id_col: str = "doc_id", key_col: str = "text_key", **options) -> DataFrame:

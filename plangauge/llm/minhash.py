@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plangauge.core.components import components
 from plangauge.core.staging import stage, unstage
+from plangauge.llm._bitmaps import mark
 from plangauge.llm._text import slices, texts, worker_state
 
 
@@ -112,21 +113,19 @@ def sketch(df: DataFrame, p: Near, *, id_col: str, text_col: str, row_col: str)
     return rows.mapInArrow(run, f"row long, id {kind}, n long, node binary, keys array<long>")
 
 
-def _sets_of(df: DataFrame, wanted: DataFrame, p: Near, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) for the wanted (node, id): the sets again, from the whole texts."""
+def _sets_of(rows: DataFrame, wanted: DataFrame, p: Near, text_col: str) -> DataFrame:
+    """(node, shingles) for the wanted _pg_row, one row of each node: the sets again, from the whole texts, which do not shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(("minhash",), bool)
         for b in slices(batches, "text", 4 << 20):
             sets = shingle_sets(texts(b, "text"), p.width)
-            nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(nodes, pa.binary()), lists], ["wanted", "node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], ["node", "shingles"])
 
-    rows = df.select(F.col(id_col).alias("_pg_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(wanted, F.col("_pg_id").eqNullSafe(F.col("id"))).select("node", "text")
-    sets = found.mapInArrow(run, "wanted binary, node binary, shingles array<long>").where("wanted = node")
-    return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = mark(rows.select("_pg_row", F.col(text_col).cast("string").alias("text")), wanted, "_pg_row").where("_pg_marked")
+    return found.select("text").mapInArrow(run, "node binary, shingles array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, difference: bool = False) -> DataFrame:
@@ -175,11 +174,11 @@ def groups(df: DataFrame, p: Near = Near(), *, id_col: str = "doc_id", text_col:
     stars. Components follow from the links; component is the smallest id in it.
 
     Null and empty texts have no set, are linked with nothing and are their own component. Rows with equal ids are told apart by
-    their texts. df must be a stored table, read again in the same order.
+    their places. df must be a stored table, read again in the same order; where it is not, this raises an error.
     """
     rows = df.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("_pg_row"))
     sk = stage(sketch(rows, p, id_col=id_col, text_col=text_col, row_col="_pg_row"), "sketch")
-    nodes = stage(sk.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.first("keys").alias("keys")), "nodes")
+    nodes = stage(sk.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("_pg_row"), F.first("keys").alias("keys")), "nodes")
     placed = nodes.select("node", F.explode("keys").alias("key"))
     full = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     mates = stage(placed.join(full, "key"), "buckets")
@@ -188,7 +187,10 @@ def groups(df: DataFrame, p: Near = Near(), *, id_col: str = "doc_id", text_col:
     hubs = ranked.groupBy("key").agg(F.max(F.struct("d", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
     stars = stage(ranked.join(hubs, "key").where("node <> hub").select("hub", "node").distinct(), "stars")
     ends = stars.select(F.col("hub").alias("node")).unionByName(stars.select("node")).distinct()
-    sets = stage(_sets_of(df, nodes.select("node", "id").join(ends, "node"), p, id_col, text_col), "sets")
+    wanted = nodes.select("node", "_pg_row").join(ends, "node")
+    sets = stage(_sets_of(rows, wanted.select("_pg_row"), p, text_col), "sets")
+    if lost := wanted.join(sets, "node", "left_anti").count():
+        raise RuntimeError(f"{lost} rows were not found again: the table was not read twice in the same order")
     similar = f"100 * i >= {p.percent} * (hub_n + n - i)"
     tested = stage(_compared(stars, sets, difference=True), "tested")
     links = tested.where(similar).select("hub", "node")
@@ -211,7 +213,8 @@ def groups(df: DataFrame, p: Near = Near(), *, id_col: str = "doc_id", text_col:
 def near_dedup(df: DataFrame, p: Near = Near(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each near-duplicate group, that of the smallest id (the first such row of the table); texts without words all stay."""
     found = groups(df, p, id_col=id_col, text_col=text_col)
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    stay = found.where("label is not null").groupBy("label").agg(best).select(F.col("best.row").alias("_pg_row"))
-    stay = stage(stay.unionByName(found.where("label is null").select(F.col("row").alias("_pg_row"))), "stay")
-    return df.withColumn("_pg_row", F.monotonically_increasing_id()).join(stay, "_pg_row", "left_semi").drop("_pg_row")
+    some = stage(found.where("label is not null").select("row", "id", "label"), "grouped")
+    best = some.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+    stay = stage(best.select(F.col("best.row").alias("row")), "stay")
+    gone = stage(some.select("row").join(stay, "row", "left_anti").select(F.col("row").alias("_pg_row")), "gone")
+    return mark(df.withColumn("_pg_row", F.monotonically_increasing_id()), gone, "_pg_row").where("not _pg_marked").drop("_pg_row", "_pg_marked")

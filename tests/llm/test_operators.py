@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plangauge.llm._bitmaps import mark
 from plangauge.llm import bpe, exact_dedup, langid, minhash, packing, pii, sharding, token_counts, topk, url_filter
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -115,6 +116,17 @@ def test_near_duplicates_against_all_pairs(spark, tmp_path, width):
     assert len(kept) == len(set(root)) and Counter(map(tuple, kept)) <= Counter(order)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_rows_are_marked_by_their_number(spark, broadcast_bytes):
+    rows = spark.range(0, 200000, 3).withColumnRenamed("id", "place").withColumn("_pg_row", F.col("place") + (F.col("place") % 2) * (1 << 33))
+    marked = rows.where("place % 7 = 0 or place = 199998").select("_pg_row")
+    got = mark(rows, marked.unionByName(marked), "_pg_row", broadcast_bytes)
+    assert set(got.columns) == {"place", "_pg_row", "_pg_marked"}
+    assert got.count() == rows.count()
+    assert got.where("_pg_marked <> (place % 7 = 0 or place = 199998)").count() == 0
+    assert mark(rows, marked.limit(0), "_pg_row", broadcast_bytes).where("_pg_marked").count() == 0
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert minhash.near_dedup(empty).count() == 0
 
