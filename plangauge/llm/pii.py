@@ -16,11 +16,15 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|(?<=[+0-9. -])[0-9]{3}[ .-]|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-#: All but e-mail begin with a digit, + or (; looking for that first passes over other text quickly.
-NUMBERS = f"(?=[0-9+(])(?:{'|'.join((IPV4, DATE, SSN, PHONE, CARD))})"
-#: Every number that NUMBERS can match holds this; most texts do not.
+PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+#: All but e-mail and cards begin with a digit, + or (; looking for that first passes over other text quickly.
+NUMBERS = f"(?=[0-9+(])(?:{'|'.join((IPV4, DATE, SSN, PHONE))})"
+#: How cards are written, the likelier first; then any 13 to 19 digits in any groups, the longest first.
+LAYOUTS = ["[0-9]{4}(?:[ -][0-9]{4}){3}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", "[0-9]{4}[ -][0-9]{6}[ -][0-9]{4}", "[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{1,3}", "[0-9]{13,19}"]
+GROUPED = [f"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1)]
+#: Every card holds this; a border is where a group of digits begins or ends, letters being part of a group.
+LONG, BORDER = "[0-9](?:[ -]?[0-9]){12}", "(?<![0-9A-Za-z])(?=[0-9])|(?<=[0-9])(?![0-9A-Za-z])"
+#: Every number of any kind holds this; most texts do not.
 HINT = r"[0-9][0-9 ()./-]{5,}[0-9]"
 
 
@@ -131,7 +135,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one match; a match that is not valid for its kind stays as it is (an octet over 255, a date that does not exist, digits that fail Luhn's test)."""
+    """The pseudonym of one match of EMAIL or NUMBERS; a match that is not valid for its kind stays as it is (an octet over 255, a date that does not exist)."""
     full = lambda p: m.rlike(f"^(?:{p})$")
     octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
     return (
@@ -140,17 +144,48 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(full(DATE), F.when(_date_of(m).isNotNull(), _date(m, key)).otherwise(m))
         .when(full(SSN), _number(m, key, "ssn"))
         .when(full(PHONE), _phone(m, key))
-        .otherwise(F.when(F.pmod(luhn_sum(_only_digits(m)), F.lit(10)) == 0, _card(m, key)).otherwise(m))
     )
 
 
-def _replaced(df: DataFrame, text: Column, where: Column, pattern: str, key: str, n: str) -> DataFrame:
-    """df plus _pg_found<n> (the matches, where `where` holds) and _pg_text<n>, the text with each match replaced."""
-    found, pieces, new = f"_pg_found{n}", f"_pg_pieces{n}", f"_pg_pseudonyms{n}"
-    df = df.withColumn(found, F.when(where, F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)))
-    df = df.withColumn(pieces, F.when(F.size(found) > 0, F.split(text, pattern, -1))).withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
-    woven = F.zip_with(F.col(pieces), F.col(new), lambda s, m: F.concat(s, F.coalesce(m, F.lit(""))))
-    return df.withColumn(f"_pg_text{n}", F.when(F.size(found) > 0, F.array_join(woven, "")).otherwise(text))
+def _part(text: Column, done: bool) -> Column:
+    return F.struct(text.alias("text"), F.lit(done).alias("done"))
+
+
+def _woven(text: Column, pattern: str, key: str) -> Column:
+    """Parts (text, done) of a text: what lies between the matches of a pattern, and the pseudonym of each match, done."""
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda s, m: F.array(_part(s, False), _part(F.when(m.isNotNull(), pseudonym(m, key)), True)))
+    return F.filter(F.flatten(pairs), lambda x: x["text"].isNotNull())
+
+
+def _cards(text: Column, layouts: list[str], key: str) -> Column:
+    """Parts (text, done) of a text: the pseudonyms of its cards, done, and what lies between them.
+
+    A card is a run of atoms (groups of digits and what parts them) that has one of the layouts and passes Luhn's test. Each atom is marked
+    with the number of atoms of the card that begins there (b for 1, c for 3 and so on; a for none); the cards are then taken from
+    the left, without overlap, by one pattern over the marks. Linear in the text.
+    """
+    def mark(s: Column) -> Column:
+        valid = F.filter(F.array(*[F.regexp_extract(s, f"^(?:{p})(?![0-9A-Za-z])", 0) for p in layouts]), lambda c: F.when(c != "", F.pmod(luhn_sum(_only_digits(c)), F.lit(10)) == 0).otherwise(F.lit(False)))
+        return let(F.try_element_at(valid, F.lit(1)), lambda c: F.when(c.isNull(), "a").otherwise(F.char(F.length(F.regexp_replace(c, "[0-9]", "")) + 98)))
+
+    def parts(atoms: Column) -> Column:
+        marks = F.array_join(F.transform(atoms, lambda x, i: F.when(x.rlike("^[0-9]"), let(F.array_join(F.slice(atoms, i + 1, F.lit(37)), ""), mark)).otherwise(F.lit("a"))), "")
+        taken = F.regexp_extract_all(marks, F.lit("(a++|" + "|".join(f"{chr(98 + n)}.{{{2 * n}}}" for n in range(19)) + ")"), F.lit(1))
+        return let(taken, lambda t: let(starts(t), lambda at: F.zip_with(t, at, lambda m, k: one(m, F.array_join(F.slice(atoms, k, F.length(m)), "")))))
+
+    def starts(taken: Column) -> Column:
+        firsts = F.split(F.array_join(F.transform(taken, lambda m: F.concat(F.lit("^"), F.repeat(F.lit("-"), F.length(m) - 1))), ""), "")
+        return F.filter(F.transform(firsts, lambda c, i: F.when(c == "^", i + 1)), lambda k: k.isNotNull())
+
+    def one(m: Column, s: Column) -> Column:
+        return F.when(m.startswith("a"), _part(s, False)).otherwise(_part(_card(s, key), True))
+
+    return F.when(text.rlike(LONG), let(F.split(text, BORDER, -1), parts)).otherwise(F.array(_part(text, False)))
+
+
+def _refined(parts: Column, cut) -> Column:
+    """Parts with each that is not done cut further."""
+    return F.flatten(F.transform(parts, lambda x: F.when(x["done"], F.array(x)).otherwise(cut(x["text"]))))
 
 
 def pseudonymise(df: DataFrame, key: str, *, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -158,16 +193,21 @@ def pseudonymise(df: DataFrame, key: str, *, text_col: str = "text", count_col:
 
     Card numbers (Luhn), dates, IPv4 addresses, telephone and social security numbers are permuted by a Feistel network keyed by
     `key`, each within its own format: an equal value has an equal pseudonym in every document, and different values have
-    different ones. E-mail addresses get keyed substitutes before the @. One pass over the rows, no shuffle, whole texts; a null text
-    stays null and has count 0, other columns and rows without personal data stay as they are. An input column named count_col is
-    replaced.
+    different ones. E-mail addresses get keyed substitutes before the @. Cards in a usual layout go first, then the other numbers, then
+    any 13 to 19 digits between borders that pass Luhn's test, so that a card is found whatever digits stand beside it. One pass over
+    the rows, no shuffle, whole texts; a null text stays null and has count 0, other columns and rows without personal data stay as
+    they are. An input column named count_col is replaced.
     """
     text = F.col(text_col)
-    out = df.withColumn("_pg_mail", F.contains(text, F.lit("@")))
-    out = _replaced(out, text, F.col("_pg_mail"), EMAIL, key, "1")
-    out = out.withColumn("_pg_some", F.col("_pg_text1").rlike(HINT))
-    out = _replaced(out, F.col("_pg_text1"), F.col("_pg_some"), NUMBERS, key, "2").withColumn("_pg_new", F.col("_pg_text2"))
+    done = lambda c: F.size(F.filter(c, lambda x: x["done"]))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["text"]), "")
+    out = df.withColumn("_pg_mails", F.when(F.contains(text, F.lit("@")), _woven(text, EMAIL, key)))
+    out = out.withColumn("_pg_text", F.when(F.col("_pg_mails").isNotNull(), joined("_pg_mails")).otherwise(text))
+    out = out.withColumn("_pg_cards", F.when(F.col("_pg_text").rlike(HINT), _cards(F.col("_pg_text"), LAYOUTS, key)))
+    out = out.withColumn("_pg_numbers", _refined(F.col("_pg_cards"), lambda t: _woven(t, NUMBERS, key)))
+    out = out.withColumn("_pg_parts", _refined(F.col("_pg_numbers"), lambda t: _cards(t, GROUPED, key)))
+    out = out.withColumn("_pg_new", F.when(F.col("_pg_parts").isNotNull(), joined("_pg_parts")).otherwise(F.col("_pg_text")))
     if count_col:
-        out = out.withColumn(count_col, (F.coalesce(F.size("_pg_found1"), F.lit(0)) + F.coalesce(F.size("_pg_found2"), F.lit(0))).cast("long"))
+        out = out.withColumn(count_col, (F.coalesce(F.when(F.col("_pg_mails").isNotNull(), done("_pg_mails")), F.lit(0)) + F.coalesce(F.when(F.col("_pg_parts").isNotNull(), done("_pg_parts")), F.lit(0))).cast("long"))
     plain = [F.col("_pg_new").alias(c) if c.lower() == text_col.lower() else F.col(q) for c, q in zip(df.columns, others(df), strict=True) if c.lower() != (count_col or "").lower()]
     return out.select(*plain, *([count_col] if count_col else []))

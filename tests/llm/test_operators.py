@@ -298,6 +298,27 @@ def test_pseudonyms_keep_format_and_links(spark, empty):
     assert pii.pseudonymise(df, "other").first().text != a and pii.pseudonymise(empty, "key").count() == 0
 
 
+def test_cards_and_phones_beside_other_digits(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [f"{card} 12/26", f"{card} 123", "4111111111111111 737", f"item 77 {card}", f"1234 {card}", f"{amex} 1234", f"{card} 555-123-4567", f"(415) 555-0199 {card} 2020-02-29", "10 41111 11111 111111 1", f"{card} {card}", f"{card} 12th"]
+    texts += ["555 123 4567", "x\n555 123 4567", "tel:555 123 4567", "call 555 123 4567", "12 555-123-4567 1234", "4111 1111 1111 1112 12", "1234567890123456 99", "4111 1111 1111 1111a", " ".join(["4111-1111-1111-1111"] * 2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r.i: (r.text, r.n) for r in pii.pseudonymise(df, "key", count_col="n").collect()}
+    c, p = pii.pseudonymise(spark.createDataFrame([(card,), ("415-555-0199",)], "text string"), "key").collect()
+    c, p = c.text, p.text
+    t = lambda i: got[i][0]
+    assert c != card and (t(0), t(1), t(2), t(3), t(4)) == (f"{c} 12/26", f"{c} 123", f"{c.replace(' ', '')} 737", f"item 77 {c}", f"1234 {c}")
+    assert t(5) != texts[5] and t(5).endswith(" 1234") and re.fullmatch(r"\d{4} \d{6} \d{5} 1234", t(5))
+    assert t(6).startswith(c + " ") and "555-123-4567" not in t(6) and got[6][1] == 2
+    assert t(7).startswith(f"({p[:3]}) {p[4:]} {c} ") and "2020-02-29" not in t(7) and got[7][1] == 3
+    assert t(8) == f"10 {''.join(x for x in c if x != ' ')[:5]} {c.replace(' ', '')[5:10]} {c.replace(' ', '')[10:]} 1"
+    assert (t(9), t(10)) == (f"{c} {c}", f"{c} 12th")
+    phones = {re.search(r"\d{3} \d{3} \d{4}", t(i))[0] for i in (11, 12, 13, 14)}
+    assert len(phones) == 1 and phones != {"555 123 4567"} and t(15) == f"12 {phones.pop().replace(' ', '-')} 1234"
+    assert [t(i) for i in (16, 17, 18)] == [texts[i] for i in (16, 17, 18)] and [got[i][1] for i in (16, 17, 18)] == [0, 0, 0]
+    assert got[19] == (" ".join([c.replace(" ", "-")] * 2000), 2000)
+
+
 def test_permutations_are_bijective(spark):
     d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert d.select(pii.permuted_digits(F.col("d"), "k", F.lit("t")).alias("p")).where("length(p) = 3").distinct().count() == 1000
