@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,16 +32,16 @@ def may_learn(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame, p: Parsing = Parsing(), *, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """(language, training text) by language, from a bounded sample of labelled rows, drawn by a hash of the text.
+    """(language, training text) by language, from a bounded sample of labelled rows: the distinct texts of the smallest hashes.
 
-    Each language gives about p.docs rows with letters, p.doc_chars characters of each from a place that the hash sets. Languages
-    are few; what the driver gets is bounded by their number times p.lang_chars.
+    Each language gives p.docs distinct texts with letters, or all that it has, however often a text is repeated; p.doc_chars
+    characters of each from a place that the hash sets. Languages are few; what the driver gets is bounded by their number times
+    p.docs texts of p.doc_chars.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(2.0 * p.docs) / F.col("n"))
-    some = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.col("h"), F.lit(1 << 20)) <= share * (1 << 20))
+    least = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= p.docs)
+    some = rows.join(F.broadcast(least.select("lang", "h")), ["lang", "h"])
     cut = F.substring(F.col("text"), (F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - p.doc_chars, F.lit(1))) + 1).cast("int"), F.lit(p.doc_chars))
     got: dict[str, list[tuple[int, str]]] = {}
     for lang, h, text in some.select("lang", "h", cut).distinct().collect():

@@ -217,6 +217,14 @@ def test_language_by_brute_force_parse(spark, empty):
     assert langid.fit(empty) == [] and langid.identify(empty, samples).count() == 0
 
 
+def test_copies_of_one_text_do_not_crowd_out_a_language(spark):
+    crowd = spark.range(60_000).select(F.lit("copy of copies").alias("text"), F.lit("aa").alias("lang"))
+    rest = spark.range(100).select(F.concat(F.lit("kalo "), F.col("id").cast("string")).alias("text"), F.lit("aa").alias("lang"))
+    many = spark.range(2000).select(F.concat(F.lit("ung "), F.col("id").cast("string")).alias("text"), F.lit("bb").alias("lang"))
+    (a, x), (b, y) = langid.fit(crowd.union(rest).union(many))
+    assert (a, b) == ("aa", "bb") and x.count("kalo") == 100 and x.count("copy of") == 1 and y.count("ung") == 256
+
+
 # ---- 5: token counts
 
 
