@@ -92,7 +92,7 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
 
 def codes_of(text: str, table: np.ndarray) -> np.ndarray:
     """Lower-case letters as alphabet codes; each run of other characters is one 0. Letters outside the alphabet are 1."""
-    c = table[np.minimum(np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32), len(table) - 1)]
+    c = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
     return c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]] if len(c) else c
 
 
@@ -102,10 +102,9 @@ def _models(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarra
 
 def _built(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
     """Built once in each worker: letter codes, the automata end to end, where each starts, and log2 of each training length."""
-    letters = sorted({c for _, t in samples for c in t.lower() if c.isalpha() and ord(c) < 0xFFFF})
-    table = np.zeros(1 << 16, np.uint16)
+    letters = sorted({c for _, t in samples for c in t.lower() if c.isalpha()})
+    table = np.zeros(0x110000, np.uint32)  # every code point
     table[[i for i in range(len(table)) if chr(i).isalpha()]] = 1
-    table[-1] = 1
     table[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
     parts, starts, logs = [], [], []
     for _, t in samples:

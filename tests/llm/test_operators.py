@@ -225,6 +225,15 @@ def test_copies_of_one_text_do_not_crowd_out_a_language(spark):
     assert (a, b) == ("aa", "bb") and x.count("kalo") == 100 and x.count("copy of") == 1 and y.count("ung") == 256
 
 
+def test_letters_over_all_of_unicode(spark):
+    gothic, deseret = "\U00010330\U00010331\U00010332", "\U00010428\U00010429\U0001042a"
+    samples = [("aa", "kalo milo kalo"), ("de", f"{deseret} {deseret}"), ("go", f"{gothic} {gothic}")]
+    texts = ["\U0001f600\U0001f680 \U0001f44d", "\U0010ffff", "!? kalo ! milo", "\U0001f600 kalo \U0001f680 milo", gothic, deseret, "\U00010400\U00010401\U00010402"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), samples).orderBy("i").collect()
+    assert [r.lang_pred for r in got] == ["und", "und", "aa", "aa", "go", "de", "de"]
+    assert got[0].score == got[1].score == 0 and got[2].score == got[3].score > 0
+
+
 # ---- 5: token counts
 
 
