@@ -25,12 +25,11 @@ KEPT_PIECES, KEPT_WORDS = 150_000, 300_000
 
 @dataclass(frozen=True)
 class Packing:
-    """Window length, end token, tokens of a shard, query terms, and BM25's k1 and b."""
+    """Window length, end token, tokens of a shard, and BM25's k1 and b."""
 
     window: int = 4096
     end_id: int = 2
     shard_tokens: int = 2_000_000
-    terms: int = 48
     k1: float = 1.2
     b: float = 0.75
 
@@ -140,16 +139,13 @@ class Index:
         self.weight = idf[term] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * sizes[self.doc] / mean))
         self.first = np.searchsorted(term, np.arange(len(idf) + 1))
         order = np.argsort(self.doc, kind="stable")
-        self.term, self.value = term[order], self.weight[order]
+        self.term = term[order]
         self.at = np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
-        self.p, self.n = p, len(docs)
+        self.n = len(docs)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """BM25 scores of all documents of the shard for the seed's heaviest terms."""
-        a, b = self.at[seed], self.at[seed + 1]
-        terms = self.term[a:b]
-        if len(terms) > self.p.terms:
-            terms = terms[np.argpartition(-self.value[a:b], self.p.terms)[: self.p.terms]]
+        """BM25 scores of all documents of the shard for all of the seed's terms."""
+        terms = self.term[self.at[seed] : self.at[seed + 1]]
         starts = self.first[terms]
         lengths = self.first[terms + 1] - starts
         return np.bincount(ragged(self.doc, starts, lengths), ragged(self.weight, starts, lengths), self.n)

@@ -178,6 +178,18 @@ def test_a_window_is_filled_by_the_nearest_unused(spark):
     assert [d for d, *_ in out][:2] == [0, 2]
 
 
+def test_scores_count_all_terms_of_a_long_seed():
+    rnd = random.Random(9)
+    docs_ = [np.array(rnd.sample(range(400), n)) for n in (300, 200, 60, 40, 90, 10)] + [np.array([5, 5, 7]), np.arange(50), np.arange(350, 400)]
+    sizes, p = [len(d) for d in docs_], packing.Packing()
+    mean, found = sum(sizes) / len(sizes), np.array([sum(t in d for d in docs_) for t in range(400)])
+    idf = np.log1p((len(docs_) - found + 0.5) / (found + 0.5))
+    index = packing.Index(docs_, idf, mean, p)
+    for seed, q in enumerate(docs_):
+        want = [sum(idf[t] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * len(d) / mean)) for t in set(q.tolist()) if (tf := (d == t).sum())) for d in docs_]
+        assert index.neighbours(seed) == pytest.approx(want)
+
+
 # ---- 4: language
 
 
