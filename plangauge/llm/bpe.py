@@ -12,14 +12,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from plangauge.llm._text import ragged, with_text_columns, worker_state
+from plangauge.llm._text import Recent, ragged, with_text_columns, worker_state
 
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces and trie nodes kept by a worker before it starts anew.
-KEPT = 300_000
-#: Words longer than this do not enter the trie; they are encoded on their own by the same steps.
-DEEPEST = 48
+#: Pieces and words that a worker keeps, in each of two generations; transitions and pairs of tokens before they are found anew.
+KEPT, KEPT_STEPS = 350_000, 600_000
+#: Pieces and words of more characters are encoded like any other but not kept.
+LONG = 256
 
 
 def byte_symbols() -> dict[str, int]:
@@ -55,22 +55,14 @@ class Vocabulary:
             self.merged.setdefault(pair, ids[a + b])
             self.parts.setdefault(ids[a + b], pair)
         self.by_bytes = {self.bytes[i]: i for i in ids.values() if i in self.parts or len(self.bytes[i]) == 1}
-        self.longest = max(map(len, self.by_bytes))
+        self.begins = {t[:n] for t in self.by_bytes for n in range(len(t) + 1)}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes))]
         self.blob = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.sizes = np.array([len(t) for t in self.bytes], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.adjacent: dict[tuple[int, int], bool] = {}
 
-    def may_follow(self, left: int, right: int) -> bool:
+    def may_follow(self, a: int, b: int) -> bool:
         """Whether BPE leaves these two tokens side by side: undo the later of their merges, step by step, and see that no merge across the seam came first."""
-        found = self.adjacent.get((left, right))
-        if found is None:
-            if len(self.adjacent) > 2_000_000:
-                self.adjacent.clear()
-            found = self.adjacent[left, right] = self._may_follow(left, right)
-        return found
-
-    def _may_follow(self, a: int, b: int) -> bool:
         first = 1 << 62  # the merge that was undone last; an earlier one across the seam would have come before it
         while True:
             across = self.merged.get((a, b))
@@ -89,7 +81,9 @@ class Encoder:
     """Encodings of distinct words, by a trie whose nodes hold the last token of the encoding of their prefix.
 
     The encoding of a prefix is that of the prefix without its last token, and that token: so one token for each node, found from
-    the nodes above it, gives the encodings of all words, and a shared prefix is worked out once.
+    the nodes above it, gives the encodings of all words, and a shared prefix is worked out once. The last token is the longest
+    token that ends the prefix and may follow the last token of what is before it; which tokens end a prefix is the state of an
+    automaton over the vocabulary (the longest end of the prefix that begins a token), whose transitions are worked out when met.
     """
 
     def __init__(self, v: Vocabulary):
@@ -97,63 +91,69 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.child: list[dict[int, int]] = [{}]
-        self.last = [-1]
+        self.number, self.strings = {b"": 0}, [b""]
+        self.ends: list[list[tuple[int, int]]] = [[]]
+        self.steps: dict[int, int] = {}
+        self.adjacent: dict[int, bool] = {}
+
+    def _step(self, state: int, byte: int) -> int:
+        """The state after one more byte, entered in the table."""
+        s = self.strings[state] + bytes((byte,))
+        while s not in self.v.begins:
+            s = s[1:]
+        found = self.number.get(s)
+        if found is None:
+            found = self.number[s] = len(self.strings)
+            self.strings.append(s)
+            tails = ((n, self.v.by_bytes.get(s[len(s) - n :])) for n in range(len(s), 0, -1))
+            self.ends.append([(n, t) for n, t in tails if t is not None])
+        self.steps[state << 8 | byte] = found
+        return found
 
-    def add(self, words: list[bytes]) -> list[list[int]]:
-        """The encodings of the words; depth first along the words in sorted order, new nodes only."""
-        out: list[list[int]] = [[]] * len(words)
-        path, before = [0], b""
+    def add(self, words: list[bytes]) -> list[bytes]:
+        """The encodings of the words, 4 bytes for each id. The words are walked depth first: in sorted order a word's trie nodes down
+        to where it leaves the one before it are those on the path, and only the nodes below are new."""
+        if max(len(self.steps), len(self.adjacent)) > KEPT_STEPS:
+            self.clear()
+        steps, ends, adjacent, follow, packed, sizes = self.steps, self.ends, self.adjacent, self.v.may_follow, self.v.packed, self.v.sizes.tolist()
+        out: list[bytes] = [b""] * len(words)
+        states, lasts, before = [0], [-1], b""
         for k in sorted(range(len(words)), key=words.__getitem__):
             w = words[k]
-            if len(w) > DEEPEST:
-                out[k] = self._alone(w)
-                continue
             same = 0
             for x, y in zip(w, before, strict=False):
                 if x != y:
                     break
                 same += 1
-            del path[same + 1 :]
-            for i in range(same, len(w)):
-                node = self.child[path[-1]].get(w[i])
-                if node is None:
-                    node = len(self.last)
-                    self.child[path[-1]][w[i]] = node
-                    self.child.append({})
-                    self.last.append(self._last(w, i + 1, [self.last[n] for n in path[max(0, i + 1 - self.v.longest) :]]))
-                path.append(node)
+            del states[same + 1 :], lasts[same + 1 :]
+            state = states[same]
+            for end in range(same + 1, len(w) + 1):
+                byte = w[end - 1]
+                to = steps.get(state << 8 | byte)
+                state = self._step(state, byte) if to is None else to
+                for size, token in ends[state]:
+                    if size == end:
+                        break
+                    pair = lasts[end - size] << 32 | token
+                    ok = adjacent.get(pair)
+                    if ok is None:
+                        ok = adjacent[pair] = follow(lasts[end - size], token)
+                    if ok:
+                        break
+                else:
+                    raise ValueError("a byte has no token")
+                states.append(state)
+                lasts.append(token)
             before = w
             tokens, at = [], len(w)
             while at:
-                t = self.last[path[at]]
-                tokens.append(t)
-                at -= len(self.v.bytes[t])
-            out[k] = tokens[::-1]
-        if len(self.last) > 2 * KEPT:
-            self.clear()
+                t = lasts[at]
+                tokens.append(packed[t])
+                at -= sizes[t]
+            tokens.reverse()
+            out[k] = b"".join(tokens)
         return out
 
-    def _last(self, w: bytes, end: int, lasts: list[int]) -> int:
-        """The last token of the encoding of w[:end]; lasts: that of each prefix before it, as far back as a token can reach."""
-        get, follow = self.v.by_bytes.get, self.v.may_follow
-        n = len(lasts)
-        for size in range(min(n, end), 0, -1):
-            t = get(w[end - size : end])
-            if t is not None and (size == end or follow(lasts[n - size], t)):
-                return t
-        raise ValueError("a byte has no token")
-
-    def _alone(self, w: bytes) -> list[int]:
-        lasts = [-1]
-        for end in range(1, len(w) + 1):
-            lasts.append(self._last(w, end, lasts[max(0, end - self.v.longest) :]))
-        tokens, at = [], len(w)
-        while at:
-            tokens.append(lasts[at])
-            at -= len(self.v.bytes[lasts[at]])
-        return tokens[::-1]
-
 
 class Pieces:
     """Token ids of pieces of text, kept from batch to batch."""
@@ -161,14 +161,12 @@ class Pieces:
     def __init__(self, v: Vocabulary):
         self.v, self.encoder, self.words = v, Encoder(v), regex.compile(PATTERN)
         self.special = re.compile("|".join(map(re.escape, v.special))) if v.special else None
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, np.ndarray] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known = Recent(KEPT)
 
     def split(self, piece: str) -> list[str | int]:
         """The pre-tokens of a piece, special tokens as ids."""
+        if piece[1:].isalpha() and piece[0] == " ":
+            return [piece]
         if self.special is None or not self.special.search(piece):
             return self.words.findall(piece)
         out, at = [], 0
@@ -177,17 +175,27 @@ class Pieces:
             at = m.end()
         return out + self.words.findall(piece[at:])
 
-    def lookup(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of each piece; the words that are new go to the trie together."""
-        if len(self.at) > KEPT:
-            self.clear()
-        at = self.at
-        new = {p: self.split(p) for p in pieces if p not in at}
-        words = list({w for ws in new.values() for w in ws if isinstance(w, str) and w not in self.known})
-        self.known.update(zip(words, self.encoder.add([w.encode() for w in words]), strict=True))
-        for p, ws in new.items():
-            at[p] = np.array([t for w in ws for t in (self.known[w] if isinstance(w, str) else (w,))], np.int32)
-        return [at[p] for p in pieces]
+    def encoded(self, split: list[list[str | int]]) -> list[bytes]:
+        """The ids of each list of pre-tokens, 4 bytes each; words that are new go to the trie together."""
+        get, packed = self.known.get, self.v.packed
+        ids = {w: packed[w] if isinstance(w, int) else get(w) for ws in split for w in ws}
+        fresh = [w for w, x in ids.items() if x is None]
+        for w, x in zip(fresh, self.encoder.add([w.encode() for w in fresh]), strict=True):
+            ids[w] = x
+            if len(w) <= LONG:
+                self.known.put(w, x)
+        return [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in split]
+
+    def lookup(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. A piece that is one word is known as that word: on its own it would split into itself."""
+        out = [self.known.get(p) for p in pieces]
+        new = [k for k, x in enumerate(out) if x is None]
+        split = [self.split(pieces[k]) for k in new]
+        for k, ws, x in zip(new, split, self.encoded(split), strict=True):
+            out[k] = x
+            if len(ws) > 1 and len(pieces[k]) <= LONG:
+                self.known.put(pieces[k], x)
+        return out
 
 
 def _pieces(path: str) -> Pieces:
@@ -212,17 +220,14 @@ def encode_batch(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     used, firsts = np.unique(codes[first], return_inverse=True) if len(first) else (np.empty(0, np.int64), first)
     found = know.lookup([" " + w for w in words] + [words[u] for u in used])
     codes[first] = len(words) + firsts
-    sizes = np.array([len(x) for x in found], np.int64)
+    sizes = np.array([len(x) for x in found], np.int64) // 4
     starts = np.cumsum(sizes) - sizes
-    ids = ragged(np.concatenate([*found, np.empty(0, np.int32)]), starts[codes], sizes[codes])
+    ids = ragged(np.frombuffer(b"".join(found), "<i4"), starts[codes], sizes[codes])
     lengths = np.add.reduceat(sizes[codes], first) if len(first) else first
     if odd.any():
         cut = np.split(ids, np.cumsum(lengths)[:-1])
         for i in np.flatnonzero(odd):
-            ws = know.split(column[int(i)].as_py())
-            fresh = list({w for w in ws if isinstance(w, str)})
-            got = dict(zip(fresh, know.encoder.add([w.encode() for w in fresh]), strict=True))
-            cut[i] = np.array([t for w in ws for t in (got[w] if isinstance(w, str) else (w,))], np.int32)
+            cut[i] = np.frombuffer(know.encoded([know.split(column[int(i)].as_py())])[0], "<i4")
         ids, lengths = np.concatenate(cut), np.array([len(c) for c in cut], np.int64)
     return ids.astype(np.int32), lengths
 
@@ -243,11 +248,12 @@ def encode(df: DataFrame, path: str, *, text_col: str = "text", decoded_col: str
     """df plus `ids` (array of int): the whole text's tokens, as the vocabulary file at `path` (on every machine) gives them.
 
     Null texts count as empty and have no ids. With decoded_col, the ids are decoded again into that column. Input columns of
-    those names are replaced. One pass, no shuffle; a worker keeps a bounded number of pieces and trie nodes.
+    those names are replaced. One pass, no shuffle; a worker keeps a bounded number of pieces. Repeated rows are encoded each, an
+    empty table gives an empty one, and a long text or a long word takes memory in proportion to its own length.
     """
     def work(column: pa.Array) -> list:
         ids, lengths = encode_batch(column, path)
         return [_lists(ids, lengths), *([pa.array(decode_batch(ids, lengths, path), pa.string())] if decoded_col else [])]
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]
-    return with_text_columns(df, text_col, fields, work, 4 << 20)
+    return with_text_columns(df, text_col, fields, work, 8 << 20)

@@ -364,7 +364,7 @@ def test_bpe_matches_the_library(spark, stored, empty):
     t = Tokenizer.from_file(BYTE)
     rnd = random.Random(2)
     bits = ["a", "B", " ", "  ", "\n", "\t", "é", "ß", "'s", "'ll", "1", "23", ".", "!!", "<|endoftext|>", "中", "\u3000", "\xa0", "\x1c", "\x85", "the", "ing", "🙂", "\u0301", "٣", "_", "\r\n"]
-    odd = ["".join(rnd.choices(bits, k=rnd.randint(0, 14))) for _ in range(1500)] + ["", "a" * 3000, " " * 300]
+    odd = ["".join(rnd.choices(bits, k=rnd.randint(0, 14))) for _ in range(1500)] + ["", "a" * 3000, " " * 300, "".join(rnd.choices("abehnt", k=20_000)), "é中" * 400, "x" + " the" * 300 + "  "]
     ids, n = bpe.encode_batch(pa.array(odd), BYTE)
     back = bpe.decode_batch(ids, n, BYTE)
     for text, got, dec in zip(odd, np.split(ids, np.cumsum(n)[:-1]), back, strict=True):
