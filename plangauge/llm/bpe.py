@@ -214,7 +214,7 @@ def encode_batch(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     parts = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar(""), column), " ")
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = parts.flatten().dictionary_encode()
-    words = flat.dictionary.to_pylist()
+    words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
     codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     first = np.cumsum(counts) - counts
     used, firsts = np.unique(codes[first], return_inverse=True) if len(first) else (np.empty(0, np.int64), first)

@@ -11,33 +11,38 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plangauge.core.staging import stage
 from plangauge.llm._text import Recent, ragged, slices, texts, worker_state
 
+#: Texts of these characters alone, single code points that the normaliser only lowers, are cut into words.
+PLAIN = r"^[\t\n\v\f\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]*$"
 #: Fixed value: the pattern that splits normalised text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces and words that a worker keeps, in each of two generations.
-KEPT_PIECES, KEPT_WORDS = 150_000, 300_000
+#: Words and pieces that a worker keeps, in each of two generations, if they are no longer than LONG; words given to the tokenizer at once.
+KEPT, LONG, TOGETHER = 200_000, 256, 20_000
 
 
 @dataclass(frozen=True)
 class Packing:
-    """Window length, end token, tokens of a shard, and BM25's k1 and b."""
+    """Window length, end token, tokens of a shard, BM25's k1 and b, and how many terms are drawn to deal a document."""
 
     window: int = 4096
     end_id: int = 2
     shard_tokens: int = 2_000_000
     k1: float = 1.2
     b: float = 0.75
+    draws: int = 4
 
 
 class Tokens:
-    """Token ids of white-space-free pieces by the tokenizers library, kept from batch to batch.
+    """Token ids of words and of white-space-free pieces by the tokenizers library, kept from batch to batch.
 
-    The file's normaliser and splitter never join what white space separates, so a text's ids are those of its pieces end to end.
+    The file's normaliser and splitter never join what white space separates, so a text's ids are those of its pieces end to end,
+    and those of a plain text are those of its words.
     """
 
     def __init__(self, path: str):
@@ -45,31 +50,40 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
         self.vocab = self.tokenizer.get_vocab_size()
-        self.words, self.plain = regex.compile(PATTERN), regex.compile(r"[\x00-ɏ]*")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.width = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
-        self.pieces, self.known = Recent(KEPT_PIECES), Recent(KEPT_WORDS)
+        self.known, self.words = Recent(KEPT), regex.compile(f"{PATTERN}|\n")
 
-    def _encode(self, items: list[str]) -> list[bytes]:
+    def _each(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
-    def lookup(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece, as bytes of self.width. Words that no piece had lately go to the tokenizer together."""
-        out = [self.pieces.get(p) for p in pieces]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words, encoded together, as one word's ids end with the only token that ends a word."""
+        out: list[bytes] = []
+        for a in range(0, len(words), TOGETHER):
+            some = words[a : a + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.width)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            if len(cuts) != len(some):
+                out += self._each(some)
+                continue
+            data = ids.tobytes()
+            out += [data[x:y] for x, y in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def lookup(self, items: list[str], words: bool) -> list[bytes]:
+        """The ids of each word, or of each piece of any characters, as bytes of self.width."""
+        out = [self.known.get(x) for x in items]
         new = [k for k, x in enumerate(out) if x is None]
-        split = {k: self.words.findall(pieces[k].lower()) for k in new if "<|" not in pieces[k] and (pieces[k].isascii() or self.plain.fullmatch(pieces[k]))}
-        ids = {w: self.known.get(w) for ws in split.values() for w in ws}
-        fresh = [w for w, x in ids.items() if x is None]
-        for w, x in zip(fresh, self._encode(fresh), strict=True):
-            ids[w] = x
-            self.known.put(w, x)
-        for k, ws in split.items():
-            out[k] = b"".join([ids[w] for w in ws])
-        rest = [k for k in new if k not in split]
-        for k, x in zip(rest, self._encode([pieces[k] for k in rest]), strict=True):
+        fresh = [items[k] for k in new]
+        for k, x in zip(new, self._words(fresh) if words else self._each(fresh), strict=True):
             out[k] = x
-        for k in new:
-            self.pieces.put(pieces[k], out[k])
+            if len(items[k]) <= LONG:
+                self.known.put(items[k], x)
         return out
 
 
@@ -77,19 +91,48 @@ def _tokens(path: str) -> Tokens:
     return worker_state(("packing", path), lambda: Tokens(path))
 
 
-def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids end to end, number of ids of each text)."""
+def _joined(found: list[bytes], width: np.dtype, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids end to end, number of ids of each group) of groups of items: codes number the items, counts say how many a group has."""
+    sizes = np.array([len(x) for x in found], np.int64) // width.itemsize
+    starts = np.cumsum(sizes) - sizes
+    ids = ragged(np.frombuffer(b"".join(found), width), starts[codes], sizes[codes])
+    return ids, np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(counts)])])
+
+
+def _ids_of(column: pa.Array, know: Tokens, words: bool) -> tuple[np.ndarray, np.ndarray]:
     parts = pc.ascii_split_whitespace(column)
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = parts.flatten().dictionary_encode()
-    codes = flat.indices.to_numpy(zero_copy_only=False)
+    codes, pieces = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+    if not words:
+        return _joined([know.lookup([x], False)[0] if x else b"" for x in pieces], know.width, codes, counts)
+    split = pa.array(know.words.findall("".join(x + "\n" for x in pieces).lower()), pa.string()).dictionary_encode()
+    of, distinct = split.indices.to_numpy(zero_copy_only=False), split.dictionary.to_numpy(zero_copy_only=False).tolist()
+    ends = np.flatnonzero(of == distinct.index("\n")) if pieces else np.empty(0, np.int64)
+    found = know.lookup([w for w in distinct if w != "\n"], True)
+    if pieces:
+        found.insert(distinct.index("\n"), b"")
+    ids, n = _joined(found, know.width, of, np.diff(ends, prepend=-1))
+    starts = np.cumsum(n) - n
+    total = np.concatenate([[0], np.cumsum(n[codes])])[np.concatenate([[0], np.cumsum(counts)])]
+    return ragged(ids, starts[codes], n[codes]), np.diff(total)
+
+
+def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids end to end, number of ids of each text). Texts of other characters than plain ones, or with a special token, are looked up by piece."""
     know = _tokens(path)
-    found = know.lookup(flat.dictionary.to_pylist())
-    sizes = np.array([len(x) for x in found], np.int64) // know.width.itemsize
-    starts = np.cumsum(sizes) - sizes
-    ids = ragged(np.frombuffer(b"".join(found), know.width), starts[codes], sizes[codes])
-    ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(counts)])]
-    return ids, np.diff(ends)
+    plain = pc.match_substring_regex(column, PLAIN)
+    for t in know.special:
+        plain = pc.and_not(plain, pc.match_substring(column, t))
+    plain = plain.to_numpy(zero_copy_only=False)
+    if plain.all() or not plain.any():
+        return _ids_of(column, know, bool(plain.all()))
+    where = [np.flatnonzero(plain), np.flatnonzero(~plain)]
+    (ids, n), (other, m) = (_ids_of(column.take(pa.array(w)), know, words) for w, words in zip(where, (True, False), strict=True))
+    sizes, starts = np.empty(len(column), np.int64), np.empty(len(column), np.int64)
+    sizes[where[0]], sizes[where[1]] = n, m
+    starts[where[0]], starts[where[1]] = np.cumsum(n) - n, len(ids) + np.cumsum(m) - m
+    return ragged(np.concatenate([ids, other]), starts, sizes), sizes
 
 
 def tokenise(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,6 +172,26 @@ def document_frequencies(tokens: DataFrame, vocab: int, width: np.dtype) -> np.n
     return out
 
 
+def draw_tables(idf: np.ndarray, found: np.ndarray, p: Packing) -> list[tuple[np.ndarray, np.ndarray]]:
+    """p.draws pairs (rank of each term, term of each rank): orders of the vocabulary in which a document's first term is drawn.
+
+    Each term has an exponential draw at the rate of its idf, by a hash of its number, so a document's first term is any one of
+    its terms with a chance in proportion to its idf, and two documents have the same one with the chance of their weighted
+    similarity. Terms of a single document come last, as they join it with nothing.
+    """
+    out = []
+    for k in range(p.draws):
+        x = (np.arange(len(idf), dtype=np.uint64) + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        draw = -np.log(((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 1e-300) / idf
+        order = np.lexsort((draw, found < 2)).astype(np.int32)
+        rank = np.empty(len(idf), np.int32)
+        rank[order] = np.arange(len(idf), dtype=np.int32)
+        out.append((rank, order))
+    return out
+
+
 class Index:
     """BM25 inverted index of one shard's documents: postings by term, with the weight of each."""
 
@@ -137,60 +200,77 @@ class Index:
         keys, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + np.repeat(np.arange(len(docs)), sizes), return_counts=True)
         self.doc, term = keys % len(docs), keys // len(docs)
         self.weight = idf[term] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * sizes[self.doc] / mean))
-        self.first = np.searchsorted(term, np.arange(len(idf) + 1))
         order = np.argsort(self.doc, kind="stable")
         self.term = term[order]
         self.at = np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
-        self.n = len(docs)
+        self.n, self.alive = len(docs), np.arange(len(docs))
+        self._bound(term, len(idf))
+
+    def _bound(self, term: np.ndarray, vocab: int) -> None:
+        self.first = np.searchsorted(term, np.arange(vocab + 1)).tolist()
+        self.of = term
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Postings of used documents go; alive holds the documents that are left, in order."""
+        left = unused[self.alive]
+        number = np.cumsum(left) - 1
+        stay = left[self.doc]
+        self.doc, self.weight = number[self.doc[stay]], self.weight[stay]
+        self.alive = self.alive[left]
+        self._bound(self.of[stay], len(self.first) - 1)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """BM25 scores of all documents of the shard for all of the seed's terms."""
-        terms = self.term[self.at[seed] : self.at[seed + 1]]
-        starts = self.first[terms]
-        lengths = self.first[terms + 1] - starts
-        return np.bincount(ragged(self.doc, starts, lengths), ragged(self.weight, starts, lengths), self.n)
+        """BM25 scores of the alive documents for all of the seed's terms."""
+        first, terms = self.first, self.term[self.at[seed] : self.at[seed + 1]].tolist()
+        doc = [self.doc[first[t] : first[t + 1]] for t in terms]
+        weight = [self.weight[first[t] : first[t + 1]] for t in terms]
+        return np.bincount(np.concatenate(doc), np.concatenate(weight), len(self.alive))
 
 
 def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, p: Packing) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard.
 
     The first unused document, or what is left of one that was cut, seeds a window. Its unused neighbours fill it in order of score
-    as far as they fit whole; the best that did not fit is cut to fill it to the end, and its rest seeds the next window. The last
-    window's tokens go to sequences whose lengths are powers of two, which need no padding.
+    (ties: the earlier) as far as they fit whole; the best that did not fit is cut to fill it to the end, and its rest seeds the
+    next window. The last window's tokens go to sequences whose lengths are powers of two, which need no padding.
     """
     index = Index(docs, idf, mean, p)
     size = np.array([len(d) for d in docs], np.int64)
     unused = np.ones(len(docs), bool)
     windows: list[list[tuple[int, int, int]]] = []
-    fresh, rest = 0, None
+    fresh, rest, left = 0, None, len(docs)
     while True:
         if rest is None:
             while fresh < len(docs) and not unused[fresh]:
                 fresh += 1
             if fresh == len(docs):
                 break
-            rest, unused[fresh] = (fresh, 0), False
+            rest, unused[fresh], left = (fresh, 0), False, left - 1
         seed, start = rest
         take = int(min(p.window, size[seed] - start))
         window, room, rest = [(seed, start, take)], p.window - take, (seed, start + take) if start + take < size[seed] else None
-        if room:
-            score = index.neighbours(seed)
-            order = np.flatnonzero(unused)
-            order = order[np.argsort(-score[order], kind="stable")]
-            for d in order.tolist():
-                if size[d] <= room:
-                    window.append((d, 0, int(size[d])))
-                    unused[d] = False
-                    room -= int(size[d])
-                    if not room:
-                        break
-            if room:
-                left = order[unused[order]]
-                if len(left):
-                    d = int(left[0])
-                    unused[d] = False
-                    window.append((d, 0, room))
-                    rest, room = (d, room), 0
+        if room and left:
+            if left < 0.7 * len(index.alive):
+                index.keep(unused)
+            score, open_ = index.neighbours(seed), unused[index.alive]
+            order = index.alive[open_]
+            order = order[np.argsort(-score[open_], kind="stable")]
+            sizes, at, cut = size[order], 0, -1
+            while room:
+                fits = sizes[at:] <= room
+                step = int(fits.argmax()) if len(fits) else 0
+                if not len(fits) or not fits[step]:
+                    cut = at if cut < 0 and len(fits) else cut
+                    break
+                cut = at if cut < 0 and step else cut
+                d = int(order[at + step])
+                window.append((d, 0, int(size[d])))
+                unused[d], left, room, at = False, left - 1, room - int(size[d]), at + step + 1
+            if room and cut >= 0:
+                d = int(order[cut])
+                unused[d], left = False, left - 1
+                window.append((d, 0, room))
+                rest, room = (d, room), 0
         windows.append(window)
         if room:
             break
@@ -219,10 +299,15 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, p: Packing)
 def pack(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of at most p.window tokens: id, start, length, doc_tokens, sequence_id, offset and the piece's `ids` (little-endian 32-bit).
 
-    Tokens are written once. Shards of about p.shard_tokens tokens, drawn by a hash of the row, have an inverted index each, with
-    document frequencies and mean length taken over the whole corpus; a shard is one task's work, and its number grows with the
-    corpus. Each id lies in exactly one piece. Null texts are the end token alone; long texts span windows; rows with equal ids
-    and repeated rows are packed each; an empty table gives no piece.
+    Tokens are written once. Documents are dealt to shards of about p.shard_tokens tokens by content: each draws p.draws of its
+    terms by weight (draw_tables), and the rows in order of their drawn terms, ties by a hash of the row, are cut into ranges. So
+    documents that share rare terms tend to meet, copies lie side by side, and a group of any size is cut where a shard is full.
+    Each shard has an inverted index, with document frequencies and mean length of the whole corpus. A range of long documents is
+    several shards, one after the other. The driver gets one number for each entry of the vocabulary.
+
+    Each id lies in exactly one piece. Null texts are the end token alone; long texts span windows; rows with equal ids and
+    repeated rows are packed each; ties in score go to the row that comes first in its shard; an empty table gives no piece; other
+    columns are not read.
     """
     tokens = stage(tokenise(df, path, p, id_col=id_col, text_col=text_col), "tokens")
     n, total = tokens.agg(F.count(F.lit(1)), F.sum("n")).first()
@@ -230,20 +315,47 @@ def pack(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str = "doc
     width = _tokens(path).width
     found = document_frequencies(tokens, vocab, width)
     idf = np.log1p((n - found + 0.5) / (found + 0.5))
-    mean, n_shards = (total or 0) / max(n, 1), max(1, math.ceil((total or 0) / p.shard_tokens))
-    shared = df.sparkSession.sparkContext.broadcast(idf)
+    mean = (total or 0) / max(n, 1)
+    found[p.end_id] = 1  # every document has it
+    shared = df.sparkSession.sparkContext.broadcast((idf, draw_tables(idf, found, p)))
+    kind = tokens.schema["id"].dataType.simpleString()
+    keys = [f"d{k}" for k in range(p.draws)]
 
-    def run(shard: pa.Table) -> pa.Table:
-        docs = _arrays(shard.column("ids"), width)
-        pieces = np.array(pack_shard(docs, shared.value, mean, p), np.int64).reshape(-1, 5)
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs = _arrays(b.column("ids"), width)
+            if docs:
+                ids, sizes = np.concatenate(docs), np.array([len(x) for x in docs], np.int64)
+                at = np.cumsum(sizes) - sizes
+                terms = [pa.array(order[np.minimum.reduceat(rank[ids], at)]) for rank, order in shared.value[1]]
+                yield pa.RecordBatch.from_arrays([*terms, *b.columns], [*keys, *b.schema.names])
+
+    def packed(docs: list[np.ndarray], ids: list[pa.Array], first: int) -> pa.RecordBatch:
+        pieces = np.array(pack_shard(docs, shared.value[0], mean, p), np.int64).reshape(-1, 5)
         d, start, length, sequence, offset = pieces.T
         sizes = np.array([len(x) for x in docs], np.int64)
-        ids = ragged(np.concatenate(docs), (np.cumsum(sizes) - sizes)[d] + start, length).astype("<u4")
+        data = ragged(np.concatenate(docs), (np.cumsum(sizes) - sizes)[d] + start, length).astype("<u4")
         bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int64) * 4
-        data = pa.Array.from_buffers(pa.large_binary(), len(d), [None, pa.py_buffer(bounds), pa.py_buffer(ids)]).cast(pa.binary())
-        first = shard.column("shard")[0].as_py() << 24
-        return pa.table([shard.column("id").take(pa.array(d)), pa.array(start), pa.array(length), pa.array(sizes[d]), pa.array(sequence + first), pa.array(offset), data], names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        data = pa.Array.from_buffers(pa.large_binary(), len(d), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids).take(pa.array(d)), pa.array(start), pa.array(length), pa.array(sizes[d]), pa.array(sequence + first), pa.array(offset), data], ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_shards)))
-    kind = tokens.schema["id"].dataType.simpleString()
-    return dealt.groupBy("shard").applyInArrow(run, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, ids, filled = [], [], 0
+        first = TaskContext.get().partitionId() << 40
+        for b in batches:
+            more = _arrays(b.column("ids"), width)
+            at = 0
+            for k, doc in enumerate(more):
+                if docs and filled + len(doc) > 2 * p.shard_tokens:
+                    yield packed(docs, [*ids, b.column("id").slice(at, k - at)], first)
+                    first, docs, ids, filled, at = first + sum(map(len, docs)), [], [], 0, k
+                docs.append(doc)
+                filled += len(doc)
+            ids.append(b.column("id").slice(at))
+        if docs:
+            yield packed(docs, ids, first)
+
+    rows = tokens.select("id", "ids", F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
+    rows = rows.mapInArrow(drawn, f"{', '.join(f'{k} int' for k in keys)}, id {kind}, ids binary, tie long")
+    rows = rows.repartitionByRange(max(1, math.ceil((total or 0) / p.shard_tokens)), *keys, "tie").sortWithinPartitions(*keys, "tie")
+    return rows.select("id", "ids").mapInArrow(run, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -98,7 +98,7 @@ def count_tokens(df: DataFrame, path: str, *, text_col: str = "text") -> DataFra
         parts = pc.ascii_split_whitespace(column)
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)
         flat = parts.flatten().dictionary_encode()
-        words = [MARK + w if w else "" for w in flat.dictionary.to_pylist()]
+        words = [MARK + w if w else "" for w in flat.dictionary.to_numpy(zero_copy_only=False).tolist()]
         fresh = [w for w in words if w and w not in trie.terminal]
         if len(fresh) + len(trie.terminal) > KEPT or len(trie.best) > 3 * KEPT:
             fresh = [w for w in words if w]

@@ -170,6 +170,26 @@ def test_packing_gives_each_token_once(spark, stored, empty):
     assert packing.pack(empty, WORD).count() == 0
 
 
+def test_word_ids_match_the_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD)
+    rnd = random.Random(4)
+    bits = ["a", "B", " ", "  ", "\n", "\t", "\v", "é", "É", "ß", "'s", "'LL", "'", "1", "23", "²", "ª", "\xad", ".", "!!", "<|endoftext|>", "<|", "中", "\u3000", "\xa0", "\x1c", "\x85", "the", "İ", "Ÿ", "🙂", "e\u0301", "٣", "_", "\r\n", "ſ", "Σ", "\x00"]
+    plain = [b for b in bits if re.fullmatch(r"[\t\n\v\r\x20-\x7e\xa1-\u012f\u0131-\u024f]+", b) and b != "<|endoftext|>"]
+    odd = ["".join(rnd.choices(plain if k % 2 else bits, k=rnd.randint(0, 14))) for k in range(3000)] + ["", "a" * 3000, " " * 300, "ab'" * 500]
+    ids, n = packing.token_ids(pa.array(odd), WORD)
+    for text, got in zip(odd, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert got.tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert packing.token_ids(pa.array([], pa.string()), WORD)[0].size == 0
+
+
+def test_documents_that_share_rare_terms_meet():
+    found = np.array([2, 2, 50, 50, 1, 0])
+    for rank, order in packing.draw_tables(np.log1p((60 - found + 0.5) / (found + 0.5)), found, packing.Packing()):
+        assert rank[order].tolist() == list(range(6)) and set(order[4:]) == {4, 5}
+
+
 def test_a_window_is_filled_by_the_nearest_unused(spark):
     p = packing.Packing(window=16)
     docs_ = [np.array([5, 6, 7, 8, 2]), np.array([100, 101, 102, 2]), np.array([5, 6, 7, 9, 2]), np.array([200, 201, 202, 203, 204, 205, 2])]
