@@ -14,16 +14,16 @@ from pyspark.sql import types as T
 from plangauge.llm._text import with_text_columns, worker_state
 
 UNKNOWN = "und"
+#: Texts that are worth one step of the arrays.
+LANES = 24
 
 
 @dataclass(frozen=True)
 class Parsing:
-    """The fitted sample's bounds: documents for each language, characters of each, and characters for each language; the block in which texts are parsed."""
+    """The fitted sample's bounds: distinct texts looked at for each language, and letters and other characters of those taken."""
 
     docs: int = 256
-    doc_chars: int = 400
     lang_chars: int = 40_000
-    block: int = 256
 
 
 def may_learn(doc_id: Column) -> Column:
@@ -32,21 +32,35 @@ def may_learn(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame, p: Parsing = Parsing(), *, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """(language, training text) by language, from a bounded sample of labelled rows: the distinct texts of the smallest hashes.
+    """(language, training text) by language, from a bounded sample of labelled rows: distinct texts of the smallest hashes.
 
-    Each language gives p.docs distinct texts with letters, or all that it has, however often a text is repeated; p.doc_chars
-    characters of each from a place that the hash sets. Languages are few; what the driver gets is bounded by their number times
-    p.docs texts of p.doc_chars.
+    Of each language p.docs distinct texts with letters are looked at, however often a text is repeated, in the order of their
+    hashes; each is taken whole where p.lang_chars has room for it (the shortest one in any case). Languages are few; what the
+    driver gets is bounded by their number times p.docs lengths and p.lang_chars characters (or one text, where all are longer).
+    Rows without language or letters teach nothing; an empty table gives an empty list.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    least = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= p.docs)
-    some = rows.join(F.broadcast(least.select("lang", "h")), ["lang", "h"])
-    cut = F.substring(F.col("text"), (F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - p.doc_chars, F.lit(1))) + 1).cast("int"), F.lit(p.doc_chars))
+    least = rows.select("lang", "h", F.length("text").alias("size")).distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "size"))).where(F.col("k") <= p.docs)
+    seen: dict[str, list[tuple[int, int]]] = {}
+    for lang, h, size in least.select("lang", "h", "size").collect():
+        seen.setdefault(lang, []).append((h, size))
+    taken: list[tuple[str, int]] = []
+    for lang, texts in seen.items():
+        room, none = p.lang_chars, True
+        for h, size in sorted(texts):
+            if size <= room:
+                taken.append((lang, h))
+                room, none = room - size, False
+        if none:
+            taken.append((lang, min((size, h) for h, size in texts)[1]))
+    if not taken:
+        return []
+    some = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(taken, "lang string, h long")), ["lang", "h"])
     got: dict[str, list[tuple[int, str]]] = {}
-    for lang, h, text in some.select("lang", "h", cut).distinct().collect():
+    for lang, h, text in some.select("lang", "h", "text").distinct().collect():
         got.setdefault(lang, []).append((h, text))
-    return [(lang, " ".join(t for _, t in sorted(got[lang])[: p.docs])[: p.lang_chars]) for lang in sorted(got)]
+    return [(lang, " ".join(t for _, t in sorted(got[lang]))) for lang in sorted(got)]
 
 
 def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
@@ -117,51 +131,48 @@ def _built(samples: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray
     return table, np.concatenate(parts).astype(np.int32), starts, np.array(logs)
 
 
-def phrases(codes: list[np.ndarray], steps: np.ndarray, starts: list[int], block: int) -> np.ndarray:
-    """Texts x languages: the number of phrases in the cross-parsing of each text by each language's automaton.
+def phrases(codes: list[np.ndarray], steps: np.ndarray, starts: list[int]) -> np.ndarray:
+    """Texts x languages: the number of phrases in the cross-parsing of each whole text by each language's automaton.
 
-    A phrase is the longest match from where the last one ended. Texts are parsed in blocks of `block` symbols, all blocks and
-    languages of the batch at once; a block's end ends a phrase in every language alike.
+    A phrase is the longest match from where the last one ended. All texts and languages of the batch are parsed at once, symbol by
+    symbol; the ends of the longest texts, where fewer than LANES are left, one by one.
     """
-    counts = np.array([-(-len(c) // block) for c in codes])
-    grid = np.zeros((int(counts.sum()), block), np.int64)
-    size = np.empty(len(grid), np.int64)
-    at = 0
-    for c, n in zip(codes, counts, strict=True):
-        flat = grid[at : at + n].reshape(-1)
-        flat[: len(c)] = c
-        size[at : at + n] = block
-        if n:
-            size[at + n - 1] = len(c) - (n - 1) * block
-        at += n
+    size = np.array([len(c) for c in codes], np.int64)
     order = np.argsort(-size, kind="stable")
-    grid, size = np.ascontiguousarray(grid[order].T), size[order]
-    width = steps.shape[1]
-    flat = steps.reshape(-1)
+    flat, symbols = steps.reshape(-1), np.concatenate(codes)
+    width, at, sized = steps.shape[1], (np.cumsum(size) - size)[order], size[order]
     found = np.zeros((len(starts), len(size)), np.int64)
     state = np.repeat(np.array(starts, np.int64)[:, None], len(size), axis=1)
-    live = np.searchsorted(-size, -np.arange(block), side="left")  # blocks with a symbol at each place
-    for k in range(block):
+    whole = int(sized[LANES - 1]) if len(sized) >= LANES else 0
+    live = np.searchsorted(-sized, -np.arange(whole), side="left")  # texts with a symbol at each place
+    for k in range(whole):
         n = live[k]
-        if not n:
-            break
-        to = flat[state[:, :n] * width + grid[k, :n]]
+        to = flat[state[:, :n] * width + symbols[at[:n] + k]]
         found[:, :n] -= to >> 31
         state[:, :n] = to ^ (to >> 31)
+    step = memoryview(flat)
+    for i in range(min(LANES, len(sized))):
+        rest = symbols[at[i] + whole : at[i] + sized[i]].tolist()
+        for lang in range(len(starts)):
+            s, n = int(state[lang, i]), 0
+            for c in rest:
+                s = step[s * width + c]
+                if s < 0:
+                    s, n = ~s, n + 1
+            found[lang, i] += n
     back = np.empty_like(found)
     back[:, order] = found + 1  # the phrase that is open at the end
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    total = np.concatenate([np.zeros((len(starts), 1), np.int64), np.cumsum(back, axis=1)], axis=1)
-    return (total[:, ends[1:]] - total[:, ends[:-1]]).T
+    return back.T
 
 
-def identify(df: DataFrame, samples: list[tuple[str, str]], p: Parsing = Parsing(), *, text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, samples: list[tuple[str, str]], *, text_col: str = "text") -> DataFrame:
     """df plus lang_pred and score (0 to 1): the language whose training text parses the whole text in the fewest normalised phrases.
 
     The normalised count, phrases times log2 of the training length, is the code length of the text in that language. The score is
     the margin to the second language, 1 - least / second (1 where only one language was learnt). Ties go to the language that
-    sorts first. Null texts, texts without a letter, and any text if nothing was learnt are `und` with score 0. Input columns
-    named lang_pred or score are replaced; no other column is read.
+    sorts first. Null texts, texts without a letter, and any text if nothing was learnt are `und` with score 0. A long text is
+    parsed whole, as one sequence; repeated rows are judged each, and an empty table gives an empty one. Input columns named
+    lang_pred or score are replaced; no other column is read.
     """
     known = tuple(samples)
 
@@ -172,10 +183,10 @@ def identify(df: DataFrame, samples: list[tuple[str, str]], p: Parsing = Parsing
             codes = [codes_of(t, table) for t in column.to_pylist()]
             use = np.array([bool(c.any()) for c in codes])
             if use.any():
-                cost = phrases([c for c, u in zip(codes, use, strict=True) if u], steps, starts, p.block) * logs
+                cost = phrases([c for c, u in zip(codes, use, strict=True) if u], steps, starts) * logs
                 pred[use] = np.array([lang for lang, _ in known], object)[np.argmin(cost, axis=1)]
                 cost.sort(axis=1)
                 score[use] = 1 - cost[:, 0] / cost[:, 1] if len(known) > 1 else 1.0
         return [pa.array(pred, pa.string()), pa.array(score)]
 
-    return with_text_columns(df, text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], work, 2 << 20)
+    return with_text_columns(df, text_col, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], work, 4 << 20)

@@ -219,9 +219,8 @@ def test_language_by_brute_force_parse(spark, empty):
     rows = [(i, " ".join(make[g]() for _ in range(30)), g) for i in range(40) for g in [rnd.choice(["aa", "bb"])]]
     rows += [(100, None, "aa"), (101, "", None), (102, "123 !!", "bb"), (103, rows[0][1], rows[0][2]), (None, rows[1][1], None), (104, make["aa"]() * 5000, None)]
     df = docs(spark, rows)
-    p = langid.Parsing(block=1 << 20)
-    samples = langid.fit(df.where(langid.may_learn(F.col("doc_id"))), p)
-    got = langid.identify(df.withColumn("score", F.lit("old")), samples, p).collect()
+    samples = langid.fit(df.where(langid.may_learn(F.col("doc_id"))))
+    got = langid.identify(df.withColumn("score", F.lit("old")), samples).collect()
     table, steps, starts, logs = langid._models(tuple(samples))
     def parse(codes, train):
         n, i, s = 0, 0, ""
@@ -242,8 +241,9 @@ def test_language_by_brute_force_parse(spark, empty):
         if len(t) < 1000:
             codes = langid.codes_of(t, table)
             cost = [parse(codes, "".join(map(chr, langid.codes_of(s, table)))) for _, s in samples]
-            counted = langid.phrases([codes], steps, starts, p.block)[0]
-            assert cost == counted.tolist()
+            assert cost == langid.phrases([codes], steps, starts)[0].tolist()
+            many = langid.phrases([codes[: k + 1] for k in range(60)] + [codes] * 2, steps, starts)
+            assert many[-1].tolist() == cost and many[40].tolist() == langid.phrases([codes[:41]], steps, starts)[0].tolist()
         assert 0 <= r.score <= 1
     assert langid.identify(df, []).where("lang_pred <> 'und'").count() == 0
     assert langid.fit(empty) == [] and langid.identify(empty, samples).count() == 0
@@ -255,6 +255,8 @@ def test_copies_of_one_text_do_not_crowd_out_a_language(spark):
     many = spark.range(2000).select(F.concat(F.lit("ung "), F.col("id").cast("string")).alias("text"), F.lit("bb").alias("lang"))
     (a, x), (b, y) = langid.fit(crowd.union(rest).union(many))
     assert (a, b) == ("aa", "bb") and x.count("kalo") == 100 and x.count("copy of") == 1 and y.count("ung") == 256
+    long = spark.createDataFrame([("lo " * 90, "cc"), ("li " * 50, "cc"), ("la " * 70, "cc")], "text string, lang string")
+    assert langid.fit(long, langid.Parsing(lang_chars=100)) == [("cc", "li " * 50)]
 
 
 def test_letters_over_all_of_unicode(spark):
