@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plangauge.core.columns import others
-from plangauge.llm._bitmaps import BITMAP_BITS, bit_of, bitmaps
+from plangauge.core.staging import stage
+from plangauge.llm._bitmaps import BITMAP_BITS, bit_of, bitmaps, mark
+from plangauge.llm._skew import join_groups
 
 
 def normalised(text: Column) -> Column:
@@ -30,15 +32,14 @@ def repeat_filter(keys: DataFrame, key_col: str, bits: int) -> DataFrame:
     return bitmaps(often, "slot")
 
 
-def flag_repeats(rows: DataFrame, key_col: str, *, bits_per_row: int = 16, max_bits: int = 1 << 31, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def flag_repeats(rows: DataFrame, key_col: str, *, bits_per_row: int = 16, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """rows plus boolean `_pg_maybe`: true for every row whose key occurs twice or more, and for few others.
 
-    Both bits of a key must be set. The filter has the next power of two over bits_per_row bits for each row, max_bits at most
-    (beyond that it lets more rows through and nothing else changes). It is broadcast only where its size, known beforehand, is
-    within broadcast_bytes; else it is joined by bucket.
+    Both bits of a key must be set. The filter has the next power of two over bits_per_row bits for each row. It is broadcast only
+    where its size, known beforehand, is within broadcast_bytes; else it is joined by bucket, so rows should be narrow.
     """
     n = rows.count()
-    bits = min(max_bits, max(BITMAP_BITS, 1 << (n * bits_per_row - 1).bit_length() if n else 0))
+    bits = max(BITMAP_BITS, 1 << (n * bits_per_row - 1).bit_length() if n else 0)
     found = repeat_filter(rows.select(key_col), key_col, bits)
     out = rows
     for k in (0, 1):
@@ -48,27 +49,36 @@ def flag_repeats(rows: DataFrame, key_col: str, *, bits_per_row: int = 16, max_b
     return out.select(*others(rows), (bit_of("_pg_m0", "_pg_s0") & bit_of("_pg_m1", "_pg_s1")).alias("_pg_maybe"))
 
 
+def _first(id_col: str) -> Column:
+    return F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_pg_row").alias("row")))
+
+
 def resolve(keys: DataFrame, *, id_col: str = "doc_id", key_col: str = "text_key", **options) -> DataFrame:
     """A row for each row of keys (id_col, key_col): plus keep_id, group_size and kept.
 
     Rows that the filter lets pass are alone in their group and do not move; only the others are grouped by key. Of a group the
     smallest id stays; where that id is repeated with an equal text, or all ids are null, the first such row of the table alone
-    stays. keys must be a stored table, read again in the same order. Null keys do not occur (a null text counts as empty).
+    stays. keys must be a stored table, read again in the same order; other columns are not read. Null keys do not occur (a null
+    text counts as empty); an empty table gives an empty one.
     """
     rows = flag_repeats(keys.select(F.col(id_col), F.col(key_col), F.monotonically_increasing_id().alias("_pg_row")), key_col, **options)
     rest = rows.where(~F.col("_pg_maybe")).select(id_col, key_col, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     maybe = rows.where("_pg_maybe")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_pg_row").alias("row")))
-    groups = maybe.groupBy(key_col).agg(first.alias("_pg_first"), F.count(F.lit(1)).alias("group_size"))
-    grouped = maybe.join(groups, key_col).select(id_col, key_col, F.col("_pg_first.id").alias("keep_id"), "group_size", (F.col("_pg_row") == F.col("_pg_first.row")).alias("kept"))
+    groups = stage(maybe.groupBy(key_col).agg(_first(id_col).alias("_pg_first"), F.count(F.lit(1)).alias("group_size")), "copies")
+    grouped = join_groups(maybe, groups, key_col, "group_size").select(id_col, key_col, F.col("_pg_first.id").alias("keep_id"), "group_size", (F.col("_pg_row") == F.col("_pg_first.row")).alias("kept"))
     return rest.unionByName(grouped)
 
 
 def drop_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df without copies: of equal texts the row with the smallest id stays, whole. Only suspected rows shuffle."""
-    rows = flag_repeats(df.select("*", fingerprint(F.col(text_col)).alias("_pg_key")), "_pg_key", **options)
-    columns = others(df)
-    rest = rows.where(~F.col("_pg_maybe")).select(*columns)
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
-    best = rows.where("_pg_maybe").groupBy("_pg_key").agg(F.min_by(F.struct(*columns), order).alias("_pg_rec")).select("_pg_rec.*")
-    return rest.unionByName(best)
+    """df without copies: of equal texts the row with the smallest id stays, whole; of equal ids, the first such row of the table.
+
+    Only ids, keys and row numbers of suspected rows shuffle; the rows themselves stay where they are. df must be a stored table,
+    read again in the same order. Null texts count as empty; rows with null ids go where one with an id is equal; an empty table
+    gives an empty one. The column names _pg_row and _pg_marked are reserved.
+    """
+    keys = stage(df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("key"), F.monotonically_increasing_id().alias("_pg_row")), "keys")
+    maybe = flag_repeats(keys, "key", **options).where("_pg_maybe")
+    groups = stage(maybe.groupBy("key").agg(_first("id").alias("_pg_first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    gone = stage(join_groups(maybe, groups, "key", "n").where(F.col("_pg_row") != F.col("_pg_first.row")).select("_pg_row"), "gone")
+    rows = df.withColumn("_pg_row", F.monotonically_increasing_id())
+    return mark(rows, gone, "_pg_row").where("not _pg_marked").select(*others(df))

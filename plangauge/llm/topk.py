@@ -19,8 +19,8 @@ def quantised(vector: Column, scale: int = 256) -> Column:
 
 
 def usable(vector: Column) -> Column:
-    """Not null, and no component null, NaN or infinite."""
-    return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))), F.lit(False))
+    """Not null, no component null, NaN or infinite, and none of 2 ** 44 or more (its cell number would not be exact in double precision)."""
+    return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float(1 << 44))), F.lit(False))
 
 
 def cells(v: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def search_block(v: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray,
                     break
             step *= 2
         best = sorted(zip(got_s, got_i, strict=True), key=lambda x: (-x[0], x[1]))[:k]
-        out += [(i, int(b), int(a)) for a, b in best]
+        out += [(i, int(b), max(-1 << 63, min((1 << 63) - 1, int(a)))) for a, b in best]
     return out
 
 
@@ -84,8 +84,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "
 
     Both tables are cut into blocks of about `block` and `query_block` rows by a hash of the row's place; each pair of blocks is one
     task's work, so no task holds more than one block of either. A query's own row (equal id) is no candidate. Vectors that are
-    null or hold null or non-finite components take no part; vectors of different lengths are not compared; fewer than k
-    candidates give fewer rows. Repeated rows are candidates each. Every row is searched: blocks bound memory, not the answer.
+    null or hold null, non-finite or very large components (2 ** 44 or more) take no part; a score beyond 64 bits is the nearest
+    64-bit number; vectors of different lengths are not compared; fewer than k candidates give fewer rows, an empty table none.
+    Repeated rows are candidates each, and queries of one id share one list; other columns are not read. Every row is searched:
+    blocks bound memory, not the answer.
     """
     def ready(df: DataFrame, size: int) -> tuple[DataFrame, int]:
         rows = df.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), quantised(F.col(vec_col)).alias("v"), F.monotonically_increasing_id().alias("row"))

@@ -1,5 +1,6 @@
 """Every corpus operator on small tables: nulls, empty and long texts, ties and repeats, empty tables, clashing columns; results against brute force."""
 
+import functools
 import hashlib
 import math
 import os
@@ -282,7 +283,9 @@ def test_token_counts_by_brute_force(spark, stored, empty):
                 if x is not None and (best[e] is None or (best[s][0] + x, -best[s][1] - n) > (best[e][0], -best[e][1])):
                     best[e] = best[s][0] + x, best[s][1] + n
         return best[-1]
-    got = token_counts.count_tokens(stored.where("doc_id IS NULL OR doc_id <> 9"), PIECE).collect()
+    assert trie.add(["x" * 200_000 + "yz"])[0][1] > 0 and len(trie.strings) < 1000
+    got = token_counts.count_tokens(stored, PIECE).collect()
+    viterbi = functools.cache(viterbi)
     for r in got:
         ws = re.findall(r"[^ \t\n\x0b\f\r]+", r.text or "")
         each = [viterbi("▁" + w) for w in ws]
@@ -307,6 +310,9 @@ def test_top_k_against_all_pairs(spark):
             best = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in ok if j != i))[:5]
             assert [got[i, k + 1] for k in range(5)] == [(j, -s) for s, j in best]
     assert topk.top_k(df.limit(0), q, 5).count() == 0
+    big = spark.createDataFrame([(0, [1.5e13, 1e13]), (1, [1e13, 1.0]), (2, [-3e12, 0.5]), (3, [1e30, 0.0])], "vec_id long, embedding array<double>")
+    got_big = topk.top_k(big, big.where("vec_id = 0"), 5).collect()
+    assert [(r.vec_id, r.score) for r in got_big] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
     one = topk.top_k(df.where("vec_id IN (50, 51, 52)"), df.where("vec_id = 50"), 5).collect()
     assert len(one) == 2
 
@@ -406,13 +412,19 @@ def test_exact_copies(spark, stored, empty):
     for i, t in keys:
         by[t].append(i)
     tagged = stored.select("doc_id", exact_dedup.fingerprint(F.col("text")).alias("text_key"))
-    for options in ({}, {"bits_per_row": 1}, {"max_bits": 2}, {"broadcast_bytes": 0}):
+    for options in ({}, {"bits_per_row": 1}, {"broadcast_bytes": 0}):
         got = exact_dedup.resolve(tagged, **options).collect()
         want = Counter((i, min((x for x in by[t] if x is not None), default=None), len(by[t]), hashlib.sha256(t.encode()).digest()) for i, t in keys)
         assert Counter((r.doc_id, r.keep_id, r.group_size, bytes(r.text_key)) for r in got) == want
         assert sum(r.kept for r in got) == len(by)
     kept = exact_dedup.drop_copies(stored)
     assert kept.columns == stored.columns and kept.count() == len(by)
+    first = {}
+    for r in stored.collect():
+        t = re.sub(r"[\x20\x09-\x0d]+", " ", r.text or "")
+        if t not in first or (r.doc_id is not None and (first[t].doc_id is None or r.doc_id < first[t].doc_id)):
+            first[t] = r
+    assert Counter(map(tuple, kept.collect())) == Counter(map(tuple, first.values()))
     assert exact_dedup.drop_copies(empty).count() == 0 and exact_dedup.resolve(empty.selectExpr("doc_id", "unhex(sha2(text, 256)) AS text_key")).count() == 0
 
 
