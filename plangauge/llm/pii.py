@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from plangauge.core.columns import others
 
 ROUNDS = 10
-#: Days of 400 Gregorian years, 146,097 = 189 x 773; the permuted dates stay within such a span from 1800-01-01 on.
+#: Days of 400 Gregorian years, 146,097 = 189 x 773; a date's pseudonym lies in the same such span, counted from the year 0.
 DATE_HALVES = (189, 773)
-DATE_START = "1800-01-01"
+DATE_START = "0000-01-01"
+#: Social security numbers: areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999.
+AREAS, REST = 898, 99 * 9999
+#: Steps of a walk that ends, at each step, with a chance of 0.6.
+WALK = 64
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}"
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z/-]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+#: A telephone number with a digit from 1 to 9 among its last ten.
+NOT_ZEROS = r"[1-9](?:[^0-9]*[0-9]){0,9}$"
 #: All but e-mail and cards begin with a digit, + or (; looking for that first passes over other text quickly.
 NUMBERS = f"(?=[0-9+(])(?:{'|'.join((IPV4, DATE, SSN, PHONE))})"
 #: How cards are written, the likelier first; then any 13 to 19 digits in any groups, the longest first.
@@ -110,13 +116,35 @@ def _date_of(m: Column) -> Column:
     return F.when(m.rlike("^[0-9]{4}-"), F.try_to_date(m, "yyyy-MM-dd")).when(m.substr(3, 1) == ".", F.try_to_date(m, "dd.MM.yyyy")).otherwise(F.coalesce(F.try_to_date(m, "MM/dd/yyyy"), F.try_to_date(m, "dd/MM/yyyy")))
 
 
-def _date(m: Column, key: str) -> Column:
+def _moved_date(d: Column, key: str, kind: str) -> Column:
+    """Another date of the same 400 years."""
     a, b = DATE_HALVES
-    day = F.pmod(F.datediff(_date_of(m), F.to_date(F.lit(DATE_START))), F.lit(a * b)).cast("long")
-    out = let(day, lambda d: feistel(F.floor(d / b), d % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, F.lit("date")))
-    new = let(out, lambda o: F.date_add(F.to_date(F.lit(DATE_START)), (o["a"] * b + o["b"]).cast("int")))
+
+    def moved(day: Column) -> Column:
+        out = let(F.pmod(day, F.lit(a * b)).cast("long"), lambda x: feistel(F.floor(x / b), x % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, F.lit(kind)))
+        return let(out, lambda o: F.date_add(F.to_date(F.lit(DATE_START)), (day - F.pmod(day, F.lit(a * b)) + o["a"] * b + o["b"]).cast("int")))
+
+    return let(F.datediff(d, F.to_date(F.lit(DATE_START))), moved)
+
+
+def _date(m: Column, key: str) -> Column:
+    """A date written as the first one is. One that can only be read day first stays so: it is moved again and again, by a permutation of its own, until its day is over 12."""
     month_first = F.try_to_date(m, "MM/dd/yyyy").isNotNull()
-    return let(new, lambda d: F.when(m.rlike("^[0-9]{4}-"), F.date_format(d, "yyyy-MM-dd")).when(m.substr(3, 1) == ".", F.date_format(d, "dd.MM.yyyy")).when(month_first, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy")))
+    plain = let(_date_of(m), lambda d: _moved_date(d, key, "date"))
+    walk = let(_date_of(m), lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(d.alias("d"), F.lit(False).alias("done")), lambda x, _: F.when(x["done"], x).otherwise(let(_moved_date(x["d"], key, "day first"), lambda n: F.struct(n.alias("d"), (F.dayofmonth(n) > 12).alias("done"))))))
+    return (
+        F.when(m.rlike("^[0-9]{4}-"), F.date_format(plain, "yyyy-MM-dd")).when(m.substr(3, 1) == ".", F.date_format(plain, "dd.MM.yyyy")).when(month_first, F.date_format(plain, "MM/dd/yyyy"))
+        .otherwise(F.date_format(walk["d"], "dd/MM/yyyy"))
+    )
+
+
+def _ssn(m: Column, key: str) -> Column:
+    """Another valid number: area, group and serial are permuted together among the valid ones."""
+    area, group, serial = m.substr(1, 3).cast("long"), m.substr(5, 2).cast("long"), m.substr(8, 4).cast("long")
+    left = area - F.when(area > 666, 2).otherwise(1)
+    out = feistel(left, (group - 1) * 9999 + serial - 1, F.lit(AREAS).cast("long"), F.lit(REST).cast("long"), key, F.lit("ssn"))
+    padded = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    return let(out, lambda o: F.concat_ws("-", padded(o["a"] + F.when(o["a"] >= 665, 2).otherwise(1), 3), padded(F.floor(o["b"] / 9999) + 1, 2), padded(o["b"] % 9999 + 1, 4)))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -135,15 +163,19 @@ def _email(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """The pseudonym of one match of EMAIL or NUMBERS; a match that is not valid for its kind stays as it is (an octet over 255, a date that does not exist)."""
+    """The pseudonym of one match of EMAIL or NUMBERS.
+
+    A match that is not valid for its kind stays as it is: an octet over 255 or with a leading zero, a date that does not exist, a
+    social security number of an area, group or serial that is never given out, a telephone number of zeros alone.
+    """
     full = lambda p: m.rlike(f"^(?:{p})$")
-    octets = F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255)
+    octets = F.forall(F.split(m, r"\."), lambda x: (x.cast("int") <= 255) & ~x.rlike("^0."))
     return (
         F.when(F.contains(m, F.lit("@")), _email(m, key))
         .when(full(IPV4), F.when(octets, _ipv4(m, key)).otherwise(m))
         .when(full(DATE), F.when(_date_of(m).isNotNull(), _date(m, key)).otherwise(m))
-        .when(full(SSN), _number(m, key, "ssn"))
-        .when(full(PHONE), _phone(m, key))
+        .when(full(SSN), F.when(m.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), _ssn(m, key)).otherwise(m))
+        .when(full(PHONE), F.when(m.rlike(NOT_ZEROS), _phone(m, key)).otherwise(m))
     )
 
 
@@ -192,11 +224,12 @@ def pseudonymise(df: DataFrame, key: str, *, text_col: str = "text", count_col:
     """df with the personal data in text_col replaced by pseudonyms of the same format; with count_col, how many values a row had.
 
     Card numbers (Luhn), dates, IPv4 addresses, telephone and social security numbers are permuted by a Feistel network keyed by
-    `key`, each within its own format: an equal value has an equal pseudonym in every document, and different values have
-    different ones. E-mail addresses get keyed substitutes before the @. Cards in a usual layout go first, then the other numbers, then
+    `key`, each within its own format: an equal value has an equal pseudonym in every document, and different values of a format
+    have different ones. E-mail addresses get keyed substitutes before the @. Cards in a usual layout go first, then the other numbers, then
     any 13 to 19 digits between borders that pass Luhn's test, so that a card is found whatever digits stand beside it. One pass over
     the rows, no shuffle, whole texts; a null text stays null and has count 0, other columns and rows without personal data stay as
-    they are. An input column named count_col is replaced.
+    they are. Repeated rows have equal results; an empty table gives an empty one. An input column named count_col is replaced; names
+    that begin with _pg_ are reserved.
     """
     text = F.col(text_col)
     done = lambda c: F.size(F.filter(c, lambda x: x["done"]))

@@ -383,6 +383,39 @@ def test_permutations_are_bijective(spark):
     assert days.select(pii._date(F.col("d"), "k").alias("p")).distinct().count() == 2000
 
 
+def _feistel(a, b, m, n, key, tweak):
+    """The network in plain Python: ten rounds, halves of sizes m and n by turns."""
+    left, right = m, n
+    for i in range(10):
+        mac = hashlib.sha256("|".join(map(str, (key, tweak, left, right, i, b))).encode()).hexdigest()[:15]
+        a, b = b, (a + int(mac, 16)) % (left if i % 2 == 0 else right)
+    return a, b
+
+
+def test_pseudonyms_against_a_network_in_python(spark):
+    rnd = random.Random(8)
+    ssn = [f"{rnd.choice([*range(1, 666), *range(667, 900)]):03}-{rnd.randint(1, 99):02}-{rnd.randint(1, 9999):04}" for _ in range(400)]
+    ips = [".".join(str(rnd.randint(0, 255)) for _ in range(4)) for _ in range(400)]
+    df = spark.createDataFrame([(" ".join(x),) for x in zip(ssn, ips, strict=True)], "text string")
+    for before, after in zip(zip(ssn, ips, strict=True), (r.text.split() for r in pii.pseudonymise(df, "key").collect()), strict=True):
+        area, group, serial = map(int, before[0].split("-"))
+        a, b = _feistel(area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "key", "ssn")
+        assert after[0] == f"{a + (2 if a >= 665 else 1):03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+        o = list(map(int, before[1].split(".")))
+        a, b = _feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "key", "ipv4")
+        assert after[1] == f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+
+
+def test_values_of_a_format_stay_apart(spark):
+    dates = ["1800-01-01", "2200-01-01", "0001-01-01", "9999-12-31", *(f"{d}/{m:02}/{y}" for y in (1999, 2020) for m in range(1, 13) for d in range(13, 29)), *(f"{m:02}/{d}/{y}" for y in (1999, 2020) for m in range(1, 13) for d in range(13, 29))]
+    stay = ["01.2.3.4", "000-12-1234", "666-12-1234", "900-12-1234", "123-00-1234", "123-12-0000", "000-000-0000"]
+    df = spark.createDataFrame([(x,) for x in dates + stay], "text string")
+    got = [r.text for r in pii.pseudonymise(df, "key").collect()]
+    assert len(set(got[: len(dates)])) == len(dates) and got[len(dates) :] == stay
+    assert all(int(g[:2]) > 12 for d, g in zip(dates, got, strict=False) if d[2] == "/" and int(d[:2]) > 12)
+    assert all(re.sub("[0-9]", "0", d) == re.sub("[0-9]", "0", g) for d, g in zip(dates, got, strict=False))
+
+
 # ---- 9: BPE
 
 
