@@ -12,7 +12,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, parts:
     Keys that hold more than one part in `parts` of all rows are fewer than `parts`, so they are broadcast and their rows stay where
     they are; no other key brings more than that part into one task.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    if not total or largest * parts <= total:
+        return rows.join(groups, key)
     hot = F.col(size) * parts > total
     known = F.broadcast(groups.where(hot))
     return rows.join(known, key).unionByName(rows.join(F.broadcast(groups.where(hot).select(key)), key, "left_anti").join(groups.where(~hot), key))

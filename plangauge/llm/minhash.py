@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plangauge.core.components import components
 from plangauge.core.staging import stage, unstage
 from plangauge.llm._bitmaps import mark
+from plangauge.llm._skew import join_groups
 from plangauge.llm._text import slices, texts, worker_state
 
 
@@ -96,7 +97,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(df: DataFrame, p: Near, *, id_col: str, text_col: str, row_col: str) -> DataFrame:
-    """(row, id, n, node, keys) for each row: set size, 128-bit hash of the whole set (null if empty) and band keys."""
+    """(row, id, n, hash, keys) for each row: set size, 128-bit hash of the whole set (null if empty) and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(("minhash",), bool)
@@ -105,116 +106,164 @@ def sketch(df: DataFrame, p: Near, *, id_col: str, text_col: str, row_col: str)
             keys = band_keys(signatures(sets, p.bands * p.rows), p.bands, p.rows).view(np.int64)
             full = np.array([len(s) > 0 for s in sets], bool)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(full * p.bands)], pa.int32()), pa.array(keys[full].ravel()))
-            nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), lists], ["row", "id", "n", "node", "keys"])
+            hashes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), lists], ["row", "id", "n", "hash", "keys"])
 
     rows = df.select(F.col(row_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, id {kind}, n long, node binary, keys array<long>")
+    return rows.mapInArrow(run, f"row long, id {kind}, n long, hash binary, keys array<long>")
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, p: Near, text_col: str) -> DataFrame:
-    """(node, shingles) for the wanted _pg_row, one row of each node: the sets again, from the whole texts, which do not shuffle."""
+    """(node, hash, shingles) for the wanted _pg_row: the sets again, from the whole texts, which do not shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(("minhash",), bool)
         for b in slices(batches, "text", 4 << 20):
             sets = shingle_sets(texts(b, "text"), p.width)
-            nodes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            hashes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), lists], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("_pg_row"), pa.array(hashes, pa.binary()), lists], ["node", "hash", "shingles"])
 
     found = mark(rows.select("_pg_row", F.col(text_col).cast("string").alias("text")), wanted, "_pg_row").where("_pg_marked")
-    return found.select("text").mapInArrow(run, "node binary, shingles array<long>")
+    return found.select("_pg_row", "text").mapInArrow(run, "node long, hash binary, shingles array<long>")
+
+
+#: Members of one hub that are compared with it in one place.
+TOGETHER = 256
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, difference: bool = False) -> DataFrame:
-    """The pairs (hub, node) with both set sizes and i, the size of the intersection; with `diff`, the shingles only one of them has."""
-    left = pairs.join(sets.withColumnsRenamed({"node": "hub", "shingles": "_pg_a"}), "hub")
-    both = left.join(sets.withColumnRenamed("shingles", "_pg_b"), "node")
+    """The pairs (hub, node) with both set sizes and i, the size of the intersection; with `diff`, the shingles only one of them has.
+
+    A node's set goes to its hub, and a hub's set goes once to each part of its members, about TOGETHER of them, so that a hub of any
+    number of members is many keys.
+    """
+    sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("_pg_c")).select("hub", F.ceil(F.col("_pg_c") / TOGETHER).cast("int").alias("_pg_parts"), F.col("_pg_c").alias("c"))
+    sizes = stage(sizes, "hubs")
+    parted = join_groups(pairs.select("hub", "node"), sizes, "hub", "c").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("_pg_parts")).cast("int").alias("_pg_part"))
+    members = parted.join(sets.select("node", F.col("shingles").alias("_pg_b")), "node")
+    hubs = sizes.join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("_pg_a")), "hub")
+    hubs = hubs.select("hub", "_pg_a", F.explode(F.sequence(F.lit(0), F.col("_pg_parts") - 1)).alias("_pg_part"))
+    both = members.join(hubs, ["hub", "_pg_part"])
     diff = [F.concat(F.array_except("_pg_b", "_pg_a"), F.array_except("_pg_a", "_pg_b")).alias("diff")] if difference else []
     return both.select("hub", "node", F.size("_pg_a").cast("long").alias("hub_n"), F.size("_pg_b").cast("long").alias("n"), F.size(F.array_intersect("_pg_a", "_pg_b")).cast("long").alias("i"), *diff)
 
 
-def _missed_by_stars(tested: DataFrame, labels: DataFrame, p: Near) -> DataFrame:
+def _missed_by_stars(tested: DataFrame, labels: DataFrame, sets: DataFrame, p: Near) -> DataFrame:
     """Pairs (hub, node) of nodes that share a star's hub B, are in different components, and may be similar enough.
 
     Let x differ from B by the set dx (shingles that only one of them has), r of them B's. Then |x and y| = |B| - rx - ry +
     |dx and dy|, so x and y are similar if and only if dx and dy share at least T = p (nx + ny) / (100 + p) - |B| + rx + ry. One of
     the two, say x, is not in B's component and so not similar to B, which makes T positive: every such pair shares a difference.
     With differences ordered rarest first, it shares one in the first |d| - T + 1 of both, with enough left behind it.
+
+    Differences are made only for the members of hubs that have a member in another component.
     """
     known = labels.select("node", "label")
     m = tested.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
     m = m.join(known.withColumnsRenamed({"node": "hub", "label": "hub_label"}), "hub", "left")
-    m = m.select("hub", "node", "hub_n", "n", (F.col("hub_n") - F.col("i")).alias("r"), F.size("diff").cast("long").alias("d"), "label", (F.col("label") != F.coalesce("hub_label", "hub")).alias("apart"), "diff")
-    by_hub = m.groupBy("hub").agg(F.min(F.when(F.col("apart"), F.col("d"))).alias("far"), F.count(F.lit(1)).alias("c")).where("far is not null and c > 1")
+    m = m.select("hub", "node", "hub_n", "n", (F.col("hub_n") - F.col("i")).alias("r"), (F.col("hub_n") + F.col("n") - 2 * F.col("i")).alias("d"), "label", (F.col("label") != F.coalesce("hub_label", "hub")).alias("apart"))
+    m = stage(m, "placed")
+    by_hub = stage(m.groupBy("hub").agg(F.min(F.when(F.col("apart"), F.col("d"))).alias("far"), F.count(F.lit(1)).alias("c")).where("far is not null and c > 1"), "far")
     q = 100 + p.percent
-    m = m.join(by_hub.select("hub", "far"), "hub").withColumn("k", F.expr(f"{p.percent} * n - 100 * hub_n + {q} * r"))
+    far = join_groups(m, by_hub, "hub", "c").withColumn("k", F.expr(f"{p.percent} * n - 100 * hub_n + {q} * r"))
     least = F.expr(f"greatest(1, if(apart, ceil(k / 100), ceil((k + {p.percent} * far) / {q})))")  # of T, over all partners that count
-    m = stage(m.withColumn("t", least).where("d >= t"), "members")
-    parts = m.select("hub", "node", "hub_n", "n", "r", "d", "t", "label", "apart", F.explode("diff").alias("s"))
+    far = stage(far.withColumn("t", least).where("d >= t").select("hub", "node", "hub_n", "n", "r", "d", "t", "label", "apart", F.monotonically_increasing_id().alias("m")), "members")
+    unstage(m)
+    diffs = stage(_compared(far, sets, difference=True).select("hub", "node", "diff"), "diffs")
+    parts = stage(far.select("hub", "node", "m").join(diffs, ["hub", "node"]).select("m", F.explode("diff").alias("s")), "parts")
+    unstage(diffs)
     often = parts.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
-    rank = F.row_number().over(Window.partitionBy("hub", "node").orderBy("often", "s"))
-    prefix = stage(parts.join(often, "s").withColumn("rank", rank).where("rank <= d - t + 1").drop("often"), "prefix")
+    rank = F.row_number().over(Window.partitionBy("m").orderBy("often", "s")).alias("rank")
+    ranked = parts.join(often, "s").select("m", "s", rank)
+    prefix = stage(ranked.join(far, "m").where("rank <= d - t + 1").drop("m", "t"), "prefix")
+    unstage(parts)
     x = prefix.where("apart").select("hub", "s", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "r", "d", "label", "rank")])
     left = "least(d - rank, x_d - x_rank) + 1"
     enough = f"{q} * (hub_n - r - x_r + {left}) >= {p.percent} * (n + x_n)"
     pairs = x.join(prefix, ["hub", "s"]).where(f"label <> x_label and (not apart or node > x_node) and {enough}")
-    return pairs.select(F.least("x_node", "node").alias("hub"), F.greatest("x_node", "node").alias("node")).distinct()
+    rest = stage(pairs.select(F.least("x_node", "node").alias("hub"), F.greatest("x_node", "node").alias("node")).distinct(), "rest")
+    for done in (by_hub, far, prefix):
+        unstage(done)
+    return rest
 
 
 def groups(df: DataFrame, p: Near = Near(), *, id_col: str = "doc_id", text_col: str = "text", log=None) -> DataFrame:
-    """(row, id, n, node, label, component) for each row of df; row is its place in the scan.
+    """(row, id, n, label, component) for each row of df; row is its place in the scan.
 
-    Rows with equal sets are one node, so that copies never meet in pairs. Each node goes to one bucket for each band. In a bucket
-    the node with the most bucket mates over all bands is the hub, and each other node is a candidate with it alone: a star.
-    Candidates are confirmed on the full sets. Members of one star that are not linked through its hub are compared further where
-    their differences from the hub leave it possible that they are similar (_missed_by_stars), so that no link is lost to the
-    stars. Components follow from the links; component is the smallest id in it.
+    Rows with equal sets are one node, known by the first of their rows, so that copies never meet in pairs. Each node goes to one
+    bucket for each band. In a bucket the node with the most bucket mates over all bands is the hub, and each other node is a
+    candidate with it alone: a star. Candidates are confirmed on the full sets. Members of one star that are not linked through its
+    hub are compared further where their differences from the hub leave it possible that they are similar (_missed_by_stars), so
+    that no link is lost to the stars. Components follow from the links; component is the smallest id in it, label the component's
+    own number. Each table between is deleted when its last reader is done.
 
     Null and empty texts have no set, are linked with nothing and are their own component. Rows with equal ids are told apart by
-    their places. df must be a stored table, read again in the same order; where it is not, this raises an error.
+    their places; repeated rows are one node. Long texts are taken whole; an empty table gives an empty one; other columns are not
+    read. df must be a stored table, read again in the same order; where it is not, this raises an error.
     """
     rows = df.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("_pg_row"))
     sk = stage(sketch(rows, p, id_col=id_col, text_col=text_col, row_col="_pg_row"), "sketch")
-    nodes = stage(sk.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.min("row").alias("_pg_row"), F.first("keys").alias("keys")), "nodes")
-    placed = nodes.select("node", F.explode("keys").alias("key"))
-    full = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    mates = stage(placed.join(full, "key"), "buckets")
+    slim = stage(sk.select("row", "id", "n", "hash"), "rows")
+    nodes = stage(slim.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id"), F.min("row").alias("node")), "nodes")
+    first = mark(sk.select(F.col("row").alias("_pg_row"), "keys"), nodes.select(F.col("node").alias("_pg_row")), "_pg_row").where("_pg_marked")
+    placed = first.select(F.col("_pg_row").alias("node"), F.explode("keys").alias("key"))
+    full = stage(placed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "full")
+    mates = stage(join_groups(placed, full, "key", "c"), "buckets")
+    unstage(sk)
     degree = mates.groupBy("node").agg(F.sum("c").alias("d"))
-    ranked = stage(mates.join(degree, "node").select("key", "node", "d"), "ranked")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("d", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
-    stars = stage(ranked.join(hubs, "key").where("node <> hub").select("hub", "node").distinct(), "stars")
+    ranked = stage(mates.join(degree, "node").select("key", "node", "d", "c"), "ranked")
+    unstage(mates)
+    hubs = stage(ranked.groupBy("key").agg(F.max(F.struct("d", "node")).alias("h"), F.count(F.lit(1)).alias("c")).select("key", F.col("h.node").alias("hub"), "c"), "hubs")
+    stars = stage(join_groups(ranked.select("key", "node"), hubs, "key", "c").where("node <> hub").select("hub", "node").distinct(), "stars")
     ends = stars.select(F.col("hub").alias("node")).unionByName(stars.select("node")).distinct()
-    wanted = nodes.select("node", "_pg_row").join(ends, "node")
-    sets = stage(_sets_of(rows, wanted.select("_pg_row"), p, text_col), "sets")
-    if lost := wanted.join(sets, "node", "left_anti").count():
+    wanted = stage(nodes.select("node", "hash").join(ends, "node"), "wanted")
+    sets = stage(_sets_of(rows, wanted.select(F.col("node").alias("_pg_row")), p, text_col), "sets")
+    if lost := wanted.join(sets.select("node", "hash"), ["node", "hash"], "left_anti").count():
         raise RuntimeError(f"{lost} rows were not found again: the table was not read twice in the same order")
     similar = f"100 * i >= {p.percent} * (hub_n + n - i)"
-    tested = stage(_compared(stars, sets, difference=True), "tested")
-    links = tested.where(similar).select("hub", "node")
-    rest = stage(_missed_by_stars(tested, stage(components(links, "hub", "node"), "labels"), p), "rest")
-    further = stage(_compared(rest, sets).where(similar).select("hub", "node"), "links")
-    unstage(sets)
+    tested = stage(_compared(stars, sets), "tested")
+    links = stage(tested.where(similar).select("hub", "node"), "links")
+    if log is not None:
+        log(nodes=nodes.count(), bucketed=ranked.count(), stars=stars.count(), links=links.count())
+    for done in (full, ranked, hubs, stars, wanted):
+        unstage(done)
+    linked = stage(components(links, "hub", "node"), "labels")
+    rest = _missed_by_stars(tested, linked, sets, p)
+    further = stage(_compared(rest, sets).where(similar).select("hub", "node"), "further")
     if log is not None:
-        log(nodes=nodes.count(), bucketed=ranked.count(), stars=stars.count(), links=links.count(), rest=rest.count(), further=further.count())
-    labels = stage(components(links.unionByName(further), "hub", "node"), "labels")
-
-    own = F.coalesce("label", "node").alias("label")
-    known = nodes.select("node", "id").join(labels, "node", "left").select("node", "id", own)
-    least = known.groupBy("label").agg(F.min("id").alias("component"))
-    by_node = stage(known.join(least, "label").select("node", "label", "component"), "by-node")
-    some = sk.where("node is not null").select("row", "id", "n", "node").join(by_node, "node").select("row", "id", "n", "node", "label", "component")
-    none = sk.where("node is null").select("row", "id", "n", "node", F.col("node").alias("label"), F.col("id").alias("component"))
+        log(rest=rest.count(), further=further.count())
+    for done in (sets, tested, rest):
+        unstage(done)
+    # components of the first links are one node each by now
+    ends = further.join(linked.withColumnsRenamed({"node": "hub", "label": "a"}), "hub", "left").join(linked.withColumnRenamed("label", "b"), "node", "left")
+    joined = stage(components(ends.select(F.coalesce("a", "hub").alias("a"), F.coalesce("b", "node").alias("b")), "a", "b"), "labels")
+    again = joined.select(F.col("node").alias("label"), F.col("label").alias("_pg_label"))
+    labels = linked.join(again, "label", "left").select("node", F.coalesce("_pg_label", "label").alias("label")).unionByName(joined.join(linked.select("node"), "node", "left_anti"))
+
+    known = nodes.join(labels, "node", "left").select("hash", "id", F.coalesce("label", "node").alias("label"))
+    known = stage(known, "known")
+    for done in (links, linked, further, joined, nodes):
+        unstage(done)
+    least = known.groupBy("label").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("c"))
+    by_node = stage(known.join(least, "label").select("hash", "label", "component"), "by-node")
+    unstage(known)
+    some = slim.where("hash is not null").join(by_node, "hash").select("row", "id", "n", "label", "component")
+    none = slim.where("hash is null").select("row", "id", "n", F.lit(None).cast("long").alias("label"), F.col("id").alias("component"))
     return some.unionByName(none)
 
 
 def near_dedup(df: DataFrame, p: Near = Near(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each near-duplicate group, that of the smallest id (the first such row of the table); texts without words all stay."""
+    """df with one row of each near-duplicate group, that of the smallest id (the first such row of the table); texts without words all stay.
+
+    What groups() says of its input holds here; the column names _pg_row and _pg_marked are reserved.
+    """
     found = groups(df, p, id_col=id_col, text_col=text_col)
     some = stage(found.where("label is not null").select("row", "id", "label"), "grouped")
-    best = some.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
-    stay = stage(best.select(F.col("best.row").alias("row")), "stay")
-    gone = stage(some.select("row").join(stay, "row", "left_anti").select(F.col("row").alias("_pg_row")), "gone")
+    best = some.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    best = stage(best.select("label", F.col("best.row").alias("stay"), "c"), "stay")
+    gone = stage(join_groups(some, best, "label", "c").where("row <> stay").select(F.col("row").alias("_pg_row")), "gone")
+    unstage(some)
+    unstage(best)
     return mark(df.withColumn("_pg_row", F.monotonically_increasing_id()), gone, "_pg_row").where("not _pg_marked").drop("_pg_row", "_pg_marked")
