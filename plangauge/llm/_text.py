@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -65,6 +67,8 @@ def worker_state(key: tuple, build: Callable):
         _state[:] = [None, None]
         gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
         _state[:] = [key, build()]
     return _state[1]
 
