@@ -14,7 +14,7 @@ STANDARDS_COMPACTNESS = 0.589
 Z95 = 1.959963984540054
 DRAWS, DRAW_SEED = 20_000, 20260916
 REPLICATES, REPLICATE_SEED = 10_000, 20260928
-SPLIT_SEED = 20260929
+SPLITS, SPLIT_SEED = 20, 20260929
 BUILDING_CELL_M, BUILDING_THRESHOLDS = 0.5, (0.5, 0.4)
 FIT_LEVELS = (0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.30)
 ROOM_BINS = ((1, 4), (5, 6), (7, 8), (9, 10), (11, 14), (15, 19), (20, 10_000))

@@ -75,23 +75,30 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+#: Deviations on each side of the mean that the steps of a distribution span; what lies beyond weighs under 1e-30.
+SPAN = 12
+
+
 def binomial_draws(cells: DataFrame, draws: int, seed: int = K.DRAW_SEED) -> DataFrame:
     """(grp, draw, k): binomial draws of each group's passes by inverse distribution function.
 
-    cells (grp, passed, total), a row for each group. The distribution's steps come from the recurrence of log probabilities; draws
-    find their step by one sorted union, so the cost is draws + steps and not their product. Rates 0 and 1 draw themselves.
+    cells (grp, passed, total), a row for each group. The distribution's steps lie within SPAN deviations of the mean (so their
+    number grows with the root of the total); their weights come from the recurrence of log probabilities and are made to sum to 1.
+    Draws find their step by one sorted union, so the cost is draws + steps and not their product. Rates 0 and 1 draw themselves.
     """
-    spark = cells.sparkSession
     inner = cells.where("passed > 0 AND passed < total").withColumn("r", F.col("passed") / F.col("total"))
-    steps = inner.select("grp", "total", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total"))).alias("k"))
-    term = F.when(F.col("k") == 0, F.col("total") * F.log1p(-F.col("r"))).otherwise(F.log((F.col("total") - F.col("k") + 1) / F.col("k")) + F.log(F.col("r") / (1 - F.col("r"))))
-    run = Window.partitionBy("grp").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = steps.withColumn("lp", F.sum(term).over(run)).withColumn("at", F.sum(F.exp("lp")).over(run)).select("grp", "k", "at", F.lit(None).cast("long").alias("draw"))
+    reach = F.ceil(SPAN * F.sqrt(F.col("total") * F.col("r") * (1 - F.col("r")))) + SPAN
+    inner = inner.withColumn("k0", F.greatest(F.lit(0).cast("long"), F.col("passed") - reach)).withColumn("k1", F.least("total", F.col("passed") + reach))
+    steps = inner.select("grp", "total", "r", "k0", F.explode(F.sequence("k0", "k1")).alias("k"))
+    term = F.when(F.col("k") == F.col("k0"), 0.0).otherwise(F.log((F.col("total") - F.col("k") + 1) / F.col("k")) + F.log(F.col("r") / (1 - F.col("r"))))
+    run, whole = Window.partitionBy("grp").orderBy("k").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("grp")
+    weight = steps.withColumn("lp", F.sum(term).over(run)).withColumn("w", F.exp(F.col("lp") - F.max("lp").over(whole)))
+    cdf = weight.select("grp", "k", (F.sum("w").over(run) / F.sum("w").over(whole)).alias("at"), F.lit(None).cast("long").alias("draw"))
     ask = inner.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
     ask = ask.select("grp", F.lit(None).cast("long").alias("k"), uniform(seed, F.col("grp"), F.col("draw")).alias("at"), "draw")
     up = Window.partitionBy("grp").orderBy(F.desc("at"), F.col("draw").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     found = cdf.unionByName(ask).withColumn("k", F.last("k", ignorenulls=True).over(up)).where("draw IS NOT NULL")
-    found = found.join(F.broadcast(inner.select("grp", "total")), "grp").select("grp", "draw", F.coalesce("k", "total").alias("k"))
+    found = found.join(F.broadcast(inner.select("grp", "k1")), "grp").select("grp", "draw", F.coalesce("k", "k1").alias("k"))
     flat = cells.where("total > 0 AND (passed = 0 OR passed = total)").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"), F.col("passed").alias("k"))
     return found.unionByName(flat)
 
@@ -108,16 +115,31 @@ def cluster_totals(verdicts: DataFrame) -> DataFrame:
     return outcomes(verdicts, "grp", "cluster")
 
 
+def ranked_within(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows plus `pick`, their place (from 1) in their group's order, by range partitions instead of one task for each group."""
+    part = rows.repartitionByRange(F.col(group), F.col(order)).withColumn("_p", F.spark_partition_id())
+    w = Window.partitionBy("_p", group).orderBy(order)
+    inside = part.withColumn("_k", F.row_number().over(w))
+    sizes = inside.groupBy("_p", group).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select("_p", group, before.alias("_f"))  # a row for each partition and group
+    return inside.join(F.broadcast(firsts), ["_p", group]).withColumn("pick", F.col("_k") + F.col("_f")).drop("_p", "_k", "_f")
+
+
 def cluster_replicates(totals: DataFrame, replicates: int, seed: int = K.REPLICATE_SEED) -> DataFrame:
     """(replicate, grp, graded, passed, admitted, verdict): whole clusters drawn with replacement, as many as the group has.
 
-    Clusters are numbered by an order statistic within the group; draws are counted by (replicate, cluster) before they meet the totals.
+    Clusters are numbered in the group's order; one hash gives four draws; draws are counted by (replicate, cluster) before they
+    meet the totals.
     """
-    w = Window.partitionBy("grp").orderBy("cluster")
-    ranked = totals.withColumn("pick", F.row_number().over(w))
+    ranked = ranked_within(totals, "grp", "cluster")
     sizes = totals.groupBy("grp").agg(F.count(F.lit(1)).alias("c"))
-    slots = sizes.select("grp", "c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select("grp", "c", "replicate", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("slot"))
-    drawn = slots.select("grp", "replicate", (F.floor(uniform(seed, F.col("grp"), F.col("replicate"), F.col("slot")) * F.col("c")) + 1).cast("int").alias("pick"))
+    quads = sizes.select("grp", "c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    quads = quads.select("grp", "c", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(c - 1) div 4"))).alias("quad"))
+    quads = quads.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), "grp", F.col("replicate").cast("string"), F.col("quad").cast("string"))))
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("double").alias("v")) for i in range(4)])
+    drawn = quads.select("grp", "c", "replicate", "quad", F.explode(parts).alias("d")).where("quad * 4 + d.i < c")
+    drawn = drawn.select("grp", "replicate", (F.floor(F.col("d.v") / 4294967296.0 * F.col("c")) + 1).alias("pick"))
     times = drawn.groupBy("grp", "replicate", "pick").agg(F.count(F.lit(1)).alias("times"))
     kept = ("graded", "passed", "admitted", "verdict")
     return times.join(ranked, ["grp", "pick"]).groupBy("replicate", "grp").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in kept])
@@ -135,8 +157,33 @@ def interval(values: DataFrame, column: str, *keys: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.expr(f"percentile({column}, 0.025)").alias("low"), F.expr(f"percentile({column}, 0.975)").alias("high"))
 
 
+def counted_values(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, value, n, upto, total): distinct values with how many rows have them, how many are at or under them, and how many there are.
+
+    Rows are counted by value first, so a key's task holds its distinct values and not its rows. Nulls are left out.
+    """
+    w = Window.partitionBy(*keys)
+    c = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return c.select("*", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("total"))
+
+
+def quantiles(counted: DataFrame, value: str, asks: list[float], *keys: str) -> DataFrame:
+    """(keys, ask, q): quantiles of counted values, linear between order statistics."""
+    each = counted.select("*", F.explode(F.array(*[F.lit(float(a)) for a in asks])).alias("ask"))
+    at = F.round(F.col("ask") * (F.col("total") - 1), 9)
+    holds = lambda rank: (rank > F.col("upto") - F.col("n")) & (rank <= F.col("upto"))
+    each = each.withColumn("at", at).withColumn("lo", holds(F.floor("at") + 1)).withColumn("hi", holds(F.ceil("at") + 1)).where("lo OR hi")
+    low, high = F.max(F.when(F.col("lo"), F.col(value))), F.max(F.when(F.col("hi"), F.col(value)))
+    return each.groupBy(*keys, "ask").agg((low + (F.max("at") - F.floor(F.max("at"))) * (high - low)).alias("q"))
+
+
 def category_statistics(rooms: DataFrame, *keys: str) -> DataFrame:
-    """Count and exact percentiles of area, width and aspect by tag."""
-    q = lambda c, p: F.expr(f"percentile({c}, {p / 100})").alias(f"{c}_p{p}")
-    r = rooms.select(*keys, "tag", F.col("area_m2").alias("area"), F.col("short_m").alias("width"), (F.col("long_m") / F.col("short_m")).alias("aspect"))
-    return r.groupBy(*keys, "tag").agg(F.count(F.lit(1)).alias("n"), *[q("area", p) for p in (5, 25, 50, 75, 95)], *[q("width", p) for p in (5, 25, 50)], *[q("aspect", p) for p in (5, 25, 50, 75, 95)])
+    """Count and exact percentiles of area, width and aspect by tag; values are counted at nine decimals before they are ranked."""
+    asks = {"area": (5, 25, 50, 75, 95), "width": (5, 25, 50), "aspect": (5, 25, 50, 75, 95)}
+    each = F.array(*[F.struct(F.lit(m).alias("m"), F.round(c, 9).alias("v")) for m, c in (("area", F.col("area_m2")), ("width", F.col("short_m")), ("aspect", F.col("long_m") / F.col("short_m")))])
+    c = counted_values(rooms.select(*keys, "tag", F.explode(each).alias("x")).select(*keys, "tag", "x.m", "x.v"), "v", *keys, "tag", "m")
+    q = quantiles(c, "v", [p / 100 for p in asks["area"]], *keys, "tag", "m")
+    names = [(m, p) for m, ps in asks.items() for p in ps]
+    wide = q.groupBy(*keys, "tag").agg(*[F.max(F.when((F.col("m") == m) & (F.col("ask") == p / 100), F.col("q"))).alias(f"{m}_p{p}") for m, p in names])
+    n = rooms.groupBy(*keys, "tag").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(wide, [*keys, "tag"])

@@ -485,13 +485,15 @@ def g16_cluster_totals(spark, sf):
 
 
 U = lambda *parts: "CAST(('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 8)) AS BIGINT) / 4294967296.0"
-DRAWS, REPLICATES = 200, 50
+DRAWS, REPLICATES = K.DRAWS, K.REPLICATES
 DRAW_SQL = f"""{CELLS_SQL}, {ROLES_SQL}, ins AS (SELECT grp, passed, graded AS total, passed / CAST(graded AS DOUBLE) AS r FROM c WHERE passed > 0 AND passed < graded),
-st AS (SELECT grp, total, r, unnest(generate_series(0, total)) AS k FROM ins),
-lp AS (SELECT grp, k, sum(CASE WHEN k = 0 THEN total * ln(1 - r) ELSE ln((total - k + 1) / CAST(k AS DOUBLE)) + ln(r / (1 - r)) END) OVER (PARTITION BY grp ORDER BY k ROWS UNBOUNDED PRECEDING) AS lp FROM st),
-cdf AS (SELECT grp, k, sum(exp(lp)) OVER (PARTITION BY grp ORDER BY k ROWS UNBOUNDED PRECEDING) AS at_ FROM lp),
+rg AS (SELECT grp, total, r, greatest(0, passed - CAST(ceil({O.SPAN} * sqrt(total * r * (1 - r))) AS BIGINT) - {O.SPAN}) AS k0, least(total, passed + CAST(ceil({O.SPAN} * sqrt(total * r * (1 - r))) AS BIGINT) + {O.SPAN}) AS k1 FROM ins),
+st AS (SELECT grp, total, r, k0, unnest(generate_series(k0, k1)) AS k FROM rg),
+lp AS (SELECT grp, k, sum(CASE WHEN k = k0 THEN 0.0 ELSE ln((total - k + 1) / CAST(k AS DOUBLE)) + ln(r / (1 - r)) END) OVER (PARTITION BY grp ORDER BY k ROWS UNBOUNDED PRECEDING) AS lp FROM st),
+wt AS (SELECT grp, k, exp(lp - max(lp) OVER (PARTITION BY grp)) AS w FROM lp),
+cdf AS (SELECT grp, k, sum(w) OVER (PARTITION BY grp ORDER BY k ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY grp) AS at_ FROM wt),
 ask AS (SELECT grp, total, draw, {U(f"'{K.DRAW_SEED}'", 'grp', 'CAST(draw AS VARCHAR)')} AS u FROM (SELECT grp, total, unnest(generate_series(0, {DRAWS - 1})) AS draw FROM ins)),
-dr AS (SELECT ask.grp, draw, coalesce(cdf.k, ask.total) AS k FROM ask ASOF LEFT JOIN cdf ON ask.grp = cdf.grp AND ask.u <= cdf.at_)"""
+dr AS (SELECT ask.grp, draw, coalesce(cdf.k, (SELECT k1 FROM rg WHERE rg.grp = ask.grp)) AS k FROM ask ASOF LEFT JOIN cdf ON ask.grp = cdf.grp AND ask.u <= cdf.at_)"""
 
 
 @register(f"WITH {DRAW_SQL} SELECT grp, draw, k FROM dr UNION ALL SELECT grp, unnest(generate_series(0, {DRAWS - 1})), passed FROM c WHERE graded > 0 AND (passed = 0 OR passed = graded)")
@@ -510,8 +512,8 @@ def g10_bootstrap_margin(spark, sf):
 
 CLUSTER_SQL = f"""{EVENT_SQL}, {ROLES_SQL}, t AS (SELECT grp, cluster, count(*) AS graded, count(*) FILTER (passed) AS passed, count(*) FILTER (admitted) AS admitted, count(*) FILTER (admitted AND not_run IS NULL) AS verdict FROM v GROUP BY grp, cluster),
 rk AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cluster) AS pick FROM t), sz AS (SELECT grp, count(*) AS c FROM t GROUP BY grp),
-sl AS (SELECT grp, c, rep AS replicate, unnest(generate_series(1, c)) AS slot FROM (SELECT grp, c, unnest(generate_series(0, {REPLICATES - 1})) AS rep FROM sz)),
-dw AS (SELECT grp, replicate, CAST(floor({U(f"'{K.REPLICATE_SEED}'", 'grp', 'CAST(replicate AS VARCHAR)', 'CAST(slot AS VARCHAR)')} * c) + 1 AS BIGINT) AS pick FROM sl),
+qd AS (SELECT grp, c, replicate, quad, md5('{K.REPLICATE_SEED}|' || grp || '|' || replicate || '|' || quad) AS h FROM (SELECT grp, c, replicate, unnest(generate_series(0, (c - 1) // 4)) AS quad FROM (SELECT grp, c, unnest(generate_series(0, {REPLICATES - 1})) AS replicate FROM sz))),
+dw AS (SELECT grp, replicate, CAST(floor(CAST(('0x' || substr(h, 8 * i + 1, 8)) AS BIGINT) / 4294967296.0 * c) + 1 AS BIGINT) AS pick FROM qd, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE quad * 4 + i < c),
 rp AS (SELECT replicate, dw.grp, CAST(sum(graded) AS BIGINT) AS graded, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(admitted) AS BIGINT) AS admitted, CAST(sum(verdict) AS BIGINT) AS verdict FROM dw JOIN rk ON rk.grp = dw.grp AND rk.pick = dw.pick GROUP BY replicate, dw.grp)"""
 
 
@@ -655,7 +657,7 @@ def i20_emitted_floors(spark, sf):
     return C.tag_quantiles(rf, knobs, "kind").select("kind", "level", "tag", F.bround("floor", 4).alias("floor"))
 
 
-SPLITS = 4
+SPLITS = K.SPLITS
 
 
 def split_sql() -> str:
