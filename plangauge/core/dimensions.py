@@ -47,6 +47,23 @@ def floor_kind(corpus: Column, units: Column) -> Column:
     return F.when(corpus != "msd", "rplan").when(units > 1, "msd-floor").otherwise("msd-unit")
 
 
+# Checks that are off the ladder, and of what sort their refusal is.
+SCOPE = (("corridorExposure", "refused"), ("demisingExposure", "refused"), ("areaProgram", "not transferable"))
+SOURCES = ("dataset-p05", "standards")
+
+
+def scope_notes(units: Column) -> Column:
+    """Array of (name, kind): the exposure checks where a plan has fewer than two apartments, the area program always."""
+    notes = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind")) for n, k in SCOPE])
+    return F.when(units < 2, notes).otherwise(F.slice(notes, 3, 1))
+
+
+def is_known(what: Column, name: Column) -> Column:
+    """Whether a corpus, kind, requirement source or check of that name exists."""
+    known = {"corpus": ("rplan", "msd"), "kind": tuple(K.COMPACTNESS_FLOOR), "source": SOURCES, "check": K.RUNGS}
+    return F.coalesce(*[F.when(what == w, name.isin(*names)) for w, names in known.items()], F.lit(False))
+
+
 def tag_sql(category: str = "category") -> str:
     return f"CASE lower(trim({category})) " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in K.TAGS.items()) + " ELSE 'Unset' END"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plangauge.core import constants as K
@@ -76,6 +76,21 @@ def exposure_context(members: DataFrame) -> DataFrame:
     return out.select("plan_id", "unit_ix", "room_ix", F.when(F.col("own").isNotNull(), K.EXPOSURE["demising"]).otherwise(K.EXPOSURE["corridor"]).alias("code"))
 
 
+def encode(owner: Column, circulating: Column) -> Column:
+    """The exposure list of a wall from what is on its other side: a code, or a room's index with the hallway code beside it where that room is circulation."""
+    return F.when((owner >= 0) & circulating, F.array(owner, F.lit(K.EXPOSURE["hallway"]))).otherwise(F.array(owner))
+
+
+def code_of(exposure: Column) -> Column:
+    """The one class of an exposure list: hallway, else its first code, else 0 for a room of the same apartment."""
+    return F.when(F.array_contains(exposure, K.EXPOSURE["hallway"]), K.EXPOSURE["hallway"]).otherwise(F.coalesce(F.get(F.filter(exposure, lambda v: v < 0), F.lit(0)), F.lit(0)))
+
+
+def unreadable(exposure: Column, tokens: Column) -> Column:
+    """Whether a list is empty or holds what is neither a code nor the index of one of `tokens` rooms."""
+    return (F.size(exposure) == 0) | F.exists(exposure, lambda v: (v < K.EXPOSURE["hallway"]) | (v >= tokens))
+
+
 def exposure_histogram(walls: DataFrame) -> DataFrame:
     """(plan_id, class, segments, length_m) of walls (plan_id, class, length_m), a row for each of the five classes."""
     classes = ("exterior", "corridor", "demising", "hallway", "interior")

@@ -23,7 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-B = bridge.ctes()
+#: For SQL only: the derived tables, each worked out once.
+B = bridge.ctes().replace("vertices AS (\n  SELECT plan_id", "vertices AS MATERIALIZED (\n  SELECT plan_id").replace("edges AS (", "edges AS MATERIALIZED (").replace("rooms AS (", "rooms AS MATERIALIZED (")
 S = repr(K.STEP_M)
 
 
@@ -154,7 +155,7 @@ def c08_squareness(spark, sf):
     return _rooms(spark, sf).select("plan_id", "room_ix", r6("squareness"))
 
 
-ANGLE_SQL = f"{B}, ang AS (SELECT plan_id, atan2(sum({LEN} * sin(4 * atan2(CAST(by_ - ay AS DOUBLE), CAST(bx - ax AS DOUBLE)))), sum({LEN} * cos(4 * atan2(CAST(by_ - ay AS DOUBLE), CAST(bx - ax AS DOUBLE))))) / 4 AS angle FROM edges GROUP BY plan_id)"
+ANGLE_SQL = f"{B}, ang AS MATERIALIZED (SELECT plan_id, atan2(sum({LEN} * sin(4 * atan2(CAST(by_ - ay AS DOUBLE), CAST(bx - ax AS DOUBLE)))), sum({LEN} * cos(4 * atan2(CAST(by_ - ay AS DOUBLE), CAST(bx - ax AS DOUBLE))))) / 4 AS angle FROM edges GROUP BY plan_id)"
 
 
 @register(f"WITH {ANGLE_SQL} SELECT plan_id, {q6('angle')} FROM ang")
@@ -197,7 +198,7 @@ def c15_segments(spark, sf):
     return M.edges_of(table(spark, sf, "vertices")).select("plan_id", "room_ix", "eix", "ax", "ay", "bx", "by_")
 
 
-@register(f"""WITH {ANGLE_SQL}, c AS (SELECT plan_id, sum((ax + bx) * (ax * by_ - bx * ay)) / (3.0 * sum(ax * by_ - bx * ay)) AS cx, sum((ay + by_) * (ax * by_ - bx * ay)) / (3.0 * sum(ax * by_ - bx * ay)) AS cy FROM edges WHERE room_ix = 0 GROUP BY plan_id)
+@register(f"""WITH {ANGLE_SQL}, c AS MATERIALIZED (SELECT plan_id, sum((ax + bx) * (ax * by_ - bx * ay)) / (3.0 * sum(ax * by_ - bx * ay)) AS cx, sum((ay + by_) * (ax * by_ - bx * ay)) / (3.0 * sum(ax * by_ - bx * ay)) AS cy FROM edges WHERE room_ix = 0 GROUP BY plan_id)
 SELECT v.plan_id, room_ix, vix, round((cx + (ix - cx) * cos(angle) + (iy - cy) * sin(angle)) * {S} + 1e-9, 6) + 0.0 AS x_m, round((cy + (iy - cy) * cos(angle) - (ix - cx) * sin(angle)) * {S} + 1e-9, 6) + 0.0 AS y_m
 FROM vertices v JOIN ang ON ang.plan_id = v.plan_id JOIN c ON c.plan_id = v.plan_id""")
 def c16_align(spark, sf):

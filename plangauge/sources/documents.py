@@ -144,6 +144,19 @@ def systematic_sample(rows: DataFrame, order: str, stride: int, offset: int, lim
     return at.where(f"ix >= {offset} AND (ix - {offset}) % {max(stride, 1)} = 0 AND ix < {offset} + {limit} * {max(stride, 1)}").drop("_p", "_k", "_f")
 
 
+def floors_of(spark, path: str) -> DataFrame:
+    """(kind, compactness, tag, prop_req) from one JSON document of floors by kind; the document is small."""
+    text = spark.read.text(path, wholetext=True)
+    kinds = text.select(F.explode(F.from_json("value", "map<string, struct<compactness: double, proportions: map<string, double>>>")).alias("kind", "f"))
+    return kinds.select("kind", F.col("f.compactness").alias("compactness"), F.explode("f.proportions").alias("tag", "prop_req"))
+
+
+def raw_units(doc: Column) -> Column:
+    """How many different unit labels the rooms of a document (variant) carry, whatever else is wrong with it."""
+    rooms = F.coalesce(F.try_variant_get(doc, "$.rooms", "array<variant>"), F.array().cast("array<variant>"))
+    return F.size(F.array_distinct(F.filter(F.transform(rooms, lambda r: F.try_variant_get(r, "$.unit", "string")), lambda u: u.isNotNull())))
+
+
 def markdown_percentiles(lines: DataFrame) -> DataFrame:
     """(corpus, tag, n, area_p5, width_p5) from the lines (at, value) of a Markdown report: columns 0, 1, 2 and 7 of its RoomTag tables.
 
