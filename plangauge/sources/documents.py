@@ -164,7 +164,7 @@ def markdown_percentiles(lines: DataFrame) -> DataFrame:
     """
     w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     s = lines.withColumn("corpus", F.last(F.when(F.col("value").rlike("^## "), F.trim(F.expr("substring(value, 4)"))), ignorenulls=True).over(w))
-    cells = F.transform(F.split(F.regexp_replace(F.trim(F.col("value")), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim(F.col("value")), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     s = s.where("value LIKE '|%'").withColumn("c", cells).withColumn("head", F.last(F.when(F.col("value").rlike(r"^\|\s*[A-Za-z]") & F.array_contains(cells, "area p5"), F.col("c")[0]).when(F.col("value").rlike(r"^\|\s*p0"), F.lit("p")), ignorenulls=True).over(w))
     num = lambda k: F.regexp_replace(F.get("c", F.lit(k)), ",", "").try_cast("double")
     return s.where("head = 'RoomTag'").select("corpus", F.col("c")[0].alias("tag"), num(1).cast("long").alias("n"), num(2).alias("area_p5"), num(7).alias("width_p5")).where("n IS NOT NULL")
