@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,18 +83,30 @@ def edges_over_two(edges: DataFrame) -> DataFrame:
     return by.groupBy("plan_id").agg(F.count_if(F.col("rooms") > 2).alias("n"))
 
 
-def facing_pairs(edges: DataFrame, reach_m: float = 0.5, run_m: float = 0.3) -> DataFrame:
-    """(plan_id, a, b, gap_m, run_m): upright walls of two rooms a < b that face each other across at most reach_m over at least run_m.
+#: Two wall faces, in metres: a first one from a to b, another from c to d. Expressions that any SQL engine can run.
+SPAN, OTHER = "sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))", "sqrt((dx - cx) * (dx - cx) + (dy - cy) * (dy - cy))"
+START, END = (f"((bx - ax) * ({p}x - ax) + (by - ay) * ({p}y - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay))" for p in "cd")
+FACE = {
+    "cosine": f"abs((bx - ax) * (dx - cx) + (by - ay) * (dy - cy)) / ({SPAN} * {OTHER})",
+    "run_m": f"(least(greatest({START}, {END}), 1.0) - greatest(least({START}, {END}), 0.0)) * {SPAN}",
+    "gap_m": f"(abs((bx - ax) * (ay - cy) - (by - ay) * (ax - cx)) + abs((bx - ax) * (ay - dy) - (by - ay) * (ax - dx))) / {SPAN} / 2",
+}
+#: Faces whose boxes are within the reach r and that are long enough; then what must hold of the three measures.
+NEAR = "least(ax, bx) - {r} <= greatest(cx, dx) AND least(cx, dx) <= greatest(ax, bx) + {r} AND least(ay, by) - {r} <= greatest(cy, dy) AND least(cy, dy) <= greatest(ay, by) + {r}"
+
 
-    Walls are put in bins one reach wide and meet in their own and the next bin, so the join is on equal keys.
+def facing_pairs(edges: DataFrame, reach_m: float = 0.5, run_m: float = 0.3, degrees: float = 5.0) -> DataFrame:
+    """(plan_id, a, b, gap_m, run_m): faces of two rooms a < b that are parallel within some degrees, at most reach_m apart, over at least run_m.
+
+    The gap is the mean distance of the second face's ends from the first one's line; the run is what they share along it. Faces meet
+    within a plan; boxes are compared first.
     """
-    reach, least = reach_m / STEP_M, run_m / STEP_M
-    v = edges.where("ax = bx AND ay <> by_").select("plan_id", "room_ix", F.col("ax").alias("x"), F.least("ay", "by_").alias("lo"), F.greatest("ay", "by_").alias("hi"))
-    left = v.select("plan_id", F.col("room_ix").alias("a"), F.col("x").alias("xa"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.floor(F.col("x") / reach).alias("bin"))
-    right = v.select("plan_id", F.col("room_ix").alias("b"), F.col("x").alias("xb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.array(*[F.floor(F.col("x") / reach) + k for k in (-1, 0, 1)])).alias("bin"))
-    gap, run = F.abs(F.col("xa") - F.col("xb")), F.least("ha", "hb") - F.greatest("la", "lb")
-    p = left.join(right, ["plan_id", "bin"]).where((F.col("a") < F.col("b")) & (gap <= reach) & (run >= least))
-    return p.select("plan_id", "a", "b", (gap * STEP_M).alias("gap_m"), (run * STEP_M).alias("run_m"))
+    metres = lambda c: (F.col(c) * STEP_M)
+    long = edges.where(M.length() * STEP_M >= run_m)
+    left = long.select("plan_id", F.col("room_ix").alias("a"), *[metres(c).alias(n) for c, n in (("ax", "ax"), ("ay", "ay"), ("bx", "bx"), ("by_", "by"))])
+    right = long.select("plan_id", F.col("room_ix").alias("b"), *[metres(c).alias(n) for c, n in (("ax", "cx"), ("ay", "cy"), ("bx", "dx"), ("by_", "dy"))])
+    p = left.join(right, "plan_id").where(f"a < b AND {NEAR.format(r=reach_m)}").withColumns({n: F.expr(e) for n, e in FACE.items()})
+    return p.where((F.col("cosine") >= math.cos(math.radians(degrees))) & (F.col("run_m") >= run_m - 1e-9) & (F.col("gap_m") <= reach_m + 1e-9)).select("plan_id", "a", "b", "gap_m", "run_m")
 
 
 def wall_gaps(pairs: DataFrame, plans: DataFrame, default_m: float = 0.16) -> DataFrame:
@@ -103,16 +117,91 @@ def wall_gaps(pairs: DataFrame, plans: DataFrame, default_m: float = 0.16) -> Da
     return plans.select("plan_id").join(q, "plan_id", "left").select("plan_id", *[F.coalesce(c, F.lit(default_m)).alias(c) for c in ("q25", "q50", "q75")])
 
 
+def spans(edges: DataFrame) -> DataFrame:
+    """(plan_id, x0, x1, room_ix, lo, hi): in each slab of a plan the ordinates, at its middle, between which a room lies (even-odd).
+
+    No two edges cross inside a slab, so an area within it is the width times the length at the middle, exactly.
+    """
+    marks = edges.select("plan_id", F.col("ax").cast("double").alias("x")).unionByName(crossing_points(edges)).distinct()
+    slabs = marks.select("plan_id", F.col("x").alias("x0"), F.lead("x").over(Window.partitionBy("plan_id").orderBy("x")).alias("x1")).where("x1 IS NOT NULL")
+    e = edges.where("ax <> bx").select(*M.ROOM, "eix", "ax", "ay", "bx", F.col("by_").alias("by"))
+    s = slabs.join(e, "plan_id").where("least(ax, bx) <= x0 AND greatest(ax, bx) >= x1").select(*M.ROOM, "x0", "x1", "eix", F.expr("ay + (by - ay) * ((x0 + x1) / 2 - ax) / (bx - ax)").alias("lo"))
+    w = Window.partitionBy(*M.ROOM, "x0").orderBy("lo", "eix")
+    return s.select("plan_id", "x0", "x1", "room_ix", "lo", F.lead("lo").over(w).alias("hi"), F.row_number().over(w).alias("k")).where("k % 2 = 1 AND hi > lo").drop("k")
+
+
+def overlaps(edges: DataFrame) -> DataFrame:
+    """(plan_id, a, b, area2): the area, in square steps, that rooms a < b both claim, where it is more than rounding."""
+    s = spans(edges)
+    o = s.select("plan_id", "x0", F.col("room_ix").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    both = F.least("hi", "hi2") - F.greatest("lo", "lo2")
+    p = s.withColumnRenamed("room_ix", "a").join(o, ["plan_id", "x0"]).where((F.col("a") < F.col("b")) & (both > 1e-9))
+    return p.groupBy("plan_id", "a", "b").agg(F.sum(both * (F.col("x1") - F.col("x0"))).alias("area2"))
+
+
+def swallowed_pairs(edges: DataFrame, share: float) -> DataFrame:
+    """(plan_id, inner, outer): more than `share` of one room's area lies in another."""
+    area = edges.groupBy(*M.ROOM).agg((F.abs(F.sum(M.cross())) / 2).alias("area"))
+    o = overlaps(edges)
+    both = o.select("plan_id", F.col("a").alias("inner"), F.col("b").alias("outer"), "area2").unionByName(o.select("plan_id", F.col("b").alias("inner"), F.col("a").alias("outer"), "area2"))
+    return both.join(area.withColumnRenamed("room_ix", "inner"), ["plan_id", "inner"]).where(F.col("area2") > share * F.col("area")).select("plan_id", "inner", "outer")
+
+
 def parts(rooms: DataFrame, edges: DataFrame) -> DataFrame:
-    """(plan_id, room_ix, part): rooms that share wall length or overlap are one part of the floor; the part is its smallest room."""
+    """(plan_id, room_ix, part): rooms that share wall length or area are one part of the floor; the part is its smallest room."""
     walls = shared_walls(edges).select("plan_id", "a", "b")
-    box = edges.groupBy(*M.ROOM).agg(F.min("ax").alias("x0"), F.max("ax").alias("x1"), F.min("ay").alias("y0"), F.max("ay").alias("y1"))
-    o = box.select("plan_id", F.col("room_ix").alias("b"), *[F.col(c).alias(f"o{c}") for c in ("x0", "x1", "y0", "y1")])
-    over = box.withColumnRenamed("room_ix", "a").join(o, "plan_id").where("a < b AND x0 < ox1 AND ox0 < x1 AND y0 < oy1 AND oy0 < y1").select("plan_id", "a", "b")
-    links = stage(walls.unionByName(over).distinct(), "touch")
+    links = stage(walls.unionByName(overlaps(edges).select("plan_id", "a", "b")).distinct(), "touch")
     return graph.room_components(rooms, links, "true").withColumnRenamed("root", "part")
 
 
+def home_parts(rooms: DataFrame, edges: DataFrame) -> DataFrame:
+    """(plan_id, parts, rooms_outside, area_outside): how many parts a floor has, and what lies in others than the largest (ties: the one of the smaller room)."""
+    area = edges.groupBy(*M.ROOM).agg((F.abs(F.sum(M.cross())) / 2 * STEP_M * STEP_M).alias("area"))
+    per = parts(rooms, edges).join(area, M.ROOM).groupBy("plan_id", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
+    rank = F.row_number().over(Window.partitionBy("plan_id").orderBy(F.desc(F.round("area", 9)), "part"))
+    outside = lambda c: F.sum(F.when(F.col("rank") > 1, F.col(c)).otherwise(0))
+    return per.withColumn("rank", rank).groupBy("plan_id").agg(F.count(F.lit(1)).alias("parts"), outside("n").alias("rooms_outside"), outside("area").alias("area_outside"))
+
+
+def entry_from_shared_wall(edges: DataFrame, access: DataFrame) -> DataFrame:
+    """(plan_id, x_m, y_m): the middle, by length, of the wall that the rooms of a plan's first entrance link share; links whose rooms share none are passed over."""
+    e = lined(edges)
+    o = e.select("plan_id", "line", "slope", "offset", F.col("room_ix").alias("b"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    lo, hi = F.greatest("lo", "lo2"), F.least("hi", "hi2")
+    p = e.withColumnRenamed("room_ix", "a").join(o, ["plan_id", "line", "slope", "offset"]).where((F.col("a") != F.col("b")) & (hi > lo))
+    up, mid = F.col("line") == "v", (lo + hi) / 2
+    p = p.select("plan_id", "a", "b", ((hi - lo) * F.when(up, 1.0).otherwise(F.sqrt(1 + F.col("slope") * F.col("slope")))).alias("len"), F.when(up, F.col("offset")).otherwise(mid).alias("x"), F.when(up, mid).otherwise(F.col("slope") * mid + F.col("offset")).alias("y"))
+    at = access.where("kind = 'entrance'").join(p, ["plan_id", "a", "b"]).groupBy("plan_id", "edge_ix").agg((F.sum(F.col("x") * F.col("len")) / F.sum("len")).alias("x"), (F.sum(F.col("y") * F.col("len")) / F.sum("len")).alias("y"))
+    first = at.groupBy("plan_id").agg(F.min_by(F.struct("x", "y"), "edge_ix").alias("m"))
+    return first.select("plan_id", (F.col("m.x") * STEP_M).alias("x_m"), (F.col("m.y") * STEP_M).alias("y_m"))
+
+
+def area_errors(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(plan_id, mean_error, drift): the mean of the rooms' area changes and the change of the whole, each against the area before. Both are edge tables."""
+    area = lambda e, n: e.groupBy(*M.ROOM).agg((F.abs(F.sum(M.cross())) / 2).alias(n))
+    j = area(before, "a").join(area(after, "b"), M.ROOM, "left")
+    error = F.avg(F.when((F.col("a") > 0) & F.col("b").isNotNull(), F.abs(F.col("b") - F.col("a")) / F.col("a")))
+    return j.groupBy("plan_id").agg(F.coalesce(error, F.lit(0.0)).alias("mean_error"), F.coalesce(F.try_divide(F.abs(F.sum(F.coalesce("b", F.lit(0.0))) - F.sum("a")), F.sum("a")), F.lit(0.0)).alias("drift"))
+
+
+def fill_nearest(cells: DataFrame, inside: DataFrame) -> DataFrame:
+    """inside (plan_id, cx, cy) with room_ix: a cell's own room, else that of the nearest cell that has one (ties: the lower, then the left one).
+
+    Two passes, as distance transforms have them: in each column the nearest labelled cells above and below, then for each cell the
+    best of its row over the columns. Labelled cells outside `inside` do not count.
+    """
+    grid = inside.join(cells, ["plan_id", "cx", "cy"], "left").select("plan_id", "cx", "cy", "room_ix")
+    here = F.when(F.col("room_ix").isNotNull(), F.struct(F.col("cy").alias("y"), "room_ix"))
+    w = Window.partitionBy("plan_id", "cx").orderBy("cy")
+    seen = grid.select("*", F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("under"), F.first(here, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("over"))
+    found = seen.select("plan_id", "cy", F.col("cx").alias("x"), F.explode(F.array("under", "over")).alias("c")).where("c IS NOT NULL").distinct()
+    open_ = seen.where("room_ix IS NULL").select("plan_id", "cx", "cy")
+    j = open_.join(found, ["plan_id", "cy"])
+    d2 = (F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")) + (F.col("cy") - F.col("c.y")) * (F.col("cy") - F.col("c.y"))
+    filled = j.groupBy("plan_id", "cx", "cy").agg(F.min_by("c.room_ix", F.struct(d2.alias("d2"), F.col("c.y").alias("y"), "x")).alias("room_ix"))
+    return grid.where("room_ix IS NOT NULL").unionByName(filled)
+
+
 def ingest(plans: DataFrame, rooms: DataFrame, edges: DataFrame, share: float) -> DataFrame:
     """plans (plan_id, pixel) plus parts, twice_share and outcome, the first that holds: unknown-source-pixel, empty-plan, untiled-rooms, rooms-claim-the-same-floor, accepted.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -264,9 +265,16 @@ def d11_bounding_rooms(spark, sf):
     return V.shared_walls(table(spark, sf, "edges")).select("plan_id", "a", "b", r6("run_m"), F.row_number().over(w).alias("place"))
 
 
-PARTS_SQL = f"""{LINED_SQL}, bx0 AS (SELECT plan_id, room_ix, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM edges GROUP BY plan_id, room_ix),
-touch AS (SELECT plan_id, a, b FROM walls UNION SELECT p.plan_id, p.room_ix, q.room_ix FROM bx0 p JOIN bx0 q ON p.plan_id = q.plan_id AND p.room_ix < q.room_ix AND p.x0 < q.x1 AND q.x0 < p.x1 AND p.y0 < q.y1 AND q.y0 < p.y1),
-starts AS (SELECT plan_id, room_ix, CASE WHEN EXISTS (SELECT 1 FROM touch t WHERE t.plan_id = b.plan_id AND t.b = b.room_ix) THEN 0 ELSE 1 END AS s FROM bx0 b),
+SPANS_SQL = """x AS (SELECT p.plan_id, p.ax + CAST((p.bx - p.ax) * ((q.ax - p.ax) * (q.by_ - q.ay) - (q.ay - p.ay) * (q.bx - q.ax)) AS DOUBLE) / ((p.bx - p.ax) * (q.by_ - q.ay) - (p.by_ - p.ay) * (q.bx - q.ax)) AS x,
+    (p.bx - p.ax) * (q.by_ - q.ay) - (p.by_ - p.ay) * (q.bx - q.ax) AS d, (q.ax - p.ax) * (q.by_ - q.ay) - (q.ay - p.ay) * (q.bx - q.ax) AS t, (q.ax - p.ax) * (p.by_ - p.ay) - (q.ay - p.ay) * (p.bx - p.ax) AS u
+  FROM EDGES p JOIN EDGES q ON p.plan_id = q.plan_id AND p.room_ix < q.room_ix AND (p.bx - p.ax) * (q.by_ - q.ay) <> (p.by_ - p.ay) * (q.bx - q.ax)),
+marks AS (SELECT DISTINCT plan_id, x FROM (SELECT plan_id, CAST(ax AS DOUBLE) AS x FROM EDGES UNION ALL SELECT plan_id, x FROM x WHERE sign(t) = sign(d) AND abs(t) < abs(d) AND sign(u) = sign(d) AND abs(u) < abs(d))),
+slabs AS (SELECT * FROM (SELECT plan_id, x AS x0, lead(x) OVER (PARTITION BY plan_id ORDER BY x) AS x1 FROM marks) WHERE x1 IS NOT NULL),
+act AS (SELECT s.plan_id, x0, x1, room_ix, eix, ay + (by_ - ay) * ((x0 + x1) / 2 - ax) / (bx - ax) AS lo FROM slabs s JOIN EDGES e ON e.plan_id = s.plan_id AND ax <> bx AND least(ax, bx) <= x0 AND greatest(ax, bx) >= x1),
+spans AS (SELECT * FROM (SELECT plan_id, x0, x1, room_ix, lo, lead(lo) OVER w AS hi, row_number() OVER w AS k FROM act WINDOW w AS (PARTITION BY plan_id, room_ix, x0 ORDER BY lo, eix)) WHERE k % 2 = 1 AND hi > lo),
+olap AS (SELECT p.plan_id, p.room_ix AS a, q.room_ix AS b, sum((least(p.hi, q.hi) - greatest(p.lo, q.lo)) * (p.x1 - p.x0)) AS area2 FROM spans p JOIN spans q ON p.plan_id = q.plan_id AND p.x0 = q.x0 AND p.room_ix < q.room_ix AND least(p.hi, q.hi) - greatest(p.lo, q.lo) > 1e-9 GROUP BY p.plan_id, p.room_ix, q.room_ix)"""
+PARTS_SQL = f"""{LINED_SQL}, {SPANS_SQL.replace('EDGES', 'edges')}, touch AS (SELECT plan_id, a, b FROM walls UNION SELECT plan_id, a, b FROM olap),
+rms AS (SELECT DISTINCT plan_id, room_ix FROM edges), starts AS (SELECT plan_id, room_ix, CASE WHEN EXISTS (SELECT 1 FROM touch t WHERE t.plan_id = b.plan_id AND t.b = b.room_ix) THEN 0 ELSE 1 END AS s FROM rms b),
 prt AS (SELECT plan_id, room_ix, sum(s) OVER (PARTITION BY plan_id ORDER BY room_ix) AS k FROM starts)"""
 
 
@@ -282,8 +290,12 @@ def d14_ingest_outcome(spark, sf):
     return V.ingest(table(spark, sf, "plans"), table(spark, sf, "rooms"), table(spark, sf, "edges"), K.OVERLAP_SHARE).select("plan_id", "grp", "outcome")
 
 
-FACING_SQL = f"""{B}, vw AS (SELECT plan_id, room_ix, ax AS x, least(ay, by_) AS lo, greatest(ay, by_) AS hi FROM edges WHERE ax = bx AND ay <> by_),
-fp AS (SELECT p.plan_id, p.room_ix AS a, q.room_ix AS b, abs(p.x - q.x) * {S} AS gap_m, (least(p.hi, q.hi) - greatest(p.lo, q.lo)) * {S} AS run_m FROM vw p JOIN vw q ON p.plan_id = q.plan_id AND p.room_ix < q.room_ix AND abs(p.x - q.x) <= {0.5 / K.STEP_M!r} AND least(p.hi, q.hi) - greatest(p.lo, q.lo) >= {0.3 / K.STEP_M!r})"""
+_M = [f"{c} * {S} AS {n}" for c, n in (("ax", "ax"), ("ay", "ay"), ("bx", "bx"), ("by_", '"by"'))]
+_N = [f"{c} * {S} AS {n}" for c, n in (("ax", "cx"), ("ay", "cy"), ("bx", "dx"), ("by_", "dy"))]
+_face = lambda t: re.sub(r"\bby\b", '"by"', t)
+FACING_SQL = f"""{B}, f0 AS MATERIALIZED (SELECT plan_id, room_ix AS a, {', '.join(_M)} FROM edges WHERE {LEN} * {S} >= 0.3), f1 AS MATERIALIZED (SELECT plan_id, room_ix AS b, {', '.join(_N)} FROM edges WHERE {LEN} * {S} >= 0.3),
+fq AS (SELECT f0.plan_id, a, b, {', '.join(f'{_face(e)} AS {n}' for n, e in V.FACE.items())} FROM f0 JOIN f1 ON f0.plan_id = f1.plan_id AND a < b WHERE {_face(V.NEAR.format(r=0.5))}),
+fp AS (SELECT * FROM fq WHERE cosine >= {math.cos(math.radians(5.0))!r} AND run_m >= 0.3 - 1e-9 AND gap_m <= 0.5 + 1e-9)"""
 
 
 @register(f"WITH {FACING_SQL} SELECT plan_id, a, b, {q6('gap_m')}, {q6('run_m')} FROM fp")
