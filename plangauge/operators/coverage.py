@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plangauge.core.constants import STEP_M
-from plangauge.core.staging import stage
 from plangauge.operators import graph
 from plangauge.operators import measures as M
 
@@ -150,7 +149,7 @@ def swallowed_pairs(edges: DataFrame, share: float) -> DataFrame:
 def parts(rooms: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan_id, room_ix, part): rooms that share wall length or area are one part of the floor; the part is its smallest room."""
     walls = shared_walls(edges).select("plan_id", "a", "b")
-    links = stage(walls.unionByName(overlaps(edges).select("plan_id", "a", "b")).distinct(), "touch")
+    links = walls.unionByName(overlaps(edges).select("plan_id", "a", "b"))
     return graph.room_components(rooms, links, "true").withColumnRenamed("root", "part")
 
 

@@ -6,35 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plangauge.core import constants as K
-from plangauge.core.staging import stage, unstage
 
 HABITABLE = ("livingroom", "bedroom", "diningroom", "masterroom", "living_room", "dining")
 WET = ("bathroom",)
 CIRCULATION = ("corridor", "stairs")
 
 
-def room_components(rooms: DataFrame, access: DataFrame, through: str = "kind <> 'entrance'") -> DataFrame:
-    """(plan_id, room_ix, root): rooms that reach each other over the access links that hold `through`; root is the smallest.
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    Labels go down along the links and jump to their own label's label in every round, all on plan_id; rounds grow with the logarithm of
-    the longest chain. Each round is a stored table.
+def components_within(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(plan_id, node, label): components of links (plan_id, a, b) within each plan; label is the component's smallest node.
+
+    A component never leaves its plan and a plan is one document, so its links are one array, folded link by link into the labels of
+    its nodes: one shuffle, no rounds. nodes (plan_id, node) adds those without links; ends that it lacks are passed over.
     """
-    e = access.where(through).select("plan_id", "a", "b")
-    both = e.unionByName(e.select("plan_id", F.col("b").alias("a"), F.col("a").alias("b"))).withColumnsRenamed({"a": "room_ix", "b": "other"})
-    both = stage(both, "links")
-    now = stage(rooms.select("plan_id", "room_ix", F.col("room_ix").alias("root")), "roots")
-    total = None
-    while True:
-        seen = both.join(now.select("plan_id", F.col("room_ix").alias("other"), F.col("root").alias("seen")), ["plan_id", "other"]).groupBy("plan_id", "room_ix").agg(F.min("seen").alias("seen"))
-        low = now.join(seen, ["plan_id", "room_ix"], "left").select("plan_id", "room_ix", F.least("root", "seen").alias("root"))
-        jump = low.join(low.select("plan_id", F.col("room_ix").alias("root"), F.col("root").alias("top")), ["plan_id", "root"]).select("plan_id", "room_ix", F.col("top").alias("root"))
-        new = stage(jump, "roots")
-        sums = new.agg(F.sum("root")).first()[0]
-        unstage(now)
-        now = new
-        if sums == total:
-            return now
-        total = sums
+    e = links.groupBy("plan_id").agg(F.collect_set(F.struct("a", "b")).alias("links"))
+    if nodes is None:
+        e = e.withColumn("nodes", F.array_distinct(F.flatten(F.transform("links", lambda x: F.array(x["a"], x["b"])))))
+    else:
+        e = nodes.groupBy("plan_id").agg(F.collect_set("node").alias("nodes")).join(e, "plan_id", "left")
+    pair = lambda n, label: F.struct(n.alias("node"), label.alias("label"))
+
+    def step(labels: Column, link: Column) -> Column:
+        of = lambda n: F.get(F.filter(labels, lambda x: x["node"] == n), F.lit(0))["label"]
+        ends = _let(F.struct(of(link["a"]).alias("a"), of(link["b"]).alias("b")), lambda m: F.struct(F.least(m["a"], m["b"]).alias("lo"), F.greatest(m["a"], m["b"]).alias("hi")))
+        return _let(ends, lambda m: F.when(m["lo"] < m["hi"], F.transform(labels, lambda x: pair(x["node"], F.when(x["label"] == m["hi"], m["lo"]).otherwise(x["label"])))).otherwise(labels))
+
+    start = F.transform("nodes", lambda n: pair(n, n))
+    found = e.select("plan_id", F.explode(F.aggregate(F.coalesce("links", F.array()), start, step)).alias("x"))
+    return found.select("plan_id", "x.node", "x.label")
+
+
+def room_components(rooms: DataFrame, access: DataFrame, through: str = "kind <> 'entrance'") -> DataFrame:
+    """(plan_id, room_ix, root): rooms that reach each other over the access links that hold `through`; root is the smallest."""
+    links = access.where(through).select("plan_id", "a", "b")
+    return components_within(links, rooms.select("plan_id", F.col("room_ix").alias("node"))).withColumnsRenamed({"node": "room_ix", "label": "root"})
 
 
 def apartments(rooms: DataFrame, roots: DataFrame) -> DataFrame:
