@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plangauge.core.staging import stage, unstage
 from plangauge.llm._text import with_text_columns, worker_state
 
 UNKNOWN = "und"
@@ -41,19 +42,29 @@ def fit(labelled: DataFrame, p: Parsing = Parsing(), *, text_col: str = "text",
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    least = rows.select("lang", "h", F.length("text").alias("size")).distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "size"))).where(F.col("k") <= p.docs)
+    texts = stage(rows.select("lang", "h", F.length("text").alias("size")).distinct(), "labelled")
+    counts = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # hashes are even over 64 bits: about 4 * p.docs of a language's are under its cut, and only those are ranked
+    cuts = [(lang, float((1 << 64) * min(1.0, 4 * p.docs / n) - (1 << 63))) for lang, n in counts.items()]
     seen: dict[str, list[tuple[int, int]]] = {}
-    for lang, h, size in least.select("lang", "h", "size").collect():
-        seen.setdefault(lang, []).append((h, size))
+    for cut in (True, False):
+        some = texts.join(F.broadcast(labelled.sparkSession.createDataFrame(cuts, "lang string, cut double")), "lang").where(F.col("h").cast("double") <= F.col("cut")) if cut else texts
+        least = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "size"))).where(F.col("k") <= p.docs)
+        seen = {}
+        for lang, h, size in least.select("lang", "h", "size").collect():
+            seen.setdefault(lang, []).append((h, size))
+        if all(len(seen.get(lang, ())) == min(n, p.docs) for lang, n in counts.items()):
+            break
+    unstage(texts)
     taken: list[tuple[str, int]] = []
-    for lang, texts in seen.items():
+    for lang, found in seen.items():
         room, none = p.lang_chars, True
-        for h, size in sorted(texts):
+        for h, size in sorted(found):
             if size <= room:
                 taken.append((lang, h))
                 room, none = room - size, False
         if none:
-            taken.append((lang, min((size, h) for h, size in texts)[1]))
+            taken.append((lang, min((size, h) for h, size in found)[1]))
     if not taken:
         return []
     some = rows.join(F.broadcast(labelled.sparkSession.createDataFrame(taken, "lang string, h long")), ["lang", "h"])
