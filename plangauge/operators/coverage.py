@@ -116,17 +116,23 @@ def wall_gaps(pairs: DataFrame, plans: DataFrame, default_m: float = 0.16) -> Da
     return plans.select("plan_id").join(q, "plan_id", "left").select("plan_id", *[F.coalesce(c, F.lit(default_m)).alias(c) for c in ("q25", "q50", "q75")])
 
 
+def slabs_of(edges: DataFrame) -> DataFrame:
+    """(plan_id, x0, x1): the slabs between neighbouring abscissae of a plan's vertices and of crossings between its rooms."""
+    marks = edges.select("plan_id", F.col("ax").cast("double").alias("x")).unionByName(crossing_points(edges)).distinct()
+    return marks.select("plan_id", F.col("x").alias("x0"), F.lead("x").over(Window.partitionBy("plan_id").orderBy("x")).alias("x1")).where("x1 IS NOT NULL")
+
+
 def spans(edges: DataFrame) -> DataFrame:
-    """(plan_id, x0, x1, room_ix, lo, hi): in each slab of a plan the ordinates, at its middle, between which a room lies (even-odd).
+    """(plan_id, x0, x1, room_ix, lo, hi, lo0, hi0, lo1, hi1): the ordinates between which a room lies (even-odd) at the middle and at both ends of each slab of a plan.
 
-    No two edges cross inside a slab, so an area within it is the width times the length at the middle, exactly.
+    No two rooms' edges cross inside a slab, so an area within it is the width times the length at the middle, exactly.
     """
-    marks = edges.select("plan_id", F.col("ax").cast("double").alias("x")).unionByName(crossing_points(edges)).distinct()
-    slabs = marks.select("plan_id", F.col("x").alias("x0"), F.lead("x").over(Window.partitionBy("plan_id").orderBy("x")).alias("x1")).where("x1 IS NOT NULL")
     e = edges.where("ax <> bx").select(*M.ROOM, "eix", "ax", "ay", "bx", F.col("by_").alias("by"))
-    s = slabs.join(e, "plan_id").where("least(ax, bx) <= x0 AND greatest(ax, bx) >= x1").select(*M.ROOM, "x0", "x1", "eix", F.expr("ay + (by - ay) * ((x0 + x1) / 2 - ax) / (bx - ax)").alias("lo"))
+    at = lambda x: F.expr(f"ay + (by - ay) * ({x} - ax) / (bx - ax)")
+    s = slabs_of(edges).join(e, "plan_id").where("least(ax, bx) <= x0 AND greatest(ax, bx) >= x1").select(*M.ROOM, "x0", "x1", "eix", at("(x0 + x1) / 2").alias("lo"), at("x0").alias("lo0"), at("x1").alias("lo1"))
     w = Window.partitionBy(*M.ROOM, "x0").orderBy("lo", "eix")
-    return s.select("plan_id", "x0", "x1", "room_ix", "lo", F.lead("lo").over(w).alias("hi"), F.row_number().over(w).alias("k")).where("k % 2 = 1 AND hi > lo").drop("k")
+    nxt = [F.lead(c).over(w).alias(n) for c, n in (("lo", "hi"), ("lo0", "hi0"), ("lo1", "hi1"))]
+    return s.select("plan_id", "x0", "x1", "room_ix", "lo", "lo0", "lo1", *nxt, F.row_number().over(w).alias("k")).where("k % 2 = 1 AND hi > lo").drop("k")
 
 
 def overlaps(edges: DataFrame) -> DataFrame:
@@ -201,17 +207,6 @@ def fill_nearest(cells: DataFrame, inside: DataFrame) -> DataFrame:
     return grid.where("room_ix IS NOT NULL").unionByName(filled)
 
 
-def ingest(plans: DataFrame, rooms: DataFrame, edges: DataFrame, share: float) -> DataFrame:
-    """plans (plan_id, pixel) plus parts, twice_share and outcome, the first that holds: unknown-source-pixel, empty-plan, untiled-rooms, rooms-claim-the-same-floor, accepted.
-
-    The twice-claimed area is held against the union's. Narrow gaps are not closed here, so a plan with a gap is untiled.
-    """
-    n = parts(rooms, edges).groupBy("plan_id").agg(F.countDistinct("part").alias("parts"), F.count(F.lit(1)).alias("rooms"))
-    p = plans.join(n, "plan_id", "left").join(cover(edges).select("plan_id", (F.col("twice2") / F.col("union2")).alias("twice_share")), "plan_id", "left")
-    outcome = F.when(F.col("pixel").isNull(), "unknown-source-pixel").when(F.col("rooms").isNull(), "empty-plan").when(F.col("parts") > 1, "untiled-rooms").when(F.col("twice_share") > share, "rooms-claim-the-same-floor").otherwise("accepted")
-    return p.withColumn("outcome", outcome)
-
-
 def room_cells(edges: DataFrame, step: int) -> DataFrame:
     """(plan_id, room_ix, cx, cy): grid cells of `step` lattice steps whose centre lies inside a room (even-odd).
 

@@ -132,7 +132,8 @@ def crossings(edges: DataFrame) -> DataFrame:
     other = edges.select(*ROOM, F.col("eix").alias("e2"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by_").alias("dy"))
     count = Window.partitionBy(*ROOM)
     mine = edges.withColumn("k", F.count(F.lit(1)).over(count))
-    pairs = mine.join(other, ROOM).where("eix + 1 < e2 AND NOT (eix = 0 AND e2 = k - 1)")
+    boxes = "least(ax, bx) <= greatest(cx, dx) AND least(cx, dx) <= greatest(ax, bx) AND least(ay, by_) <= greatest(cy, dy) AND least(cy, dy) <= greatest(ay, by_)"
+    pairs = mine.join(other, ROOM).where(f"eix + 1 < e2 AND NOT (eix = 0 AND e2 = k - 1) AND {boxes}")
     o = lambda p, q, r: f"sign(cast(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x) as double))"
     q = pairs.select(*ROOM, F.col("ax").alias("ax"), F.col("ay"), F.col("bx"), F.col("by_").alias("by"), "cx", "cy", "dx", "dy")
     q = q.select("*", *[F.expr(o(*t)).alias(n) for n, t in (("o1", "abc"), ("o2", "abd"), ("o3", "cda"), ("o4", "cdb"))])

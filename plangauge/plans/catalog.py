@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plangauge.core import constants as K
 from plangauge.core import dimensions as D
+from plangauge.core.staging import stage
 from plangauge.operators import calibration as C
 from plangauge.operators import coverage as V
 from plangauge.operators import graph as G
@@ -91,7 +92,8 @@ def _rooms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graded(spark: SparkSession, sf: str, suppress: tuple[str, ...] = ()) -> DataFrame:
-    facts = L.room_facts(table(spark, sf, "edges"))
+    """The ladder over all plans; edges are derived once and written, as three measures read them."""
+    facts = L.room_facts(stage(table(spark, sf, "edges").select("plan_id", "room_ix", "category", "eix", "ax", "ay", "bx", "by_"), "edges"))
     return L.grade(L.rung_inputs(table(spark, sf, "plans"), facts, D.floors(spark)), suppress)
 
 
@@ -283,13 +285,6 @@ def d06_parts(spark, sf):
     return V.parts(table(spark, sf, "rooms"), table(spark, sf, "edges")).select("plan_id", "room_ix", "part")
 
 
-@register(f"""WITH {PARTS_SQL}, np AS (SELECT plan_id, count(DISTINCT k) AS parts FROM prt GROUP BY plan_id), cv AS ({COVER_SQL.replace(B + ',', 'WITH', 1)} SELECT * FROM cov)
-SELECT p.plan_id, p.grp, CASE WHEN n.parts IS NULL THEN 'empty-plan' WHEN n.parts > 1 THEN 'untiled-rooms' WHEN c.twice2 / c.union2 > {K.OVERLAP_SHARE} THEN 'rooms-claim-the-same-floor' ELSE 'accepted' END AS outcome
-FROM plans p LEFT JOIN np n ON n.plan_id = p.plan_id LEFT JOIN cv c ON c.plan_id = p.plan_id""")
-def d14_ingest_outcome(spark, sf):
-    return V.ingest(table(spark, sf, "plans"), table(spark, sf, "rooms"), table(spark, sf, "edges"), K.OVERLAP_SHARE).select("plan_id", "grp", "outcome")
-
-
 _M = [f"{c} * {S} AS {n}" for c, n in (("ax", "ax"), ("ay", "ay"), ("bx", "bx"), ("by_", '"by"'))]
 _N = [f"{c} * {S} AS {n}" for c, n in (("ax", "cx"), ("ay", "cy"), ("bx", "dx"), ("by_", "dy"))]
 _face = lambda t: re.sub(r"\bby\b", '"by"', t)
