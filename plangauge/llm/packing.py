@@ -23,7 +23,7 @@ PLAIN = r"^[\t\n\v\f\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]*$"
 #: Fixed value: the pattern that splits normalised text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words and pieces that a worker keeps, in each of two generations, if they are no longer than LONG; words given to the tokenizer at once.
-KEPT, LONG, TOGETHER = 200_000, 256, 20_000
+KEPT, LONG, TOGETHER = 120_000, 256, 10_000
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def tokenise(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str =
     width = _tokens(path).width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", 4 << 20):
             ids, n = token_ids(texts(b, "text"), path)
             ends = np.cumsum(n)
             full = np.insert(ids, ends, p.end_id).astype(width)
@@ -197,8 +197,12 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, p: Packing):
         sizes = np.array([len(d) for d in docs], np.int64)
-        keys, tf = np.unique(np.concatenate(docs).astype(np.int64) * len(docs) + np.repeat(np.arange(len(docs)), sizes), return_counts=True)
-        self.doc, term = keys % len(docs), keys // len(docs)
+        kind = np.int32 if len(docs) * len(idf) < 1 << 31 else np.int64
+        keys = np.concatenate(docs).astype(kind)
+        keys *= kind(len(docs))
+        keys += np.repeat(np.arange(len(docs), dtype=kind), sizes)
+        keys, tf = np.unique(keys, return_counts=True)
+        self.doc, term = (keys % kind(len(docs))).astype(np.int64), keys // kind(len(docs))
         self.weight = idf[term] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * sizes[self.doc] / mean))
         order = np.argsort(self.doc, kind="stable")
         self.term = term[order]
@@ -346,7 +350,7 @@ def pack(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str = "doc
             more = _arrays(b.column("ids"), width)
             at = 0
             for k, doc in enumerate(more):
-                if docs and filled + len(doc) > 2 * p.shard_tokens:
+                if docs and 2 * (filled + len(doc)) > 3 * p.shard_tokens:
                     yield packed(docs, [*ids, b.column("id").slice(at, k - at)], first)
                     first, docs, ids, filled, at = first + sum(map(len, docs)), [], [], 0, k
                 docs.append(doc)
