@@ -122,19 +122,41 @@ def slabs_of(edges: DataFrame) -> DataFrame:
     return marks.select("plan_id", F.col("x").alias("x0"), F.lead("x").over(Window.partitionBy("plan_id").orderBy("x")).alias("x1")).where("x1 IS NOT NULL")
 
 
-def spans(edges: DataFrame) -> DataFrame:
+def spans(edges: DataFrame, slabs: DataFrame | None = None) -> DataFrame:
     """(plan_id, x0, x1, room_ix, lo, hi, lo0, hi0, lo1, hi1): the ordinates between which a room lies (even-odd) at the middle and at both ends of each slab of a plan.
 
-    No two rooms' edges cross inside a slab, so an area within it is the width times the length at the middle, exactly.
+    No two rooms' edges cross inside a slab, so an area within it is the width times the length at the middle, exactly. slabs, if
+    given, stands for slabs_of(edges).
     """
+    slabs = slabs_of(edges) if slabs is None else slabs
     e = edges.where("ax <> bx").select(*M.ROOM, "eix", "ax", "ay", "bx", F.col("by_").alias("by"))
     at = lambda x: F.expr(f"ay + (by - ay) * ({x} - ax) / (bx - ax)")
-    s = slabs_of(edges).join(e, "plan_id").where("least(ax, bx) <= x0 AND greatest(ax, bx) >= x1").select(*M.ROOM, "x0", "x1", "eix", at("(x0 + x1) / 2").alias("lo"), at("x0").alias("lo0"), at("x1").alias("lo1"))
+    s = slabs.join(e, "plan_id").where("least(ax, bx) <= x0 AND greatest(ax, bx) >= x1").select(*M.ROOM, "x0", "x1", "eix", at("(x0 + x1) / 2").alias("lo"), at("x0").alias("lo0"), at("x1").alias("lo1"))
     w = Window.partitionBy(*M.ROOM, "x0").orderBy("lo", "eix")
     nxt = [F.lead(c).over(w).alias(n) for c, n in (("lo", "hi"), ("lo0", "hi0"), ("lo1", "hi1"))]
     return s.select("plan_id", "x0", "x1", "room_ix", "lo", "lo0", "lo1", *nxt, F.row_number().over(w).alias("k")).where("k % 2 = 1 AND hi > lo").drop("k")
 
 
+def lobes(edges: DataFrame) -> DataFrame:
+    """(plan_id, room_ix, lobe, area2): the areas, in square steps, into which a ring that crosses itself falls (even-odd); a simple ring has one.
+
+    Slabs run between a ring's own vertices and crossings; pieces of neighbouring slabs are one lobe where they share a stretch of
+    the line between.
+    """
+    ring = edges.withColumn("plan_id", F.struct(*M.ROOM))
+    s = spans(ring.withColumn("room_ix", F.lit(0)), slabs_of(ring.withColumn("room_ix", F.col("eix")))).withColumn("piece", F.row_number().over(Window.partitionBy("plan_id").orderBy("x0", "lo")))
+    right = s.select("plan_id", F.col("piece").alias("b"), F.col("x0").alias("x"), F.col("lo0").alias("rl"), F.col("hi0").alias("rh"))
+    met = s.select("plan_id", F.col("piece").alias("a"), F.col("x1").alias("x"), "lo1", "hi1").join(right, ["plan_id", "x"]).where(F.least("hi1", "rh") - F.greatest("lo1", "rl") > 1e-9).select("plan_id", "a", "b")
+    of = graph.components_within(met, s.select("plan_id", F.col("piece").alias("node"))).withColumnsRenamed({"node": "piece", "label": "lobe"})
+    area = s.join(of, ["plan_id", "piece"]).groupBy("plan_id", "lobe").agg(F.sum((F.col("hi") - F.col("lo")) * (F.col("x1") - F.col("x0"))).alias("area2"))
+    return area.select("plan_id.plan_id", "plan_id.room_ix", "lobe", "area2")
+
+
+def repaired(edges: DataFrame) -> DataFrame:
+    """(plan_id, room_ix, lobes, area2, lost2): the largest lobe of each ring, which stands for the room, and the area of the others."""
+    return lobes(edges).groupBy(*M.ROOM).agg(F.count(F.lit(1)).alias("lobes"), F.max("area2").alias("area2"), (F.sum("area2") - F.max("area2")).alias("lost2"))
+
+
 def overlaps(edges: DataFrame) -> DataFrame:
     """(plan_id, a, b, area2): the area, in square steps, that rooms a < b both claim, where it is more than rounding."""
     s = spans(edges)

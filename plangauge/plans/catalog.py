@@ -442,14 +442,26 @@ def f07_exposure_context(spark, sf):
     return G.exposure_context(_members(spark, sf))
 
 
-WALLS = "CASE WHEN category = 'corridor' THEN 'hallway' WHEN room_ix = 0 THEN 'exterior' WHEN eix = 0 THEN 'exterior' WHEN category = 'balcony' THEN 'demising' ELSE 'interior' END"
-
-
-@register(f"""WITH {B}, w AS (SELECT plan_id, {WALLS} AS class, {LEN} * {S} AS length_m FROM edges), k AS (SELECT * FROM (SELECT DISTINCT plan_id FROM w), (VALUES ('exterior'), ('corridor'), ('demising'), ('hallway'), ('interior')) AS x(class))
-SELECT k.plan_id, k.class, count(w.class) AS segments, round(coalesce(sum(length_m), 0.0) + 1e-9, 6) + 0.0 AS length_m FROM k LEFT JOIN w ON w.plan_id = k.plan_id AND w.class = k.class GROUP BY k.plan_id, k.class""")
+@register(f"""WITH {UNITS_SQL}, {LINED_SQL[len(B) + 1:]}, sw AS (SELECT plan_id, a AS room_ix, b AS o, run_m FROM walls UNION ALL SELECT plan_id, b, a, run_m FROM walls),
+oc AS (SELECT m.plan_id, m.unit_ix, CASE WHEN q.unit_ix IS NULL THEN 'corridor' WHEN q.unit_ix <> m.unit_ix THEN 'demising' WHEN q.category IN ('corridor', 'stairs') THEN 'hallway' ELSE 'interior' END AS class, run_m FROM mem m JOIN sw ON sw.plan_id = m.plan_id AND sw.room_ix = m.room_ix JOIN mem q ON q.plan_id = sw.plan_id AND q.room_ix = sw.o WHERE m.unit_ix IS NOT NULL),
+pm AS (SELECT plan_id, room_ix, sum({LEN}) * {S} AS per FROM edges GROUP BY plan_id, room_ix), sh AS (SELECT plan_id, room_ix, sum(run_m) AS run FROM sw GROUP BY plan_id, room_ix),
+ex AS (SELECT m.plan_id, m.unit_ix, 'exterior' AS class, pm.per - coalesce(sh.run, 0) AS run_m FROM mem m JOIN pm ON pm.plan_id = m.plan_id AND pm.room_ix = m.room_ix LEFT JOIN sh ON sh.plan_id = m.plan_id AND sh.room_ix = m.room_ix WHERE m.unit_ix IS NOT NULL),
+w AS (SELECT * FROM oc UNION ALL SELECT * FROM ex), k AS (SELECT * FROM (SELECT DISTINCT plan_id FROM w), (VALUES ('exterior'), ('corridor'), ('demising'), ('hallway'), ('interior')) AS x(class))
+SELECT k.plan_id, k.class, count(w.class) AS segments, round(coalesce(sum(run_m), 0.0) + 1e-9, 6) + 0.0 AS length_m FROM k LEFT JOIN w ON w.plan_id = k.plan_id AND w.class = k.class GROUP BY k.plan_id, k.class""")
 def f09_exposure_histogram(spark, sf):
-    walls = table(spark, sf, "edges").select("plan_id", F.expr(WALLS).alias("class"), (M.length() * K.STEP_M).alias("length_m"))
-    return G.exposure_histogram(walls).select("plan_id", "class", "segments", r6("length_m"))
+    """Wall length of the rooms of apartments by exposure class: shared walls by what is across them, the rest of the outline as exterior."""
+    m, e = stage(_members(spark, sf), "members"), table(spark, sf, "edges")
+    own = m.where("unit_ix IS NOT NULL").select("plan_id", "room_ix", "unit_ix")
+    runs = V.shared_walls(e)
+    sides = stage(runs.select("plan_id", F.col("a").alias("room_ix"), F.col("b").alias("other"), "run_m").union(runs.select("plan_id", "b", "a", "run_m")), "sides")
+    across = m.select("plan_id", F.col("room_ix").alias("other"), F.col("unit_ix").alias("its"), F.col("category").isin(*G.CIRCULATION).alias("circulating"))
+    owner = F.when(F.col("its") == F.col("unit_ix"), F.col("other")).when(F.col("its").isNull(), K.EXPOSURE["corridor"]).otherwise(K.EXPOSURE["demising"])
+    met = own.join(sides, ["plan_id", "room_ix"]).join(across, ["plan_id", "other"]).select("plan_id", G.code_of(G.encode(owner, F.col("circulating"))).alias("code"), F.col("run_m").alias("length_m"))
+    shared = sides.groupBy("plan_id", "room_ix").agg(F.sum("run_m").alias("run"))
+    rest = M.room_measures(e).select("plan_id", "room_ix", "perimeter_m").join(own, ["plan_id", "room_ix"]).join(shared, ["plan_id", "room_ix"], "left")
+    rest = rest.select("plan_id", F.lit(K.EXPOSURE["exterior"]).alias("code"), (F.col("perimeter_m") - F.coalesce("run", F.lit(0.0))).alias("length_m"))
+    name = F.coalesce(*[F.when(F.col("code") == v, n) for n, v in K.EXPOSURE.items()], F.lit("interior")).alias("class")
+    return G.exposure_histogram(met.unionByName(rest).select("plan_id", name, "length_m")).select("plan_id", "class", "segments", r6("length_m"))
 
 
 # ---- G: outcomes, intervals, bootstraps ----------------------------------------------------------------------------------
@@ -657,7 +669,7 @@ def i09_fit_rung3(spark, sf):
     return C.fit_rung3(pf, rf, _levels(spark), "kind").select("kind", "level", r6("p"))
 
 
-@register()
+@register(f"WITH {FIT3_SQL}, at20 AS (SELECT f.kind, f.level, k.tag, f.p * (k.n - 1) AS at_ FROM fit3 f JOIN (SELECT DISTINCT kind, tag, n FROM pool) k ON k.kind = f.kind) SELECT a.kind, a.level, a.tag, round_even(l.sq + (at_ - floor(at_)) * (h.sq - l.sq), 4) AS floor FROM at20 a JOIN pool l ON l.kind = a.kind AND l.tag = a.tag AND l.i = floor(at_) + 1 JOIN pool h ON h.kind = a.kind AND h.tag = a.tag AND h.i = ceil(at_) + 1")
 def i20_emitted_floors(spark, sf):
     """The floors of every level by kind and tag, at four decimals."""
     pf, rf = _features(spark, sf)
