@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +48,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     words = pc.ascii_split_whitespace(pc.ascii_lower(column))
     flat = words.flatten().dictionary_encode()
     full = pc.greater(pc.binary_length(flat.dictionary), 0).to_numpy(zero_copy_only=False)
-    known = _mix(pd.util.hash_array(np.array(flat.dictionary.to_pylist() or [""], dtype=object), categorize=False).astype(np.uint64))
+    known = np.array([xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_numpy(zero_copy_only=False).tolist()] or [0], np.uint64)
     codes = flat.indices.to_numpy(zero_copy_only=False)
     bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
     out = []

@@ -159,6 +159,7 @@ def _arrays(column, width: np.dtype) -> list[np.ndarray]:
 def document_frequencies(tokens: DataFrame, vocab: int, width: np.dtype) -> np.ndarray:
     """How many documents each token occurs in, over all documents: an array as long as the vocabulary, so bounded whatever the input."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("terms",), bool)  # the tokenizer is not needed from here on
         total = np.zeros(vocab, np.int64)
         for b in batches:
             for a in _arrays(b.column("ids"), width):
@@ -326,6 +327,7 @@ def pack(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str = "doc
     keys = [f"d{k}" for k in range(p.draws)]
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("terms",), bool)
         for b in batches:
             docs = _arrays(b.column("ids"), width)
             if docs:
@@ -344,6 +346,7 @@ def pack(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str = "doc
         return pa.RecordBatch.from_arrays([pa.concat_arrays(ids).take(pa.array(d)), pa.array(start), pa.array(length), pa.array(sizes[d]), pa.array(sequence + first), pa.array(offset), data], ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("terms",), bool)
         docs, ids, filled = [], [], 0
         first = TaskContext.get().partitionId() << 40
         for b in batches:
