@@ -26,6 +26,8 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int = 8 << 20
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+    trim()
 
 
 def texts(batch: pa.RecordBatch, text_col: str) -> pa.Array:
@@ -58,6 +60,13 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[where]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _state: list = [None, None]
 
 
@@ -66,9 +75,7 @@ def worker_state(key: tuple, build: Callable):
     if _state[0] != key:
         _state[:] = [None, None]
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
         _state[:] = [key, build()]
     return _state[1]
 

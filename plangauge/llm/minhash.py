@@ -101,7 +101,7 @@ def sketch(df: DataFrame, p: Near, *, id_col: str, text_col: str, row_col: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(("minhash",), bool)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             sets = shingle_sets(texts(b, "text"), p.width)
             keys = band_keys(signatures(sets, p.bands * p.rows), p.bands, p.rows).view(np.int64)
             full = np.array([len(s) > 0 for s in sets], bool)
@@ -119,7 +119,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, p: Near, text_col: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(("minhash",), bool)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 2 << 20):
             sets = shingle_sets(texts(b, "text"), p.width)
             hashes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
