@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plangauge.core.staging import stage
-from plangauge.llm import bpe, exact_dedup, langid, minhash, packing, pii, sharding, token_counts, topk, url_filter
+from plangauge.llm import bpe, exact_dedup, filter_audit, langid, minhash, packing, pii, rank_bpe, runs, sharding, token_counts, topk, url_filter
 
 #: The pseudonyms' key; a deployment sets its own.
 PII_KEY = "plangauge-demo-key"
@@ -128,5 +128,72 @@ FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+
 WINDOW w AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash, op3_packing, op4_language_id, op5_token_counts, op6_topk, op7_url_filter, op8_pii, op9_bpe, op10_exact_dedup)}
-ORACLES = {"op6_topk": OP6_SQL, "op7_url_filter": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+def with_planted_period(text: Column, doc_id: Column) -> Column:
+    """The text, or for a tenth of the ids its words with a period: from word a on, each word is that of the first p words from there."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10).cast("long")
+
+    def planted(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.transform(words, lambda _, i: F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    bound = F.transform(F.array(words), planted)[0]  # the inner array is worked out once, as a bound variable
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), F.array_join(bound, " ")).otherwise(text)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words, the longest of them, and the words without repeats, as digests."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", with_planted_period(F.col("text"), F.col("doc_id")).alias("text"))
+    done = runs.with_runs(docs)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    every = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    of = F.col("longest")
+    return done.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), of["start"].alias("start"), (-of["less"]).alias("length"), of["period"].alias("period"),
+        F.floor(1000 * -of["less"] / of["period"]).cast("long").alias("exponent_milli"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by a rank file, and the bytes that they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = rank_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
+    done = rank_bpe.decode(coded, path, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of all 120 orders, for every language."""
+    failed = filter_audit.failure_masks(_table(spark, sf_dir, "documents"), part=F.coalesce("lang", F.lit("")))
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).cast("int").alias("good"), (F.col("toxic") == 1).cast("int").alias("toxic"))
+    return filter_audit.interactions(filter_audit.mask_counts(failed, labels))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+m AS (SELECT doc_id, part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a JOIN f b ON b.x <> a.x JOIN f c ON c.x NOT IN (a.x, b.x)
+  JOIN f d ON d.x NOT IN (a.x, b.x, c.x) JOIN f e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS INTEGER) AS before, bits[k] AS here FROM o, range(1, 6) r(k)),
+r AS (SELECT part, filter_order, step, here,
+  sum(CASE WHEN mask & here = 0 AND mask & before = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & here <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & here <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = here THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & here <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & here <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, here) AS BIGINT) AS shapley FROM r
+"""
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_minhash, op3_packing, op4_language_id, op5_token_counts, op6_topk, op7_url_filter, op8_pii, op9_bpe, op10_exact_dedup, op11_runs, op12_rank_bpe, op13_filter_audit)}
+ORACLES = {"op6_topk": OP6_SQL, "op7_url_filter": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op13_filter_audit": OP13_SQL}
