@@ -161,8 +161,7 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by a rank file, and the bytes that they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = rank_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
-    done = rank_bpe.decode(coded, path, public_tokenizers.PATTERN)
+    done = rank_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded_col="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

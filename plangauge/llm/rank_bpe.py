@@ -23,9 +23,9 @@ UNCUT = f"{WHITE} (?:{WHITE}|$)"
 #: Pieces and words that a worker keeps, in each of two generations; those of more characters are encoded like any other but not kept.
 KEPT, KEPT_SIZE = 300_000, 256
 #: Words contracted together.
-TOGETHER = 50_000
+TOGETHER = 20_000
 #: Memory for the queries of one task.
-QUERY_MEMORY = "500MB"
+QUERY_MEMORY = "300MB"
 
 #: Words of fewer bytes take the first query; its rows are numbered word * WIDTH + position, positions without gaps.
 WIDTH = 128
@@ -183,14 +183,28 @@ def _ranks(path: str, pattern: str) -> Ranks:
     return worker_state(("rank_bpe", path, pattern), lambda: Ranks(path, pattern))
 
 
-def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, *, text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
     """df plus `ids` (array of int): the whole text's tokens by the rank file at `path` (on every machine), each match of pattern by itself.
 
-    Null and empty texts have no ids; strings of special tokens are ordinary text. An input column `ids` is replaced, others stay. One pass,
-    no shuffle; distinct words of a part of a batch are contracted together, and what was found lately is kept. Repeated rows are encoded
-    each, an empty table gives an empty one; a long text or word takes memory in proportion to its length.
+    Null and empty texts have no ids; strings of special tokens are ordinary text. With decoded_col, the bytes of the ids, as decode() gives
+    them, come in that column from the same workers. Input columns of those names are replaced, others stay. One pass, no shuffle; distinct words
+    of a part of a batch are contracted together, and what was found lately is kept. Repeated rows are encoded each, an empty table gives
+    an empty one; a long text or word takes memory in proportion to its length.
     """
-    return with_text_columns(df, text_col, [T.StructField("ids", T.ArrayType(T.IntegerType()))], lambda column: [_ranks(path, pattern).encode(column)], 4 << 20)
+    def work(column: pa.Array) -> list:
+        know = _ranks(path, pattern)
+        ids = know.encode(column)
+        return [ids, *([_decoded(know, ids)] if decoded_col else [])]
+
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.BinaryType())] if decoded_col else [])]
+    return with_text_columns(df, text_col, fields, work, 2 << 20)
+
+
+def _decoded(know: Ranks, lists: pa.Array) -> pa.Array:
+    """The bytes of each list of ids, some lists at a time."""
+    part = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)) >> 18
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lists)]
+    return pa.concat_arrays([pa.array([], pa.binary()), *(know.decode(lists.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)])
 
 
 def decode(df: DataFrame, path: str, pattern: str, *, ids_col: str = "ids") -> DataFrame:
@@ -202,12 +216,7 @@ def decode(df: DataFrame, path: str, pattern: str, *, ids_col: str = "ids") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("_pg_ids")
-            part = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)) >> 19
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b > a:
-                    yield pa.RecordBatch.from_arrays([batch.column("_pg_rec").slice(a, b - a), _ranks(path, pattern).decode(lists.slice(a, b - a))], ["_pg_rec", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("_pg_rec"), _decoded(_ranks(path, pattern), batch.column("_pg_ids"))], ["_pg_rec", "decoded"])
         trim()
 
     return source.mapInArrow(run, T.StructType([source.schema["_pg_rec"], T.StructField("decoded", T.BinaryType())])).select("_pg_rec.*", "decoded")
