@@ -43,6 +43,12 @@ def is_hallway(category: Column) -> Column:
     return tag_of(category) == "Hallway"
 
 
+def source_pixel(stated: Column, source: Column) -> Column:
+    """The smallest length, in metres, that a plan's source can tell apart: what the plan states, else what is known of the source, else null."""
+    known = F.create_map(*[F.lit(x) for kv in K.SOURCE_PIXEL_M.items() for x in kv])
+    return F.coalesce(stated.cast("double"), F.try_element_at(known, source))
+
+
 def floor_kind(corpus: Column, units: Column) -> Column:
     return F.when(corpus != "msd", "rplan").when(units > 1, "msd-floor").otherwise("msd-unit")
 

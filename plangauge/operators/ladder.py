@@ -29,7 +29,8 @@ def off_axis_segments(edges: DataFrame) -> DataFrame:
 
 
 def room_facts(edges: DataFrame, crossings: DataFrame | None = None) -> DataFrame:
-    """room_measures plus the first off-axis segment and the number of self-crossings of each room."""
+    """room_measures plus the first off-axis segment and the number of self-crossings of each room; vertices that repeat the one before do not count."""
+    edges = M.walls(edges)
     off = off_axis_segments(edges).groupBy(*M.ROOM).agg(F.min_by("off_m", "eix").alias("off_m"))
     rooms = M.room_measures(edges).join(off, M.ROOM, "left")
     crossings = M.crossings(edges) if crossings is None else crossings

@@ -49,6 +49,16 @@ def closed(vertices: DataFrame) -> DataFrame:
     return kept.select(*ROOM, "category", (F.col("_k") - 1).cast("int").alias("vix"), "ix", "iy")
 
 
+def walls(edges: DataFrame) -> DataFrame:
+    """Edges of some length, numbered anew along each ring, as if no vertex repeated the one before; a ring of one point keeps one edge."""
+    w = Window.partitionBy(*ROOM).orderBy("eix")
+    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    some = ((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by_"))).cast("int")
+    k = edges.withColumn("_long", some).withColumn("_n", F.sum("_long").over(full)).withColumn("_k", F.sum("_long").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_i", F.row_number().over(w))
+    kept = k.where("_long = 1 OR (_n = 0 AND _i = 1)")
+    return kept.withColumn("eix", F.greatest(F.col("_k") - 1, F.lit(0)).cast("int")).drop("_long", "_n", "_k", "_i")
+
+
 def oriented(vertices: DataFrame) -> DataFrame:
     """Rings counter-clockwise; rings of no area stay as they are."""
     area = edges_of(vertices).groupBy(*ROOM).agg(F.sum(cross()).alias("area2"), F.count(F.lit(1)).alias("n"))
@@ -128,7 +138,7 @@ def without_collinear(vertices: DataFrame) -> DataFrame:
 
 
 def crossings(edges: DataFrame) -> DataFrame:
-    """(plan_id, room_ix, n): pairs of edges of one ring that are not neighbours and yet meet."""
+    """(plan_id, room_ix, n): pairs of edges of one ring that are not neighbours and yet meet. Edges of no length would part neighbours: see walls."""
     other = edges.select(*ROOM, F.col("eix").alias("e2"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by_").alias("dy"))
     count = Window.partitionBy(*ROOM)
     mine = edges.withColumn("k", F.count(F.lit(1)).over(count))

@@ -44,8 +44,8 @@ def newcombe(pa: Column, ta: Column, pb: Column, tb: Column) -> tuple[Column, Co
     return a - b, a - b - F.sqrt((a - la) * (a - la) + (hb - b) * (hb - b)), a - b + F.sqrt((ha - a) * (ha - a) + (b - lb) * (b - lb))
 
 
-def margins(cells: DataFrame, roles: DataFrame) -> DataFrame:
-    """Per denominator: the lowest truth group over the highest baseline, the margin and its interval.
+def margins(cells: DataFrame, roles: DataFrame, *keys: str) -> DataFrame:
+    """Per denominator (and keys): the lowest truth group over the highest baseline, the margin and its interval.
 
     Ties go to the smaller name for the lowest and to the larger for the highest. roles (grp, role) is a small dimension. A
     denominator with an empty side has no row.
@@ -53,9 +53,23 @@ def margins(cells: DataFrame, roles: DataFrame) -> DataFrame:
     r = with_wilson(cells).where("rate IS NOT NULL").join(F.broadcast(roles.select("grp", "role")), "grp")
     low = F.min(F.when(F.col("role") == "truth", F.struct("rate", "grp", "passed", "total", "low", "high"))).alias("t")
     high = F.max(F.when(F.col("role") == "baseline", F.struct("rate", "grp", "passed", "total", "low", "high"))).alias("b")
-    m = r.groupBy("denominator").agg(low, high).where("t IS NOT NULL AND b IS NOT NULL")
+    m = r.groupBy(*keys, "denominator").agg(low, high).where("t IS NOT NULL AND b IS NOT NULL")
     d, lo, hi = newcombe(F.col("t.passed"), F.col("t.total"), F.col("b.passed"), F.col("b.total"))
-    return m.select("denominator", F.col("t.grp").alias("truth"), F.col("b.grp").alias("baseline"), d.alias("margin"), lo.alias("low"), hi.alias("high"), (F.col("t.low") <= F.col("b.high")).alias("rates_overlap"), ((lo > 0) | (hi < 0)).alias("excludes_zero"))
+    return m.select(*keys, "denominator", F.col("t.grp").alias("truth"), F.col("b.grp").alias("baseline"), d.alias("margin"), lo.alias("low"), hi.alias("high"), (F.col("t.low") <= F.col("b.high")).alias("rates_overlap"), ((lo > 0) | (hi < 0)).alias("excludes_zero"))
+
+
+def own_rates(verdicts: DataFrame, roles: DataFrame, *keys: str) -> DataFrame:
+    """(keys, denominator, truth, baseline, passed, total, rate, low, high): the rates of every group with a role, and the margins.
+
+    A group's rate stands under its own role, the other name null; a margin has both names, points for a rate and no counts. A population
+    (keys) with no truth or no baseline has rates and no margin, one with neither has no row.
+    """
+    r = rates(outcomes(verdicts, *keys, "grp"), *keys, "grp")
+    own = with_wilson(r).where("rate IS NOT NULL").join(F.broadcast(roles.select("grp", "role")), "grp")
+    name = lambda role: F.when(F.col("role") == role, F.col("grp")).alias(role)
+    rows = own.where(F.col("role").isin("truth", "baseline")).select(*keys, "denominator", name("truth"), name("baseline"), "passed", "total", "rate", "low", "high")
+    no_count = F.lit(None).cast("long")
+    return rows.unionByName(margins(r, roles, *keys).select(*keys, "denominator", "truth", "baseline", no_count.alias("passed"), no_count.alias("total"), F.col("margin").alias("rate"), "low", "high"))
 
 
 def profile(classed: DataFrame, classes: list[str]) -> DataFrame:

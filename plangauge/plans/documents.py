@@ -87,10 +87,15 @@ def a17_manifest_upsert(spark, sf):
     return A.merged_manifest(old, new)
 
 
-@register(f"WITH {B} SELECT plan_id, grp, pixel, pixel + {S} AS tolerance FROM plans")
+#: Plans with what they state, a third of them, and the source that they name.
+SOURCED = "(SELECT plan_id, grp, CASE WHEN plan_id % 3 = 0 THEN CAST(pixel AS DOUBLE) END AS stated, CASE grp WHEN 'msd units' THEN 'msd' ELSE grp END AS source FROM plans)"
+
+
+@register(f"WITH {B}, known AS (SELECT * FROM (VALUES {', '.join(f'({n!r}, CAST({v} AS DOUBLE))' for n, v in K.SOURCE_PIXEL_M.items())}) AS t(source, m)), s AS (SELECT plan_id, s.source, coalesce(stated, m) AS pixel FROM {SOURCED} s LEFT JOIN known ON known.source = s.source) SELECT plan_id, source, pixel, pixel + {S} AS tolerance, CASE WHEN pixel IS NULL THEN 'unknown-source-pixel' END AS refusal FROM s")
 def b05_source_pixel(spark, sf):
-    """The pixel stated, and the seam tolerance it gives."""
-    return table(spark, sf, "plans").select("plan_id", "grp", F.col("pixel").cast("double").alias("pixel"), (F.col("pixel").cast("double") + K.STEP_M).alias("tolerance"))
+    """The pixel that a plan states, else that of its source, the seam tolerance it gives, and the refusal where there is none."""
+    p = table(spark, sf, SOURCED).select("plan_id", "source", D.source_pixel(F.col("stated"), F.col("source")).alias("pixel"))
+    return p.select("*", (F.col("pixel") + K.STEP_M).alias("tolerance"), F.when(F.col("pixel").isNull(), "unknown-source-pixel").alias("refusal"))
 
 
 @register(f"WITH {B} SELECT category, {D.tag_sql()} AS tag, {D.tag_sql()} = 'Hallway' AS hallway, category IN ('corridor', 'stairs') AS circulation, category = 'bathroom' AS wet, count(*) AS rooms FROM (SELECT CASE WHEN room_ix % 5 = 0 THEN ' ' || upper(category) ELSE category END AS category FROM rooms) GROUP BY category")
@@ -154,10 +159,15 @@ def g20_paired_shift(spark, sf):
     return O.interval(shift, "shift").select(r6("low"), r6("high"))
 
 
-@register(f"WITH {EVENT_SQL} SELECT v.grp, CAST(greatest(0, 1) AS INTEGER) AS one, count(*) FILTER (passed) AS passed, count(*) AS graded, 100 * count(*) FILTER (passed) / CAST(count(*) AS DOUBLE) > 30 AS over_thirty FROM v GROUP BY v.grp")
+def _own_sql(population: str, where: str) -> str:
+    return f"(WITH {Q.MARGIN_SQL.replace('FROM events)', f'FROM events WHERE {where})')} SELECT '{population}' AS population, denominator, CASE WHEN role = 'truth' THEN grp END AS truth, CASE WHEN role = 'baseline' THEN grp END AS baseline, passed, total, rate, low, high FROM w UNION ALL SELECT '{population}', denominator, truth, baseline, NULL, NULL, margin, low, high FROM mg)"
+
+
+@register(f"SELECT population, denominator, truth, baseline, passed, total, {q6('rate')}, {q6('low')}, {q6('high')} FROM ({_own_sql('even', 'user_id % 2 = 0')} UNION ALL {_own_sql('odd', 'user_id % 2 = 1 AND event_type IN (' + repr('click') + ', ' + repr('view') + ')')})")
 def g24_own_rates(spark, sf):
-    c = O.outcomes(Q._events(spark, sf))
-    return c.select("grp", F.lit(1).alias("one"), "passed", "graded", (100 * F.col("passed") / F.col("graded") > 30).alias("over_thirty"))
+    """Rates and margins of two populations of events, the second of which has no baseline and so no margin."""
+    e = Q._events(spark, sf).withColumn("population", F.when(F.col("cluster") % 2 == 0, "even").otherwise("odd")).where("population = 'even' OR grp IN ('rplan', 'msd units')")
+    return O.own_rates(e, D.groups(spark), "population").select("population", "denominator", "truth", "baseline", "passed", "total", r6("rate"), r6("low"), r6("high"))
 
 
 @register(f"WITH {CELL_SQL} SELECT f AS floor_id, count(*) AS cells FROM cells GROUP BY f")
