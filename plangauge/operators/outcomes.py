@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plangauge.core import constants as K
+from plangauge.core.staging import stage
 
 DENOMINATORS = ("graded", "admitted", "verdict")
 
@@ -129,34 +130,91 @@ def cluster_totals(verdicts: DataFrame) -> DataFrame:
     return outcomes(verdicts, "grp", "cluster")
 
 
-def ranked_within(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """rows plus `pick`, their place (from 1) in their group's order, by range partitions instead of one task for each group."""
-    part = rows.repartitionByRange(F.col(group), F.col(order)).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p", group).orderBy(order)
-    inside = part.withColumn("_k", F.row_number().over(w))
-    sizes = inside.groupBy("_p", group).agg(F.count(F.lit(1)).alias("_n"))
+def ranked_within(rows: DataFrame, group: str, *order: str, weight: str | None = None) -> DataFrame:
+    """rows plus `pick`, their place (from 1) in their group's order, by range partitions instead of one task for each group.
+
+    With a weight, `pick` is the sum of the weights up to the row.
+    """
+    step = F.col(weight) if weight else F.lit(1)
+    part = rows.repartitionByRange(F.col(group), *map(F.col, order)).withColumn("_p", F.spark_partition_id())
+    w = Window.partitionBy("_p", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = part.withColumn("_k", F.sum(step).over(w))
+    sizes = inside.groupBy("_p", group).agg(F.sum(step).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     firsts = sizes.select("_p", group, before.alias("_f"))  # a row for each partition and group
     return inside.join(F.broadcast(firsts), ["_p", group]).withColumn("pick", F.col("_k") + F.col("_f")).drop("_p", "_k", "_f")
 
 
+#: Deviations by which the first draws of a replicate stay short of its number of clusters; more than that number has a weight under 1e-14.
+SPARE = 8
+
+
+def poisson_steps(means: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, k, lo, hi, slot): for each mean (column `mean`, one for each keys and n) the counts k with their part [lo, hi) of [0, 1).
+
+    The steps lie within SPAN deviations of the mean. A step has a row for each of the `slots` equal slots of [0, 1) that its part touches,
+    so that a uniform number finds it by an equality join on its slot. `means` must have come through poisson_reach().
+    """
+    run, whole = Window.partitionBy(*keys).orderBy("k"), Window.partitionBy(*keys)
+    term = F.when(F.col("k") == F.col("k0"), 0.0).otherwise(F.log(F.col("mean") / F.col("k")))
+    steps = means.select(*keys, "mean", "k0", "slots", F.explode(F.sequence("k0", F.expr("k0 + slots - 1"))).alias("k"))
+    weight = steps.withColumn("lp", F.sum(term).over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("w", F.exp(F.col("lp") - F.max("lp").over(whole)))
+    lo = F.coalesce(F.sum("w").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.sum("w").over(whole)
+    cut = weight.withColumn("lo", lo).withColumn("hi", F.coalesce(F.lead("lo").over(run), F.lit(1.0)))
+    return slotted(cut).select(*keys, "k", "lo", "hi", "slot")
+
+
+def poisson_reach(means: DataFrame) -> DataFrame:
+    """means plus `k0`, the least count of its steps, and `slots`, how many there are."""
+    reach, middle = F.ceil(SPAN * F.sqrt("mean")) + SPAN, F.floor("mean")
+    out = means.withColumn("k0", F.greatest(F.lit(0).cast("long"), middle - reach))
+    return out.withColumn("slots", middle + reach - F.col("k0") + 1)
+
+
+def slotted(parts: DataFrame) -> DataFrame:
+    """A row for each of the `slots` equal slots of [0, 1) that the part [lo, hi) touches."""
+    slot = lambda c: F.least(F.floor(F.col(c) * F.col("slots")), F.col("slots") - 1)
+    return parts.withColumn("slot", F.explode(F.sequence(slot("lo"), slot("hi"))))
+
+
+def _four(rows: DataFrame, last: Column, *name: Column | str) -> DataFrame:
+    """A row for each number from 0 to `last`, with `at`, the number, and `u`, uniform in [0, 1); one hash of the name gives four."""
+    quads = rows.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / 4))))
+    text = F.concat_ws("|", *[x if isinstance(x, Column) else F.lit(x) for x in name], F.col("_q").cast("string"))
+    quads = quads.withColumn("_h", F.md5(text))
+    parts = F.array(*[F.struct((F.col("_q") * 4 + i).alias("at"), (F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") / 4294967296.0).alias("u")) for i in range(4)])
+    return quads.withColumn("_d", F.explode(parts)).where(F.col("_d.at") <= last).select("*", "_d.at", "_d.u").drop("_q", "_h", "_d")
+
+
 def cluster_replicates(totals: DataFrame, replicates: int, seed: int = K.REPLICATE_SEED) -> DataFrame:
-    """(replicate, grp, graded, passed, admitted, verdict): whole clusters drawn with replacement, as many as the group has.
+    """(replicate, grp, and the sums of all columns but `cluster`): whole clusters drawn with replacement, as many as the group has.
 
-    Clusters are numbered in the group's order; one hash gives four draws; draws are counted by (replicate, cluster) before they
-    meet the totals.
+    Clusters with equal totals are one class. A replicate first draws each class's number from a Poisson law whose mean is a little under the
+    class's size, so that they add up to SPARE deviations less than the group's clusters; given their sum they are a draw of that many
+    clusters. What is missing to the group's number is drawn cluster by cluster. So the cost is replicates x (classes + root of
+    clusters). Draws are hashes of seed, group, totals or place, and replicate: the same in any engine. A class's draws are made where the
+    class is and summed there; only sums by group and replicate are shuffled. Several rules side by side in one row share a resample.
     """
-    ranked = ranked_within(totals, "grp", "cluster")
-    sizes = totals.groupBy("grp").agg(F.count(F.lit(1)).alias("c"))
-    quads = sizes.select("grp", "c", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    quads = quads.select("grp", "c", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(c - 1) div 4"))).alias("quad"))
-    quads = quads.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), "grp", F.col("replicate").cast("string"), F.col("quad").cast("string"))))
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("double").alias("v")) for i in range(4)])
-    drawn = quads.select("grp", "c", "replicate", "quad", F.explode(parts).alias("d")).where("quad * 4 + d.i < c")
-    drawn = drawn.select("grp", "replicate", (F.floor(F.col("d.v") / 4294967296.0 * F.col("c")) + 1).alias("pick"))
-    times = drawn.groupBy("grp", "replicate", "pick").agg(F.count(F.lit(1)).alias("times"))
-    kept = ("graded", "passed", "admitted", "verdict")
-    return times.join(ranked, ["grp", "pick"]).groupBy("replicate", "grp").agg(*[F.sum(F.col("times") * F.col(c)).alias(c) for c in kept])
+    spark = totals.sparkSession
+    kept = [c for c in totals.columns if c not in ("grp", "cluster")]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    classes = stage(totals.groupBy("grp", *kept).agg(F.count(F.lit(1)).alias("n")), "classes")
+    sizes = classes.groupBy("grp").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("m")).withColumn("share", F.greatest(F.lit(0.0), 1 - SPARE / F.sqrt("c")))
+    sizes = stage(sizes, "class_sizes")  # a row for each group
+    means = poisson_reach(classes.join(F.broadcast(sizes), "grp").where("share > 0").withColumn("mean", F.col("share") * F.col("n")))
+    steps = stage(poisson_steps(means.select("grp", "n", "mean", "k0", "slots").distinct(), "grp", "n"), "class_steps")
+    asks = _four(means.select("grp", "n", "slots", *kept).repartition(tasks, "grp", *kept), F.lit(replicates - 1), str(seed), "first", F.col("grp"), *[F.col(c).cast("string") for c in kept])
+    met = asks.withColumn("slot", F.floor(F.col("u") * F.col("slots"))).join(steps, ["grp", "n", "slot"]).where("lo <= u AND u < hi")
+    first = stage(met.groupBy("grp", F.col("at").cast("int").alias("replicate")).agg(F.sum("k").alias("_drawn"), *[F.sum(F.col("k") * F.col(c)).alias(c) for c in kept]), "first_draws")
+
+    every = sizes.select("grp", "c", "m", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    short = every.join(first.select("grp", "replicate", "_drawn"), ["grp", "replicate"], "left").withColumn("_r", F.col("c") - F.coalesce("_drawn", F.lit(0))).where("_r > 0")
+    singles = _four(short.repartition(tasks, "grp", "replicate"), F.col("_r") - 1, str(seed), "rest", F.col("grp"), F.col("replicate").cast("string"))
+    cut = ranked_within(classes, "grp", *kept, weight="n").join(F.broadcast(sizes), "grp")
+    cut = slotted(cut.select("grp", *kept, ((F.col("pick") - F.col("n")) / F.col("c")).alias("lo"), (F.col("pick") / F.col("c")).alias("hi"), F.col("m").alias("slots"))).drop("slots")
+    rest = singles.withColumn("slot", F.floor(F.col("u") * F.col("m"))).join(stage(cut, "class_parts"), ["grp", "slot"]).where("lo <= u AND u < hi")
+    rest = rest.groupBy("grp", "replicate").agg(*[F.sum(c).alias(c) for c in kept])
+    return first.drop("_drawn").unionByName(rest).groupBy("replicate", "grp").agg(*[F.sum(c).alias(c) for c in kept])
 
 
 def replicate_margins(replicated: DataFrame, roles: DataFrame) -> DataFrame:

@@ -530,11 +530,30 @@ def g10_bootstrap_margin(spark, sf):
     return O.bootstrap_margin(c, D.groups(spark), DRAWS).select(r6("low"), r6("high"))
 
 
+def resample_sql(*kept: str) -> str:
+    """CTEs from t (grp, cluster, kept) to rp (replicate, grp, kept): Poisson numbers of each class of equal totals, then single clusters."""
+    names, key, part = ", ".join(kept), " || '|' || ".join(kept), lambda h: f"CAST(('0x' || substr({h}, 8 * i + 1, 8)) AS BIGINT) / 4294967296.0"
+    sums = lambda times: ", ".join(f"sum({times}{c}) AS {c}" for c in kept)
+    return f"""cl AS (SELECT grp, {names}, count(*) AS n FROM t GROUP BY ALL), four AS (SELECT unnest([0, 1, 2, 3]) AS i),
+sz AS (SELECT grp, c, greatest(0.0, 1 - {O.SPARE} / sqrt(c)) AS share FROM (SELECT grp, CAST(sum(n) AS BIGINT) AS c FROM cl GROUP BY grp)),
+mean AS (SELECT DISTINCT cl.grp, n, share * n AS mean FROM cl JOIN sz ON sz.grp = cl.grp WHERE share > 0),
+st AS (SELECT grp, n, mean, k0, unnest(generate_series(k0, k1)) AS k FROM (SELECT *, greatest(0, CAST(floor(mean) AS BIGINT) - CAST(ceil({O.SPAN} * sqrt(mean)) AS BIGINT) - {O.SPAN}) AS k0, CAST(floor(mean) AS BIGINT) + CAST(ceil({O.SPAN} * sqrt(mean)) AS BIGINT) + {O.SPAN} AS k1 FROM mean)),
+lp AS (SELECT grp, n, k, sum(CASE WHEN k = k0 THEN 0.0 ELSE ln(mean / k) END) OVER (PARTITION BY grp, n ORDER BY k ROWS UNBOUNDED PRECEDING) AS lp FROM st),
+wt AS (SELECT grp, n, k, exp(lp - max(lp) OVER (PARTITION BY grp, n)) AS w FROM lp),
+cdf AS (SELECT grp, n, k, coalesce(sum(w) OVER (PARTITION BY grp, n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) / sum(w) OVER (PARTITION BY grp, n) AS lo FROM wt),
+q1 AS (SELECT *, md5('{K.REPLICATE_SEED}|first|' || grp || '|' || {key} || '|' || quad) AS h FROM (SELECT cl.*, unnest(generate_series(0, {(REPLICATES - 1) // 4})) AS quad FROM cl JOIN sz ON sz.grp = cl.grp WHERE share > 0)),
+u1 AS (SELECT grp, n, {names}, quad * 4 + i AS replicate, {part('h')} AS u FROM q1, four WHERE quad * 4 + i < {REPLICATES}),
+fd AS (SELECT u1.grp, replicate, CAST(sum(k) AS BIGINT) AS drawn, {sums('k * ')} FROM u1 ASOF JOIN cdf ON u1.grp = cdf.grp AND u1.n = cdf.n AND u1.u >= cdf.lo GROUP BY u1.grp, replicate),
+sh AS (SELECT x.grp, x.replicate, c - coalesce(drawn, 0) AS r FROM (SELECT grp, c, unnest(generate_series(0, {REPLICATES - 1})) AS replicate FROM sz) x LEFT JOIN fd ON fd.grp = x.grp AND fd.replicate = x.replicate),
+q2 AS (SELECT *, md5('{K.REPLICATE_SEED}|rest|' || grp || '|' || replicate || '|' || quad) AS h FROM (SELECT *, unnest(generate_series(0, (r - 1) // 4)) AS quad FROM sh WHERE r > 0)),
+u2 AS (SELECT grp, replicate, {part('h')} AS u FROM q2, four WHERE quad * 4 + i < r),
+iv AS (SELECT cl.*, (sum(n) OVER (PARTITION BY cl.grp ORDER BY {names}) - n) / CAST(c AS DOUBLE) AS lo FROM cl JOIN sz ON sz.grp = cl.grp),
+rd AS (SELECT u2.grp, replicate, {sums('')} FROM u2 ASOF JOIN iv ON u2.grp = iv.grp AND u2.u >= iv.lo GROUP BY u2.grp, replicate),
+rp AS (SELECT replicate, grp, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in kept)} FROM (SELECT grp, replicate, {names} FROM fd UNION ALL SELECT grp, replicate, {names} FROM rd) GROUP BY replicate, grp)"""
+
+
 CLUSTER_SQL = f"""{EVENT_SQL}, {ROLES_SQL}, t AS (SELECT grp, cluster, count(*) AS graded, count(*) FILTER (passed) AS passed, count(*) FILTER (admitted) AS admitted, count(*) FILTER (admitted AND not_run IS NULL) AS verdict FROM v GROUP BY grp, cluster),
-rk AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY cluster) AS pick FROM t), sz AS (SELECT grp, count(*) AS c FROM t GROUP BY grp),
-qd AS (SELECT grp, c, replicate, quad, md5('{K.REPLICATE_SEED}|' || grp || '|' || replicate || '|' || quad) AS h FROM (SELECT grp, c, replicate, unnest(generate_series(0, (c - 1) // 4)) AS quad FROM (SELECT grp, c, unnest(generate_series(0, {REPLICATES - 1})) AS replicate FROM sz))),
-dw AS (SELECT grp, replicate, CAST(floor(CAST(('0x' || substr(h, 8 * i + 1, 8)) AS BIGINT) / 4294967296.0 * c) + 1 AS BIGINT) AS pick FROM qd, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE quad * 4 + i < c),
-rp AS (SELECT replicate, dw.grp, CAST(sum(graded) AS BIGINT) AS graded, CAST(sum(passed) AS BIGINT) AS passed, CAST(sum(admitted) AS BIGINT) AS admitted, CAST(sum(verdict) AS BIGINT) AS verdict FROM dw JOIN rk ON rk.grp = dw.grp AND rk.pick = dw.pick GROUP BY replicate, dw.grp)"""
+{resample_sql('graded', 'passed', 'admitted', 'verdict')}"""
 
 
 @register(f"WITH {CLUSTER_SQL} SELECT CAST(replicate AS INTEGER) AS replicate, grp, graded, passed, admitted, verdict FROM rp")

@@ -10,7 +10,7 @@ from plangauge.operators import calibration as C
 from plangauge.operators import measures as M
 from plangauge.operators import outcomes as O
 from plangauge.plans import catalog as Q
-from plangauge.plans.catalog import B, CELL_SQL, CLUSTER_SQL, EVENT_SQL, FEATURE_SQL, FIT3_SQL, LADDER_SQL, REPLICATES, S, q6, r6, register
+from plangauge.plans.catalog import B, CELL_SQL, EVENT_SQL, FEATURE_SQL, FIT3_SQL, LADDER_SQL, REPLICATES, S, q6, r6, register
 from plangauge.sources import documents as A
 from plangauge.sources.bridge import table
 
@@ -145,18 +145,18 @@ def g14_building_totals(spark, sf):
     return O.cluster_totals(g)
 
 
-@register(f"""WITH {CLUSTER_SQL}, v2 AS (SELECT grp, cluster, admitted, not_run, passed OR (admitted AND not_run IS NULL AND cluster % 9 = 0) AS passed FROM v), t2 AS (SELECT grp, cluster, count(*) FILTER (passed) AS passed2 FROM v2 GROUP BY grp, cluster),
-both_ AS (SELECT dw.replicate, dw.grp, sum(graded) AS graded, sum(passed) AS p1, sum(passed2) AS p2 FROM dw JOIN rk ON rk.grp = dw.grp AND rk.pick = dw.pick JOIN t2 ON t2.grp = rk.grp AND t2.cluster = rk.cluster GROUP BY dw.replicate, dw.grp),
-m AS (SELECT replicate, min(CASE WHEN role = 'truth' THEN 100 * p2 / CAST(graded AS DOUBLE) END) - max(CASE WHEN role = 'baseline' THEN 100 * p2 / CAST(graded AS DOUBLE) END) - (min(CASE WHEN role = 'truth' THEN 100 * p1 / CAST(graded AS DOUBLE) END) - max(CASE WHEN role = 'baseline' THEN 100 * p1 / CAST(graded AS DOUBLE) END)) AS shift FROM both_ JOIN roles ON roles.grp = both_.grp GROUP BY replicate)
+@register(f"""WITH {EVENT_SQL}, {Q.ROLES_SQL}, t AS (SELECT grp, cluster, count(*) AS graded, count(*) FILTER (passed) AS p1, count(*) FILTER (passed OR (admitted AND not_run IS NULL AND cluster % 9 = 0)) AS p2 FROM v GROUP BY grp, cluster),
+{Q.resample_sql('graded', 'p1', 'p2')},
+m AS (SELECT replicate, {' - '.join(f"(min(CASE WHEN role = 'truth' THEN 100 * {p} / CAST(graded AS DOUBLE) END) - max(CASE WHEN role = 'baseline' THEN 100 * {p} / CAST(graded AS DOUBLE) END))" for p in ('p2', 'p1'))} AS shift FROM rp JOIN roles ON roles.grp = rp.grp GROUP BY replicate)
 SELECT round(quantile_cont(shift, 0.025) + 1e-9, 6) + 0.0 AS low, round(quantile_cont(shift, 0.975) + 1e-9, 6) + 0.0 AS high FROM m""")
 def g20_paired_shift(spark, sf):
-    """The margin under a second rule less that under the first, on the same resamples."""
-    e = Q._events(spark, sf)
-    second = e.withColumn("passed", F.col("passed") | (F.col("admitted") & F.col("not_run").isNull() & (F.col("cluster") % 9 == 0)))
-    roles = D.groups(spark)
-    each = [O.replicate_margins(O.cluster_replicates(O.cluster_totals(x), REPLICATES), roles).where("denominator = 'graded'").select("replicate", F.col("margin").alias(n)) for x, n in ((e, "m1"), (second, "m2"))]
-    shift = each[0].join(each[1], "replicate").select((F.col("m2") - F.col("m1")).alias("shift"))
-    return O.interval(shift, "shift").select(r6("low"), r6("high"))
+    """The margin under a second rule less that under the first, on the same resamples: one row of totals holds both rules."""
+    second = F.col("passed") | (F.col("admitted") & F.col("not_run").isNull() & (F.col("cluster") % 9 == 0))
+    totals = Q._events(spark, sf).groupBy("grp", "cluster").agg(F.count(F.lit(1)).alias("graded"), F.count_if("passed").alias("p1"), F.count_if(second).alias("p2"))
+    r = O.cluster_replicates(totals, REPLICATES).join(F.broadcast(D.groups(spark).select("grp", "role")), "grp")
+    side = lambda role, p: F.when(F.col("role") == role, 100 * F.col(p) / F.col("graded"))
+    margin = lambda p: F.min(side("truth", p)) - F.max(side("baseline", p))
+    return O.interval(r.groupBy("replicate").agg((margin("p2") - margin("p1")).alias("shift")), "shift").select(r6("low"), r6("high"))
 
 
 def _own_sql(population: str, where: str) -> str:

@@ -289,8 +289,8 @@ BUILDING_EVENTS = Q.CLUSTER_SQL.replace("user_id AS cluster", "CASE WHEN event_t
 
 @register(f"""WITH {BUILDING_EVENTS}, x AS (SELECT replicate, 'graded' AS denominator, grp, 100 * passed / CAST(graded AS DOUBLE) AS rate FROM rp UNION ALL SELECT replicate, 'admitted', grp, 100 * passed / CAST(admitted AS DOUBLE) FROM rp WHERE admitted > 0 UNION ALL SELECT replicate, 'verdict', grp, 100 * passed / CAST(verdict AS DOUBLE) FROM rp WHERE verdict > 0),
 mg AS (SELECT replicate, denominator, min(CASE WHEN role = 'truth' THEN rate END) - max(CASE WHEN role = 'baseline' THEN rate END) AS margin FROM x JOIN roles ON roles.grp = x.grp GROUP BY replicate, denominator),
-iv AS (SELECT denominator, round(quantile_cont(margin, 0.025) + 1e-9, 6) AS low, round(quantile_cont(margin, 0.975) + 1e-9, 6) AS high FROM mg GROUP BY denominator)
-SELECT sz.grp, sz.c AS clusters, iv.denominator, low, high FROM sz, iv""")
+ci AS (SELECT denominator, round(quantile_cont(margin, 0.025) + 1e-9, 6) AS low, round(quantile_cont(margin, 0.975) + 1e-9, 6) AS high FROM mg GROUP BY denominator)
+SELECT sz.grp, sz.c AS clusters, ci.denominator, low, high FROM sz, ci""")
 def g22_building_margin(spark, sf):
     """The margin with buildings resampled whole, re-selected in every replicate, and the clusters of each group."""
     e = Q._events(spark, sf).withColumn("cluster", F.when(F.col("grp") == "msd units", F.col("cluster") % 40).otherwise(F.col("cluster")))

@@ -33,6 +33,33 @@ def test_cluster_replicates_keep_totals_of_whole_clusters(spark):
     assert len(r) == 40 and (r.passed == 7).all() and r.graded.between(7, 49).all() and r.graded.nunique() > 5
 
 
+def test_cluster_replicates_have_the_law_of_single_draws(spark):
+    """400 clusters in three classes and 100 of their own: every replicate holds 500 clusters; means and covariances are a multinomial's."""
+    values = [(1, 0)] * 250 + [(0, 1)] * 100 + [(1, 1)] * 50 + [(2 + i % 50, i) for i in range(100)]
+    rows = [(g, i, 1, x, y) for g in ("a", "b") for i, (x, y) in enumerate(values)]
+    r = O.cluster_replicates(spark.createDataFrame(rows, "grp string, cluster long, one long, x long, y long"), 3000).toPandas()
+    assert len(r) == 6000 and set(r.replicate) == set(range(3000)) and (r.one == 500).all()
+    want_mean, want = 500 * np.mean(values, axis=0), 500 * np.cov(np.array(values).T, bias=True)
+    for g in ("a", "b"):
+        got = r[r.grp == g][["x", "y"]].to_numpy(float)
+        assert got.mean(axis=0) == pytest.approx(want_mean, abs=5 * np.sqrt(want.diagonal().max() / 3000))
+        assert np.cov(got.T) == pytest.approx(want, rel=0.12)
+    wide = r.pivot(index="replicate", columns="grp", values="x")
+    assert abs(np.corrcoef(wide.a, wide.b)[0, 1]) < 0.08
+
+
+def test_cluster_replicates_of_hard_groups(spark):
+    """A group of one cluster, one of equal clusters, an empty table; the order of rows and the names of clusters change nothing."""
+    schema = "grp string, cluster string, graded long, passed long"
+    rows = [("one", "c", 7, 3), *[("same", f"c{i}", 2, 1) for i in range(1000)], *[("mixed", f"c{i}", 1 + i % 3, i % 2) for i in range(300)]]
+    r = O.cluster_replicates(spark.createDataFrame(rows, schema), 30).toPandas()
+    assert (r[r.grp == "one"][["graded", "passed"]] == (7, 3)).all(None) and (r[r.grp == "same"][["graded", "passed"]] == (2000, 1000)).all(None)
+    again = O.cluster_replicates(spark.createDataFrame([(g, "x" + c, a, b) for g, c, a, b in reversed(rows)], schema), 30).toPandas()
+    by = ["grp", "replicate"]
+    assert r.sort_values(by).reset_index(drop=True).equals(again.sort_values(by).reset_index(drop=True)[r.columns])
+    assert O.cluster_replicates(spark.createDataFrame([], schema), 30).count() == 0
+
+
 def test_margin_needs_both_sides(spark):
     cells = spark.createDataFrame([("rplan", 5, 10, 10, 10)], "grp string, passed long, graded long, admitted long, verdict long")
     assert O.margins(O.rates(cells), D.groups(spark)).count() == 0
