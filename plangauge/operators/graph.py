@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plangauge.core import constants as K
+from plangauge.core.staging import stage
 
 HABITABLE = ("livingroom", "bedroom", "diningroom", "masterroom", "living_room", "dining")
 WET = ("bathroom",)
@@ -117,3 +118,32 @@ def jaccard(cells: DataFrame, key: str = "floor_id") -> DataFrame:
     pairs = c.select(F.col("f").alias("a"), "cx", "cy").join(c.select(F.col("f").alias("b"), "cx", "cy"), ["cx", "cy"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     sized = pairs.join(n.select(F.col("f").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("f").alias("b"), F.col("n").alias("nb")), "b")
     return sized.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("similarity"))
+
+
+def similar_sets(cells: DataFrame, threshold: float, key: str = "floor_id") -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of floors whose cells are alike: pairs (a, b, shared, similarity) of class representatives, a < b, at or over the threshold; members (floor, rep).
+
+    Floors with equal cells are one class, which its smallest floor stands for, so copies form no pairs among each other. Cells are ranked from rare to
+    common; two sets of that similarity share one of the first n - ceil(threshold n) + 1 cells of each, so only those meet, and of what meets
+    only pairs whose sizes and places leave room for enough shared cells. The rest of the sets is read for such candidates alone.
+    cells: key, cx, cy, integers of 32 bits; they are made distinct first.
+    """
+    c = cells.select(F.col(key).alias("f"), F.expr("(cast(cx as bigint) << 32) | (cast(cy as bigint) & 4294967295)").alias("cell")).distinct()
+    sets = c.groupBy("f").agg(F.array_sort(F.collect_list("cell")).alias("s")).withColumn("n", F.size("s"))
+    sets = stage(sets.withColumn("h", F.sha2(F.concat_ws(",", F.transform("s", lambda x: x.cast("string"))), 256)), "cell_sets")
+    reps = sets.groupBy("h").agg(F.min("f").alias("rep"))
+    members = sets.select("f", "h").join(reps, "h").select(F.col("f").alias("floor"), "rep")
+    own = sets.join(reps.select(F.col("rep").alias("f")), "f", "left_semi").select("f", "s", "n")
+    flat = own.select("f", "n", F.explode("s").alias("cell"))
+    w = Window.partitionBy("f").orderBy("rare", "cell")
+    ranked = flat.join(flat.groupBy("cell").agg(F.count(F.lit(1)).alias("rare")), "cell").withColumn("at", F.row_number().over(w))
+    prefix = stage(ranked.where(F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).select("f", "n", "cell", "at"), "cell_prefixes")
+    left, right = (prefix.select("cell", F.col("f").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")) for x in "ab")
+    need = F.col("na") + F.col("nb")
+    room = F.least("ata", "atb") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    enough = (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (room * (1 + threshold) >= threshold * need - 1e-9)
+    met = left.join(right, "cell").where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
+    a, b = (own.select(F.col("f").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    full = met.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).alias("n"))
+    pairs = full.select("a", "b", "shared", (F.col("shared") / (F.col("n") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    return pairs, members

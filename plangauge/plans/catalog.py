@@ -596,11 +596,11 @@ def h02_jaccard(spark, sf):
 def _buildings(spark, sf):
     from plangauge.core.components import components
 
-    pairs, floors = G.jaccard(_cells(spark, sf)), _cells(spark, sf).select("floor_id").distinct()
-    out = None
+    pairs, members = G.similar_sets(_cells(spark, sf), min(K.BUILDING_THRESHOLDS))
+    pairs, members, out = stage(pairs, "alike"), stage(members, "members"), None
     for t in K.BUILDING_THRESHOLDS:
-        labels = components(pairs.where(F.col("similarity") >= t), "a", "b", "buildings")
-        one = floors.join(labels.withColumnRenamed("node", "floor_id"), "floor_id", "left").select(F.lit(t).alias("threshold"), "floor_id", F.coalesce("label", "floor_id").alias("building"))
+        labels = components(pairs.where(F.col("similarity") >= t), "a", "b", "buildings").withColumnRenamed("node", "rep")
+        one = members.join(labels, "rep", "left").select(F.lit(t).alias("threshold"), F.col("floor").alias("floor_id"), F.coalesce("label", "rep").alias("building"))
         out = one if out is None else out.unionByName(one)
     return out
 

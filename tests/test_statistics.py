@@ -137,3 +137,27 @@ def test_jaccard_against_brute_force(spark):
     got = {(r.a, r.b): r.similarity for r in G.jaccard(spark.createDataFrame(rows, "floor_id long, cx int, cy int")).collect()}
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.8])
+def test_similar_sets_against_all_pairs(spark, threshold):
+    """Copies are one class; every pair of different sets at or over the threshold is there, and no other; a cell that all share and negative cells included."""
+    rnd = random.Random(11)
+    floors: dict[int, set] = {}
+    for f in range(120):
+        base = set(floors[rnd.randrange(f)]) if f and rnd.random() < 0.7 else {(rnd.randrange(-9, 9), rnd.randrange(-3, 9)) for _ in range(rnd.randint(1, 25))}
+        for _ in range(rnd.choice((0, 0, 1, 3, 6))):
+            base ^= {(rnd.randrange(-9, 9), rnd.randrange(-3, 9))}
+        floors[f] = base | {(0, 0)}
+    rows = [(f, x, y) for f, s in floors.items() for x, y in s]
+    pairs, members = G.similar_sets(spark.createDataFrame(rows + rows[:30], "floor_id long, cx int, cy int"), threshold)
+    rep = {f: min(g for g in floors if floors[g] == s) for f, s in floors.items()}
+    assert {r.floor: r.rep for r in members.collect()} == rep and len(set(rep.values())) < 115
+    alike = lambda a, b: len(floors[a] & floors[b]) / len(floors[a] | floors[b])
+    want = {(a, b): alike(a, b) for a in set(rep.values()) for b in set(rep.values()) if a < b and alike(a, b) >= threshold}
+    assert {(r.a, r.b): r.similarity for r in pairs.collect()} == want and want
+
+
+def test_similar_sets_of_nothing(spark):
+    pairs, members = G.similar_sets(spark.createDataFrame([], "floor_id long, cx int, cy int"), 0.4)
+    assert pairs.count() == members.count() == 0
