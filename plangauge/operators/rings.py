@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plangauge.core.constants import STEP_M
+from plangauge.core.staging import stage_by
 from plangauge.operators import coverage as V
 
 #: Parts of a step that points are kept in, so that ends which meet are equal; and how far, in steps, a vertex may lie off a straight wall.
 GRAIN, STRAIGHT = 1_000_000, 1e-5
 
 
-def union_spans(edges: DataFrame) -> DataFrame:
+def union_spans(edges: DataFrame, s: DataFrame | None = None) -> DataFrame:
     """(plan_id, x0, x1, lo0, lo1, hi0, hi1): the ordinates between which a floor has any room, at both ends of each slab."""
-    s = V.spans(edges)
+    s = V.spans(edges) if s is None else s
     w = Window.partitionBy("plan_id", "x0").orderBy("lo", "hi")
     above = F.coalesce(F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1e15))
     s = s.withColumn("_i", F.sum((F.col("lo") > above + 1e-9).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -22,13 +23,13 @@ def union_spans(edges: DataFrame) -> DataFrame:
     return s.groupBy("plan_id", "x0", "x1", "_i").agg(low, high).select("plan_id", "x0", "x1", "l.lo0", "l.lo1", "h.hi0", "h.hi1")
 
 
-def boundary(edges: DataFrame) -> DataFrame:
+def boundary(edges: DataFrame, n: int | None = None) -> DataFrame:
     """(plan_id, id, ax, ay, bx, by): the directed pieces, in grains, that bound a floor, which lies to their left. What two rooms share cancels.
 
     Between abscissae they are the lower and upper ends of the spans; on an abscissa, the stretches with floor on one side only. Pieces are
-    numbered from 0 by their ends.
+    numbered from 0 by their ends. They are written, in n buckets of plan_id if n is given.
     """
-    u = union_spans(edges).withColumns({c: F.round(F.col(c) * GRAIN).cast("long") for c in ("x0", "x1", "lo0", "lo1", "hi0", "hi1")})
+    u = union_spans(edges, V.staged_spans(edges, n)[1]).withColumns({c: F.round(F.col(c) * GRAIN).cast("long") for c in ("x0", "x1", "lo0", "lo1", "hi0", "hi1")})
     ends = lambda *c: F.struct(*[F.col(x).alias(n) for x, n in zip(c, ("ax", "ay", "bx", "by"), strict=True)])
     along = u.select("plan_id", F.explode(F.array(ends("x0", "lo0", "x1", "lo1"), ends("x1", "hi1", "x0", "hi0"))).alias("p")).select("plan_id", "p.*")
     event = lambda x, y, left, right: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(left).alias("left"), F.lit(right).alias("right"))
@@ -37,8 +38,11 @@ def boundary(edges: DataFrame) -> DataFrame:
     upto = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0
     at = marks.groupBy("plan_id", "x", "y").agg(F.sum("left").alias("left"), F.sum("right").alias("right")).select("plan_id", "x", "y", F.lead("y").over(w).alias("y1"), upto("left").alias("left"), upto("right").alias("right"))
     up = at.where("left <> right AND y1 IS NOT NULL").select("plan_id", F.col("x").alias("ax"), F.expr("if(left, y, y1)").alias("ay"), F.col("x").alias("bx"), F.expr("if(left, y1, y)").alias("by"))
-    all_ = along.unionByName(up).where("ax <> bx OR ay <> by")
-    return all_.withColumn("id", F.row_number().over(Window.partitionBy("plan_id").orderBy("ax", "ay", "bx", "by")) - 1)
+    # a plan's pieces are one array of it, so that their union and their numbers need no shuffle
+    listed = lambda t, name: t.where("ax <> bx OR ay <> by").groupBy("plan_id").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias(name))
+    none = F.array().cast("array<struct<ax:bigint,ay:bigint,bx:bigint,by:bigint>>")
+    both = listed(along, "p").join(listed(up, "q"), "plan_id", "full").select("plan_id", F.array_sort(F.concat(F.coalesce("p", none), F.coalesce("q", none))).alias("p"))
+    return stage_by(both.select("plan_id", F.posexplode("p").alias("id", "p")).select("plan_id", F.col("id").cast("long").alias("id"), "p.*"), "plan_id", "pieces", n)
 
 
 def followed(pieces: DataFrame) -> DataFrame:
@@ -78,12 +82,12 @@ def ordered(links: DataFrame) -> DataFrame:
     return a.select("plan_id", F.posexplode(F.arrays_zip("start", "pos")).alias("id", "x")).select("plan_id", "id", "x.start", "x.pos")
 
 
-def outlines(edges: DataFrame) -> DataFrame:
+def outlines(edges: DataFrame, n: int | None = None) -> DataFrame:
     """(plan_id, ring, seq, x, y, area2): the rings, in steps, that bound the rooms of a plan together; outer ones run counter-clockwise, holes clockwise.
 
     Rings are numbered in the order of their least vertex, where each begins; area2 is negative for holes. Vertices on a straight wall are left out.
     """
-    p = boundary(edges)
+    p = boundary(edges, n)
     v = ordered(followed(p)).join(p, ["plan_id", "id"])
     w, whole = Window.partitionBy("plan_id", "start").orderBy("pos"), Window.partitionBy("plan_id", "start").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     here = lambda c: F.col(c) / GRAIN

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plangauge.core.staging import stage_by
 from plangauge.operators import rings as R
 from plangauge.plans.catalog import B, S, q6, r6, register
 from plangauge.plans.gating import ENDS_SQL, OPEN_SQL
-from plangauge.sources.bridge import table
+from plangauge.sources.bridge import staged_edges
 
 G = R.GRAIN
 UNION_SQL = OPEN_SQL[: OPEN_SQL.index("gp AS (")]
@@ -31,7 +32,7 @@ rings AS MATERIALIZED (SELECT plan_id, dense_rank() OVER (PARTITION BY plan_id O
 @register(f"WITH RECURSIVE {RINGS_SQL} SELECT plan_id, ring, seq, {q6('x')}, {q6('y')}, {q6('area2')} FROM rings")
 def d06_outline_rings(spark, sf):
     """The rings around each floor and its holes, vertex by vertex."""
-    return R.outlines(table(spark, sf, "edges")).select("plan_id", F.col("ring").cast("long"), F.col("seq").cast("long"), r6("x"), r6("y"), r6("area2"))
+    return R.outlines(*staged_edges(spark, sf)).select("plan_id", F.col("ring").cast("long"), F.col("seq").cast("long"), r6("x"), r6("y"), r6("area2"))
 
 
 @register(f"""WITH RECURSIVE {RINGS_SQL}, hm AS (SELECT plan_id, arg_max(ring, (round(area2, 6), -ring)) AS ring FROM rings WHERE area2 > 0 GROUP BY plan_id),
@@ -43,6 +44,7 @@ k AS (SELECT plan_id, edge, station, qx * {S} AS x_m, qy * {S} AS y_m, d * {S} A
 SELECT plan_id, edge, {q6('station')}, {q6('x_m')}, {q6('y_m')}, {q6('offset_m')}, synthetic FROM k WHERE n = 1""")
 def d16_outline_entry(spark, sf):
     """A point seven steps below the middle of a plan, put onto its outline; every fifth plan has none and takes the middle of its longest edge."""
-    points = table(spark, sf, "vertices").where("plan_id % 5 <> 0").groupBy("plan_id").agg(((F.min("ix") + F.max("ix")) / 2.0).alias("px"), F.lit(-7.0).alias("py"))
-    e = R.entry_on_outline(R.outlines(table(spark, sf, "edges")), points)
+    edges, n = staged_edges(spark, sf)
+    points = edges.where("plan_id % 5 <> 0").groupBy("plan_id").agg(((F.min("ax") + F.max("ax")) / 2.0).alias("px"), F.lit(-7.0).alias("py"))
+    e = R.entry_on_outline(stage_by(R.outlines(edges, n), "plan_id", "rings", n), points)
     return e.select("plan_id", F.col("edge").cast("long"), r6("station"), r6("x_m"), r6("y_m"), r6("offset_m"), "synthetic")
