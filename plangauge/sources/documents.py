@@ -11,65 +11,79 @@ from plangauge.core import constants as K
 SOURCE_TOKENS = {"rplan": "rplan", "msd": "msd", "msd units": "msd", "houseganpp": "houseganpp", "housegan": "housegan", "gsdiff": "gsdiff", "housediffusion": "housediffusion"}
 
 _KIND = lambda v: f"coalesce(schema_of_variant({v}), 'MISSING')"
+_OBJECT = lambda v: f"try_variant_get({v}, '$', 'map<string, variant>')"
 _ITEMS = lambda v: f"try_variant_get({v}, '$', 'array<variant>')"
 _NUMBER = lambda v: f"if({_KIND(v)} = 'BOOLEAN', 0D, try_cast(try_variant_get({v}, '$', 'string') AS DOUBLE))"
+_LET = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
 
 
 def _point_fault(p: str) -> str:
     """SQL for the fault of one point: not a pair of numbers, or not finite."""
-    n0, n1 = _NUMBER(f"{_ITEMS(p)}[0]"), _NUMBER(f"{_ITEMS(p)}[1]")
     bad = lambda x: f"isnan({x}) OR abs({x}) = double('Infinity')"
-    return f"CASE WHEN {_KIND(p)} NOT LIKE 'ARRAY%' OR size({_ITEMS(p)}) <> 2 OR {n0} IS NULL OR {n1} IS NULL THEN 'malformed-point' WHEN {bad(n0)} OR {bad(n1)} THEN 'non-finite-coordinate' END"
+    numbers = f"CASE WHEN n.x IS NULL OR n.y IS NULL THEN 'malformed-point' WHEN {bad('n.x')} OR {bad('n.y')} THEN 'non-finite-coordinate' END"
+    return _LET("xy", _ITEMS(p), f"CASE WHEN xy IS NULL OR size(xy) <> 2 THEN 'malformed-point' ELSE {_LET('n', f'struct({_NUMBER('xy[0]')} AS x, {_NUMBER('xy[1]')} AS y)', numbers)} END")
 
 
 def _ring_fault(r: str) -> str:
-    faults = f"filter(transform({_ITEMS(r)}, p -> {_point_fault('p')}), f -> f IS NOT NULL)"
-    closes = f"to_json({_ITEMS(r)}[0]) = to_json({_ITEMS(r)}[size({_ITEMS(r)}) - 1]) AND size({_ITEMS(r)}) >= 2"
-    nested = f"{_KIND(_ITEMS(_ITEMS(r) + '[0]') + '[0]')} LIKE 'ARRAY%'"
-    return f"""CASE WHEN {_KIND(r)} LIKE 'OBJECT%' THEN 'room-with-hole' WHEN {_KIND(r)} NOT LIKE 'ARRAY%' THEN 'malformed-ring' WHEN size({_ITEMS(r)}) = 0 THEN 'malformed-ring'
-      WHEN {nested} THEN 'room-with-hole' WHEN size({faults}) > 0 THEN {faults}[0] WHEN size({_ITEMS(r)}) - if({closes}, 1, 0) < 3 THEN 'malformed-ring' END"""
+    """SQL for the fault of one ring. A ring that reads as pairs of finite numbers, four or more, has none; others are looked at point by point."""
+    finite = lambda k: f"coalesce(abs(get(p, {k})) < double('Infinity'), false)"
+    sound = _LET("d", f"try_variant_get({r}, '$', 'array<array<double>>')", f"coalesce(size(d) >= 4 AND forall(d, p -> coalesce(size(p) = 2, false) AND {finite(0)} AND {finite(1)}), false)")
+    faults = f"filter(transform(pts, p -> {_point_fault('p')}), f -> f IS NOT NULL)"
+    closes = "to_json(pts[0]) = to_json(pts[size(pts) - 1]) AND size(pts) >= 2"
+    nested = f"{_KIND(f'get({_ITEMS("pts[0]")}, 0)')} LIKE 'ARRAY%'"
+    by_point = f"""CASE WHEN pts IS NULL THEN if({_KIND(r)} LIKE 'OBJECT%', 'room-with-hole', 'malformed-ring') WHEN size(pts) = 0 THEN 'malformed-ring'
+      WHEN {nested} THEN 'room-with-hole' ELSE {_LET('bad', faults, f"CASE WHEN size(bad) > 0 THEN bad[0] WHEN size(pts) - if({closes}, 1, 0) < 3 THEN 'malformed-ring' END")} END"""
+    return f"CASE WHEN NOT {sound} THEN {_LET('pts', _ITEMS(r), by_point)} END"
 
 
 def _room_fault(r: str) -> str:
     get = lambda k: f"try_variant_get({r}, '$.{k}', 'variant')"
-    return f"""CASE WHEN {_KIND(r)} NOT LIKE 'OBJECT%' THEN 'malformed-room' WHEN {_KIND(get('category'))} <> 'STRING' OR try_variant_get({r}, '$.category', 'string') = '' THEN 'missing-category'
-      WHEN {get('holes')} IS NOT NULL OR {get('interiors')} IS NOT NULL THEN 'room-with-hole' WHEN ({_ring_fault(get('ring'))}) IS NOT NULL THEN {_ring_fault(get('ring'))}
-      WHEN {get('unit')} IS NOT NULL AND {_KIND(get('unit'))} NOT IN ('STRING', 'VOID') THEN 'malformed-room' END"""
+    unit = f"CASE WHEN {get('unit')} IS NOT NULL AND {_KIND(get('unit'))} NOT IN ('STRING', 'VOID') THEN 'malformed-room' END"
+    return f"""CASE WHEN {_OBJECT(r)} IS NULL THEN 'malformed-room' WHEN {_KIND(get('category'))} <> 'STRING' OR try_variant_get({r}, '$.category', 'string') = '' THEN 'missing-category'
+      WHEN {get('holes')} IS NOT NULL OR {get('interiors')} IS NOT NULL THEN 'room-with-hole' ELSE {_LET('ring', get('ring'), f"coalesce({_ring_fault('ring')}, {unit})")} END"""
 
 
 def parsed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs plus `doc` (variant; null if the text is not JSON). Bare NaN and Infinity are quoted first, so that they can be told from broken JSON."""
-    quoted = F.regexp_replace(F.col(text_col), r"(?<=[\[,:\s])(-?Infinity|NaN)(?=[\],}\s])", '"$1"')
-    return docs.withColumn("doc", F.try_parse_json(quoted))
+    """docs plus `doc` (variant; null if the text is not JSON). Bare NaN and Infinity are quoted first, so that they can be told from broken JSON.
+
+    doc comes from a generator, so that a filter on what is made of it does not parse the text again for each place that names it.
+    """
+    text = F.col(text_col)
+    quoted = F.regexp_replace(text, r"(?<=[\[,:\s])(-?Infinity|NaN)(?=[\],}\s])", '"$1"')
+    bare = F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("Infinity"))
+    return docs.select("*", F.explode(F.array(F.try_parse_json(F.when(bare, quoted).otherwise(text)))).alias("doc"))
 
 
 def validated(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """parsed(docs) plus `reason`: the first fault in the fixed order of checks, null for an accepted document, and the `room` it lies in."""
+    """parsed(docs) plus `reason`: the first fault in the fixed order of checks, null for an accepted document, and the `room` it lies in. Both are worked out once, in a generator."""
     rooms = "try_variant_get(doc, '$.rooms', 'array<variant>')"
-    d = parsed(docs, text_col).withColumn("_kind", F.expr(_KIND("doc"))).withColumn("_rooms", F.expr(rooms))
-    d = d.withColumn("_faults", F.expr(f"filter(transform(_rooms, (r, i) -> struct(i AS room, {_room_fault('r')} AS fault)), x -> x.fault IS NOT NULL)"))
-    d = d.withColumn("_adj", F.expr("try_variant_get(doc, '$.adjacency', 'array<variant>')"))
-    index = lambda k: f"try_variant_get(p, '$[{k}]', 'bigint')"
-    pair = f"{_KIND('p')} NOT LIKE 'ARRAY%' OR size({_ITEMS('p')}) <> 2 OR {index(0)} IS NULL OR {index(1)} IS NULL OR {index(0)} NOT BETWEEN 0 AND size(_rooms) - 1 OR {index(1)} NOT BETWEEN 0 AND size(_rooms) - 1 OR {index(0)} = {index(1)}"
-    source = "try_variant_get(doc, '$.source', 'variant')"
-    reason = f"""CASE WHEN doc IS NULL THEN 'malformed-json' WHEN _kind NOT LIKE 'OBJECT%' THEN 'malformed-plan' WHEN _rooms IS NULL OR size(_rooms) = 0 THEN 'no-rooms'
-      WHEN size(_faults) > 0 THEN _faults[0].fault WHEN {_KIND(source)} <> 'STRING' OR try_variant_get(doc, '$.source', 'string') = '' THEN 'missing-source'
-      WHEN exists(coalesce(_adj, array()), p -> {pair}) THEN 'malformed-adjacency'
-      WHEN try_variant_get(doc, '$.meta', 'variant') IS NOT NULL AND {_KIND("try_variant_get(doc, '$.meta', 'variant')")} NOT LIKE 'OBJECT%' AND {_KIND("try_variant_get(doc, '$.meta', 'variant')")} <> 'VOID' THEN 'malformed-plan' END"""
-    return d.withColumn("reason", F.expr(reason)).withColumn("room", F.expr("if(size(_faults) > 0, _faults[0].room, null)")).drop("_kind", "_rooms", "_faults", "_adj")
+    faults = f"filter(transform(rooms, (r, i) -> struct(i AS room, {_room_fault('r')} AS fault)), x -> x.fault IS NOT NULL)"
+    ends = ", ".join(f"try_variant_get(e, '$[{k}]', 'bigint') AS {n}" for k, n in enumerate("ab"))
+    apart = "m.a IS NULL OR m.b IS NULL OR m.a NOT BETWEEN 0 AND size(rooms) - 1 OR m.b NOT BETWEEN 0 AND size(rooms) - 1 OR m.a = m.b"
+    pair = f"{_LET('e2', _ITEMS('e'), 'e2 IS NULL OR size(e2) <> 2')} OR {_LET('m', f'struct({ends})', apart)}"
+    source, meta = "try_variant_get(doc, '$.source', 'variant')", "try_variant_get(doc, '$.meta', 'variant')"
+    reason = f"""CASE WHEN doc IS NULL THEN 'malformed-json' WHEN {_OBJECT('doc')} IS NULL THEN 'malformed-plan' WHEN rooms IS NULL OR size(rooms) = 0 THEN 'no-rooms'
+      WHEN size(faults) > 0 THEN faults[0].fault WHEN {_KIND(source)} <> 'STRING' OR try_variant_get(doc, '$.source', 'string') = '' THEN 'missing-source'
+      WHEN exists(coalesce(try_variant_get(doc, '$.adjacency', 'array<variant>'), array()), e -> {pair}) THEN 'malformed-adjacency'
+      WHEN {meta} IS NOT NULL AND {_OBJECT(meta)} IS NULL AND {_KIND(meta)} <> 'VOID' THEN 'malformed-plan' END"""
+    found = _LET("rooms", rooms, _LET("faults", faults, f"struct({reason} AS reason, if(size(faults) > 0, faults[0].room, null) AS room)"))
+    return parsed(docs, text_col).select("*", F.expr(f"inline(array({found}))"))
 
 
 def rooms_of(accepted: DataFrame, *keys: str) -> DataFrame:
-    """keys, room_ix, category, unit, vix, x, y of accepted documents; the closing repeat of a ring is dropped."""
-    r = accepted.select(*keys, F.expr("posexplode(variant_get(doc, '$.rooms', 'array<variant>'))").alias("room_ix", "r"))
-    r = r.select(*keys, "room_ix", F.expr("variant_get(r, '$.category', 'string')").alias("category"), F.expr("try_variant_get(r, '$.unit', 'string')").alias("unit"), F.expr("variant_get(r, '$.ring', 'array<array<double>>')").alias("ring"))
-    r = r.withColumn("ring", F.when((F.size("ring") > 1) & (F.element_at("ring", 1) == F.element_at("ring", -1)), F.expr("slice(ring, 1, size(ring) - 1)")).otherwise(F.col("ring")))
-    return r.select(*keys, "room_ix", "category", "unit", F.posexplode("ring").alias("vix", "p")).select(*keys, "room_ix", "category", "unit", "vix", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    """keys, room_ix, category, unit, vix, x, y of accepted documents; the closing repeat of a ring is dropped.
+
+    Arrays are exploded with their empty rows, which go afterwards: no filter on their size, which would read them twice, is put before that.
+    """
+    r = accepted.select(*keys, F.expr("posexplode_outer(variant_get(doc, '$.rooms', 'array<variant>'))").alias("room_ix", "r")).where("room_ix IS NOT NULL")
+    open_ = _LET("g", "variant_get(r, '$.ring', 'array<array<double>>')", "if(size(g) > 1 AND g[0] = g[size(g) - 1], slice(g, 1, size(g) - 1), g)")
+    r = r.select(*keys, "room_ix", F.expr("variant_get(r, '$.category', 'string')").alias("category"), F.expr("try_variant_get(r, '$.unit', 'string')").alias("unit"), F.expr(f"posexplode_outer({open_})").alias("vix", "p"))
+    return r.where("vix IS NOT NULL").select(*keys, "room_ix", "category", "unit", "vix", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
 def adjacency_of(accepted: DataFrame, *keys: str) -> DataFrame:
     """keys, place, a, b: distinct pairs a < b in the order in which they first occur."""
-    e = accepted.select(*keys, F.expr("posexplode(try_variant_get(doc, '$.adjacency', 'array<array<bigint>>'))").alias("at", "p"))
+    e = accepted.select(*keys, F.expr("posexplode_outer(try_variant_get(doc, '$.adjacency', 'array<array<bigint>>'))").alias("at", "p")).where("at IS NOT NULL")
     e = e.select(*keys, "at", F.least(F.col("p")[0], F.col("p")[1]).alias("a"), F.greatest(F.col("p")[0], F.col("p")[1]).alias("b")).groupBy(*keys, "a", "b").agg(F.min("at").alias("at"))
     return e.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1).alias("place"), "a", "b")
 
