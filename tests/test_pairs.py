@@ -36,7 +36,7 @@ def test_pairs_are_those_made_one_by_one(spark, monkeypatch, most, array):
     assert found == Counter(s for _, s in want.values()) and n.first().n == len(sets)
 
 
-@pytest.mark.parametrize("name", ["h02_jaccard"])
+@pytest.mark.parametrize("name", ["h02_jaccard", "h07_similarity_histogram"])
 def test_pairs_are_not_shuffled(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
     assert not any(f"hashpartitioning({c}#" in plan for c in ("a", "b", "cx", "cy"))
