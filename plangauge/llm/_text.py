@@ -98,3 +98,11 @@ class Recent:
         if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
         self.young[key] = value
+
+    def all(self, keys: list) -> list:
+        """get() of each key."""
+        out = list(map(self.young.get, keys))
+        for i, key in enumerate(keys):
+            if out[i] is None and (found := self.old.get(key)) is not None:
+                out[i] = self.young[key] = found
+        return out

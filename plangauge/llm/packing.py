@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import os
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ from plangauge.llm._text import Recent, ragged, slices, texts, worker_state
 
 #: Texts of these characters alone, single code points that the normaliser only lowers, are cut into words.
 PLAIN = r"^[\t\n\v\f\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]*$"
-#: Fixed value: the pattern that splits normalised text before the merges.
+#: The pattern that splits normalised text before the merges, and what it lets an apostrophe take.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Words and pieces that a worker keeps, in each of two generations, if they are no longer than LONG; words given to the tokenizer at once.
 KEPT, LONG, TOGETHER = 120_000, 256, 10_000
 
@@ -56,7 +58,7 @@ class Tokens:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.width = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
-        self.known, self.words = Recent(KEPT), regex.compile(f"{PATTERN}|\n")
+        self.known = Recent(KEPT)
 
     def _each(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
@@ -77,7 +79,7 @@ class Tokens:
 
     def lookup(self, items: list[str], words: bool) -> list[bytes]:
         """The ids of each word, or of each piece of any characters, as bytes of self.width."""
-        out = [self.known.get(x) for x in items]
+        out = self.known.all(items)
         new = [k for k, x in enumerate(out) if x is None]
         fresh = [items[k] for k in new]
         for k, x in zip(new, self._words(fresh) if words else self._each(fresh), strict=True):
@@ -103,21 +105,56 @@ def _ids_of(column: pa.Array, know: Tokens, words: bool) -> tuple[np.ndarray, np
     parts = pc.ascii_split_whitespace(column)
     counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = parts.flatten().dictionary_encode()
-    codes, pieces = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+    codes = flat.indices.to_numpy(zero_copy_only=False)
     if not words:
+        pieces = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         return _joined([know.lookup([x], False)[0] if x else b"" for x in pieces], know.width, codes, counts)
-    split = pa.array(know.words.findall("".join(x + "\n" for x in pieces).lower()), pa.string()).dictionary_encode()
-    of, distinct = split.indices.to_numpy(zero_copy_only=False), split.dictionary.to_numpy(zero_copy_only=False).tolist()
-    ends = np.flatnonzero(of == distinct.index("\n")) if pieces else np.empty(0, np.int64)
-    found = know.lookup([w for w in distinct if w != "\n"], True)
-    if pieces:
-        found.insert(distinct.index("\n"), b"")
-    ids, n = _joined(found, know.width, of, np.diff(ends, prepend=-1))
+    split, each = plain_words(flat.dictionary)
+    split = split.dictionary_encode()
+    found = know.lookup(split.dictionary.to_numpy(zero_copy_only=False).tolist(), True)
+    ids, n = _joined(found, know.width, split.indices.to_numpy(zero_copy_only=False), each)
     starts = np.cumsum(n) - n
     total = np.concatenate([[0], np.cumsum(n[codes])])[np.concatenate([[0], np.cumsum(counts)])]
     return ragged(ids, starts[codes], n[codes]), np.diff(total)
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For each code point that a PLAIN text has once it is lowered: 1 for letters, 2 for numbers, 0 for the rest."""
+    kind = [unicodedata.category(chr(c))[0] for c in range(1 + max(ord(chr(c).lower()[0]) for c in range(0x250)))]
+    return np.array([{"L": 1, "N": 2}.get(k, 0) for k in kind], np.int8)
+
+
+def plain_words(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words end to end, number of words of each piece) of pieces of PLAIN characters without white space: what PATTERN finds in them, lowered.
+
+    Letters make one word, so does all that is neither letter nor number, and each number; an apostrophe that begins such a word takes one of
+    ENDINGS from the letters behind it.
+    """
+    low = pc.utf8_lower(pieces)
+    bounds = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64) if len(low) else np.zeros(1, np.int64)
+    text = bytes(memoryview(low.buffers()[2])[bounds[0] : bounds[-1]]) if bounds[-1] else b""
+    bounds -= bounds[0]
+    point = np.frombuffer(text.decode().encode("utf-32-le"), "<u4")
+    at = np.cumsum(1 + (point > 0x7F) + (point > 0x7FF))  # where each character ends
+    first = np.zeros(bounds[-1] + 1, bool)  # where a piece begins, or the text ends
+    first[bounds] = True
+    first = first[np.concatenate([[0], at])]
+    kind = _kinds()[point]
+    start = first[:-1] | (kind == 2)
+    start[1:] |= kind[1:] != kind[:-1]
+    open_ = np.flatnonzero(start & (point == ord("'")))
+    for end in ENDINGS:
+        i = open_[open_ + len(end) < len(point)]
+        for k, c in enumerate(end, 1):
+            i = i[(point[i + k] == ord(c)) & ~first[i + k]]
+        start[i + 1] = False
+        start[i[i + len(end) + 1 < len(point)] + len(end) + 1] = True
+    where = np.concatenate([[0], at])[np.flatnonzero(start)]
+    out = pa.Array.from_buffers(pa.string(), len(where), [None, pa.py_buffer(np.append(where, bounds[-1]).astype(np.int32)), pa.py_buffer(text)])
+    return out, np.diff(np.searchsorted(where, bounds))
+
+
 def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids end to end, number of ids of each text). Texts of other characters than plain ones, or with a special token, are looked up by piece."""
     know = _tokens(path)
@@ -140,7 +177,7 @@ def tokenise(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str =
     width = _tokens(path).width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 8 << 20):
             ids, n = token_ids(texts(b, "text"), path)
             ends = np.cumsum(n)
             full = np.insert(ids, ends, p.end_id).astype(width)
