@@ -30,7 +30,7 @@ KEPT, LONG, TOGETHER = 120_000, 256, 10_000
 
 @dataclass(frozen=True)
 class Packing:
-    """Window length, end token, tokens of a shard, BM25's k1 and b, and how many terms are drawn to deal a document."""
+    """Window length, end token, tokens of a shard, BM25's k1 and b, how many terms are drawn to deal a document, and bytes of text cut into words at once."""
 
     window: int = 4096
     end_id: int = 2
@@ -38,6 +38,7 @@ class Packing:
     k1: float = 1.2
     b: float = 0.75
     draws: int = 4
+    slice_bytes: int = 8 << 20
 
 
 class Tokens:
@@ -177,7 +178,7 @@ def tokenise(df: DataFrame, path: str, p: Packing = Packing(), *, id_col: str =
     width = _tokens(path).width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", p.slice_bytes):
             ids, n = token_ids(texts(b, "text"), path)
             ends = np.cumsum(n)
             full = np.insert(ids, ends, p.end_id).astype(width)
