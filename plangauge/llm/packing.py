@@ -24,8 +24,8 @@ PLAIN = r"^[\t\n\v\f\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}]*$"
 #: The pattern that splits normalised text before the merges, and what it lets an apostrophe take.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Words and pieces that a worker keeps, in each of two generations, if they are no longer than LONG; words given to the tokenizer at once.
-KEPT, LONG, TOGETHER = 120_000, 256, 10_000
+#: Pieces of texts that are not plain which a worker keeps, in each of two generations, if they are no longer than LONG; words given to the tokenizer at once.
+KEPT, LONG, TOGETHER = 60_000, 256, 10_000
 
 
 @dataclass(frozen=True)
@@ -38,21 +38,25 @@ class Packing:
     k1: float = 1.2
     b: float = 0.75
     draws: int = 4
-    slice_bytes: int = 8 << 20
+    slice_bytes: int = 4 << 20
 
 
 class Tokens:
-    """Token ids of words and of white-space-free pieces by the tokenizers library, kept from batch to batch.
+    """Token ids of words and of white-space-free pieces by the tokenizers library; those of pieces are kept from batch to batch.
 
     The file's normaliser and splitter never join what white space separates, so a text's ids are those of its pieces end to end,
-    and those of a plain text are those of its words.
+    and those of a plain text are those of its words. Words are lowered and split already, so they go to the file's model behind a
+    splitter at white space alone, their bytes shown as the characters that the file's splitter shows them as.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.vocab = self.tokenizer.get_vocab_size()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -61,45 +65,52 @@ class Tokens:
         self.width = np.dtype("<u2" if self.vocab <= 1 << 16 else "<u4")
         self.known = Recent(KEPT)
 
-    def _each(self, items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of words, encoded together, as one word's ids end with the only token that ends a word."""
-        out: list[bytes] = []
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each) of words of plain texts, encoded together, as one word's ids end with the only token that ends a word."""
+        out, sizes = [np.zeros(0, self.width)], [np.zeros(0, np.int64)]
         for a in range(0, len(words), TOGETHER):
             some = words[a : a + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.width)
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
-            if len(cuts) != len(some):
-                out += self._each(some)
-                continue
-            data = ids.tobytes()
-            out += [data[x:y] for x, y in zip([0, *cuts], cuts, strict=False)]
-        return out
-
-    def lookup(self, items: list[str], words: bool) -> list[bytes]:
-        """The ids of each word, or of each piece of any characters, as bytes of self.width."""
-        out = self.known.all(items)
-        new = [k for k, x in enumerate(out) if x is None]
-        fresh = [items[k] for k in new]
-        for k, x in zip(new, self._words(fresh) if words else self._each(fresh), strict=True):
-            out[k] = x
-            if len(items[k]) <= LONG:
-                self.known.put(items[k], x)
-        return out
+            shown = _shown()[np.frombuffer(" ".join(some).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, self.width)
+            n = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(n) != len(some):
+                each = [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+                ids, n = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+            out.append(ids)
+            sizes.append(n)
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def piece(self, x: str) -> bytes:
+        """The ids of a piece of any characters, as bytes of self.width."""
+        found = self.known.get(x)
+        if found is None:
+            found = np.array(self.tokenizer.encode_batch_fast([x], add_special_tokens=False)[0].ids, self.width).tobytes()
+            if len(x) <= LONG:
+                self.known.put(x, found)
+        return found
+
+
+@functools.cache
+def _shown() -> np.ndarray:
+    """The code point that the byte-level splitter shows each byte as; the space stays."""
+    same = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = np.zeros(256, "<u4")
+    out[same] = same
+    rest = np.setdiff1d(np.arange(256), same)
+    out[rest] = 256 + np.arange(len(rest))
+    out[ord(" ")] = ord(" ")
+    return out
 
 
 def _tokens(path: str) -> Tokens:
     return worker_state(("packing", path), lambda: Tokens(path))
 
 
-def _joined(found: list[bytes], width: np.dtype, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids end to end, number of ids of each group) of groups of items: codes number the items, counts say how many a group has."""
-    sizes = np.array([len(x) for x in found], np.int64) // width.itemsize
+def _joined(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids end to end, number of ids of each group) of groups of items: codes number the items, which have sizes of the ids; counts say how many a group has."""
     starts = np.cumsum(sizes) - sizes
-    ids = ragged(np.frombuffer(b"".join(found), width), starts[codes], sizes[codes])
-    return ids, np.diff(np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(counts)])])
+    each = sizes[codes]
+    return ragged(ids, starts[codes], each), np.diff(np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def _ids_of(column: pa.Array, know: Tokens, words: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +119,14 @@ def _ids_of(column: pa.Array, know: Tokens, words: bool) -> tuple[np.ndarray, np
     flat = parts.flatten().dictionary_encode()
     codes = flat.indices.to_numpy(zero_copy_only=False)
     if not words:
-        pieces = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
-        return _joined([know.lookup([x], False)[0] if x else b"" for x in pieces], know.width, codes, counts)
+        found = [know.piece(x) if x else b"" for x in flat.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.array([len(x) for x in found], np.int64) // know.width.itemsize
+        return _joined(np.frombuffer(b"".join(found), know.width), sizes, codes, counts)
     split, each = plain_words(flat.dictionary)
     split = split.dictionary_encode()
-    found = know.lookup(split.dictionary.to_numpy(zero_copy_only=False).tolist(), True)
-    ids, n = _joined(found, know.width, split.indices.to_numpy(zero_copy_only=False), each)
-    starts = np.cumsum(n) - n
-    total = np.concatenate([[0], np.cumsum(n[codes])])[np.concatenate([[0], np.cumsum(counts)])]
-    return ragged(ids, starts[codes], n[codes]), np.diff(total)
+    ids, sizes = know.words(split.dictionary.to_numpy(zero_copy_only=False).tolist())
+    ids, sizes = _joined(ids, sizes, split.indices.to_numpy(zero_copy_only=False), each)
+    return _joined(ids, sizes, codes, counts)
 
 
 @functools.cache
@@ -126,6 +136,38 @@ def _kinds() -> np.ndarray:
     return np.array([{"L": 1, "N": 2}.get(k, 0) for k in kind], np.int8)
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the column's texts end to end, where each begins and the last ends)."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    return data, bounds - bounds[0]
+
+
+@functools.cache
+def _odd() -> np.ndarray:
+    """Whether a byte may belong to a character that PLAIN lacks: control characters, and bytes that begin U+0080 to U+00BF, U+0100 to U+013F and U+0240 on."""
+    out = np.zeros(256, bool)
+    out[[*range(0x09), *range(0x0E, 0x20), 0x7F, 0xC2, 0xC4, *range(0xC9, 0x100)]] = True
+    return out
+
+
+def plain_texts(column: pa.Array, special: list[str]) -> np.ndarray:
+    """Which texts have PLAIN characters alone and none of the special tokens."""
+    data, bounds = _bytes(column)
+    some = np.flatnonzero(np.diff(bounds))
+    odd = some[np.logical_or.reduceat(_odd()[data], bounds[some])] if len(some) else some
+    plain = np.ones(len(column), bool)
+    plain[odd] = pc.match_substring_regex(column.take(pa.array(odd, pa.int64())), PLAIN).to_numpy(zero_copy_only=False)
+    begin = os.path.commonprefix(special)
+    if special and (not begin or pc.any(some := pc.match_substring(column, begin)).as_py()):
+        some = np.flatnonzero(plain & some.to_numpy(zero_copy_only=False)) if begin else np.flatnonzero(plain)
+        for t in special:
+            plain[some] &= ~pc.match_substring(column.take(pa.array(some, pa.int64())), t).to_numpy(zero_copy_only=False)
+    return plain
+
+
 def plain_words(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(words end to end, number of words of each piece) of pieces of PLAIN characters without white space: what PATTERN finds in them, lowered.
 
@@ -133,9 +175,8 @@ def plain_words(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
     ENDINGS from the letters behind it.
     """
     low = pc.utf8_lower(pieces)
-    bounds = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64) if len(low) else np.zeros(1, np.int64)
-    text = bytes(memoryview(low.buffers()[2])[bounds[0] : bounds[-1]]) if bounds[-1] else b""
-    bounds -= bounds[0]
+    data, bounds = _bytes(low)
+    text = data.tobytes()
     point = np.frombuffer(text.decode().encode("utf-32-le"), "<u4")
     at = np.cumsum(1 + (point > 0x7F) + (point > 0x7FF))  # where each character ends
     first = np.zeros(bounds[-1] + 1, bool)  # where a piece begins, or the text ends
@@ -159,10 +200,7 @@ def plain_words(pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def token_ids(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids end to end, number of ids of each text). Texts of other characters than plain ones, or with a special token, are looked up by piece."""
     know = _tokens(path)
-    plain = pc.match_substring_regex(column, PLAIN)
-    for t in know.special:
-        plain = pc.and_not(plain, pc.match_substring(column, t))
-    plain = plain.to_numpy(zero_copy_only=False)
+    plain = plain_texts(column, know.special)
     if plain.all() or not plain.any():
         return _ids_of(column, know, bool(plain.all()))
     where = [np.flatnonzero(plain), np.flatnonzero(~plain)]
