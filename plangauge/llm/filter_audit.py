@@ -172,13 +172,14 @@ def mask_counts(failed: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, mask, n, good, toxic): additive counts of the rows of failure_masks, labels being (id, good, toxic) with 0 or 1.
 
     A document with several labels is good or toxic if one of them says so; ids without documents and null ids are passed over. Rows with equal
-    id, part and mask are counted before they meet their label.
+    id, part and mask are counted before they meet their label. Both sides grow with the documents, so they are merged: files compress ids
+    so well that their size would call for a broadcast of millions of rows.
     """
     known = labels.where(F.col("id").isNotNull()).groupBy("id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
     rows = stage(failed.groupBy("id", "part", "mask").agg(F.count(F.lit(1)).alias("n")), "masks")
     of = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)) * F.col("n"))
     all_rows = rows.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("toxic"))
-    labelled = rows.join(known, "id").groupBy("part", "mask").agg(F.lit(0).cast("long").alias("n"), of("good").alias("good"), of("toxic").alias("toxic"))
+    labelled = rows.join(known.hint("merge"), "id").groupBy("part", "mask").agg(F.lit(0).cast("long").alias("n"), of("good").alias("good"), of("toxic").alias("toxic"))
     return all_rows.unionByName(labelled).groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in ("n", "good", "toxic")])
 
 
@@ -186,8 +187,10 @@ def interactions(counts: DataFrame, filters: str = FILTERS) -> DataFrame:
     """What every filter does at every step of every order, from mask_counts: a row for each part, order and step.
 
     kept, removed, redundant, unique_fails, good_lost, toxic_lost, and shapley, the documents that the step's filter removes, added up over
-    all orders. An order is a word of the filters' letters. The table of orders is fixed in size and meets the counts by mask.
+    all orders. An order is a word of the filters' letters. The table of orders is fixed in size and meets the counts by mask. Counts are
+    read twice and few, so they are written.
     """
+    counts = stage(counts, "mask-counts")
     bit = {f: 1 << k for k, f in enumerate(filters)}
     steps = [("".join(o), k + 1, sum(bit[f] for f in o[:k]), bit[o[k]]) for o in itertools.permutations(filters) for k in range(len(o))]
     orders = counts.sparkSession.createDataFrame(steps, "filter_order string, step int, before int, here int")

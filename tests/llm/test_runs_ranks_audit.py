@@ -238,3 +238,10 @@ def test_audit_query(spark, hard, empty):
     assert {(r.part, r.filter_order, r.step): [r[c] for c in names] for r in got} == want and len(got) == len(want) == 600 * len(parts)
     assert all(r.shapley == shares[r.part, r.filter_order[r.step - 1]] for r in got)
     assert queries.op13_filter_audit(spark, empty).count() == 0
+
+
+def test_audit_broadcasts_no_documents_and_no_labels(spark):
+    failed = spark.range(50).selectExpr("id", "'en' AS part", "cast(id % 32 as int) AS mask")
+    labels = spark.range(40).selectExpr("id", "1 AS good", "0 AS toxic")
+    plan = filter_audit.mask_counts(failed, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
