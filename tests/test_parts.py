@@ -5,6 +5,7 @@ import pyspark.sql.functions as F
 from plangauge.operators import coverage as V
 from plangauge.operators import measures as M
 from plangauge.operators import rings as R
+from plangauge.plans import reshaping
 from plangauge.sources import bridge
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,12 @@ def test_only_proper_crossings_between_rooms_count(spark):
     rows = square(0, 0, 0) + square(1, 4, 0) + square(2, 2, 2) + square(3, 20, 0)
     edges = spark.createDataFrame(rows, "plan_id long, room_ix int, category string, eix int, ax long, ay long, bx long, by_ long")
     assert sorted(r.x for r in V.crossing_points(edges).select(F.col("x")).collect()) == [2.0, 4.0, 4.0, 6.0]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_links_sort_no_edges(spark):
+    plan = _plan(reshaping.d27_wide_links(spark, SF))
+    assert "lineitem" not in plan and plan.count("Sort [") <= 8
