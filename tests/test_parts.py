@@ -52,3 +52,7 @@ def _plan(df) -> str:
 def test_wide_links_sort_no_edges(spark):
     plan = _plan(reshaping.d27_wide_links(spark, SF))
     assert "lineitem" not in plan and plan.count("Sort [") <= 8
+
+
+def test_swallowed_pairs_derive_nothing_twice(spark):
+    assert "lineitem" not in _plan(reshaping.d15_swallowed_pairs(spark, SF))
