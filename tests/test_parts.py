@@ -5,7 +5,7 @@ import pyspark.sql.functions as F
 from plangauge.operators import coverage as V
 from plangauge.operators import measures as M
 from plangauge.operators import rings as R
-from plangauge.plans import reshaping
+from plangauge.plans import catalog, reshaping
 from plangauge.sources import bridge
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,7 @@ def test_wide_links_sort_no_edges(spark):
 
 def test_swallowed_pairs_derive_nothing_twice(spark):
     assert "lineitem" not in _plan(reshaping.d15_swallowed_pairs(spark, SF))
+
+
+def test_entry_rooms_derive_nothing_twice(spark):
+    assert "lineitem" not in _plan(catalog.f04_entry_rooms(spark, SF))
