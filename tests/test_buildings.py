@@ -41,3 +41,13 @@ def test_sets_that_are_all_alike_are_not_compared_in_all_pairs(spark, monkeypatc
     monkeypatch.setattr(G, "_confirmed", lambda met, own, t: seen.append(met.count()) or confirm(met, own, t))
     labels, _ = G.similar_components(own, 0.4)
     assert {x.label for x in labels.collect()} == {0} and sum(seen) < 150 * 149 / 2 / 4
+
+
+def test_sets_are_confirmed_as_tiles(spark):
+    """Cells in all quadrants, in tiles that only one set has and in tiles that both have; no array of cells travels with a pair."""
+    sets = {1: [(-9, -1), (-1, -9), (0, 0), (7, 7), (8, 8)], 2: [(-9, -1), (-1, -9), (0, 0), (7, 6), (800000, -800000)], 3: [(-1, -1), (1, 1)]}
+    cells = spark.createDataFrame([(f, x, y) for f, c in sets.items() for x, y in c], "floor_id long, cx long, cy long")
+    packed = G._packed(G.classes(cells)[0])
+    assert {r.f: sum(bin(v & (1 << 64) - 1).count("1") for v in r.tiles.values()) for r in packed.collect()} == {1: 5, 2: 5, 3: 2}
+    met = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [tuple(r) for r in G._confirmed(met, packed, 0.3).collect()] == [(1, 2, 3, 3 / 7)]
